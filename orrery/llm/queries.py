@@ -62,10 +62,16 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_fields(read_archive(spark, path))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similarity_components
+
+    return similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op4_license_scan, op5_language_id, op6_token_counts, op8_warc_archive, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op4_license_scan, op5_language_id, op6_token_counts, op8_warc_archive, op9_ngram_join, op10_packing)}
