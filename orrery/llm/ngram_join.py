@@ -5,7 +5,7 @@
    unique (below ``rare_from``, 2 unless the bitmap would overfill), rare, and frequent (``FREQUENT`` or more).
    Classes travel as two bitmaps of fixed size. A bucket that two shingles share can only raise a class, the same way for
    all texts, which costs time and never a link.
-2. Shingles are ordered by class, then hash. Two sets that link share all but ``n // 10`` of either's ``n`` shingles (at 0.9), so a prefix
+2. Shingles are ordered by class, then hash. Two sets that link at t share all but (1 - t) n of either's n shingles, so a prefix
    with one more shingle than that holds a shared one. Unique ones count in the prefix and are not indexed. Rare ones are
    indexed alone. Frequent ones are indexed in pairs, within hash groups whose number depends on the size band: a prefix is
    extended until the sum over its groups of (members - 1) makes up the need, which guarantees a shared pair.
@@ -45,7 +45,6 @@ FILL = 1 / 12
 FREQUENT = 24
 SHORT_LIST = 4
 BLOCK = 2048
-BAND = np.log(1.2)
 
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -211,9 +210,14 @@ def class_bitmaps(counts: DataFrame) -> tuple[int, Bitmap, Bitmap]:
     return low, Bitmap(RARE_BITS, data[0]), Bitmap(FREQUENT_BITS, data[1])
 
 
-def groups_of(band: int) -> int:
+def band_width(percent: int) -> float:
+    """Logarithm of a band's sizes' ratio: linked sets are in the same band or the next."""
+    return float(np.log(105 / percent))
+
+
+def groups_of(band: int, percent: int) -> int:
     """Hash groups of frequent shingles in a band: about five prefix shingles each."""
-    return max(1, int(np.exp(band * BAND) / 50))
+    return max(1, int(np.exp(band * band_width(percent)) * (100 - percent) / 500))
 
 
 def signatures(s: np.ndarray, rare_from: int, rare: Bitmap, frequent: Bitmap, percent: int) -> np.ndarray:
@@ -231,9 +235,9 @@ def signatures(s: np.ndarray, rare_from: int, rare: Bitmap, frequent: Bitmap, pe
     out.append(single[:need])
     need -= len(single)
     if need > 0 and len(rest):
-        band = int(np.log(n) / BAND)
+        band = int(np.log(n) / band_width(percent))
         for scheme in (band, band + 1):
-            group = (mix(rest ^ np.uint64(0x5BD1E995)) % np.uint64(groups_of(scheme))).astype(np.int64)
+            group = (mix(rest ^ np.uint64(0x5BD1E995)) % np.uint64(groups_of(scheme, percent))).astype(np.int64)
             # how far the prefix must run: each group's first member gives nothing
             seen = np.zeros(len(rest), bool)
             seen[np.unique(group, return_index=True)[1]] = True

@@ -30,6 +30,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", size.alias("size"), text_crc32(F.col("text")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licences
 
@@ -54,6 +60,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archive, record_fields, write_archive
 
@@ -74,4 +86,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op4_license_scan, op5_language_id, op6_token_counts, op8_warc_archive, op9_ngram_join, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_vector_search, op4_license_scan, op5_language_id, op6_token_counts, op7_decontamination, op8_warc_archive, op9_ngram_join, op10_packing)}
