@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import catalog_queries, results_queries, scalar_queries, spec_queries, text_queries, traffic_queries  # noqa: F401
+from .plans.registry import ORACLES, QUERIES  # noqa: F401
