@@ -1 +1,172 @@
-"""Queries."""
+"""Queries over JSON bodies, templates, checks, search and text pairs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import json_walk as J
+from ..operators import checks as K
+from ..operators import search as S
+from ..operators import templating as T
+from . import views as V
+from .registry import query
+
+
+def orders_body(spark, sf):
+    """A nested body for each customer from its orders: {"customer":{...,"orders":[{"id":..,"items":[..]}]}}."""
+    o = V.table(spark, sf, "orders")
+    item = lambda n, v: F.struct(F.lit(n).alias("id"), F.floor(v).alias("amount"))
+    order = F.struct(F.col("o_orderkey").alias("id"), F.array(item(1, F.col("o_totalprice")), item(2, F.col("o_totalprice") / 2)).alias("items"))
+    lists = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(order)).alias("orders"))
+    return lists.select("o_custkey", F.to_json(F.struct(F.struct(F.struct(F.lit("x").alias("city")).alias("address"), "orders").alias("customer"))).alias("body"))
+
+
+AMOUNTS = "SELECT o_custkey, '[' || STRING_AGG(CAST(FLOOR(o_totalprice) AS BIGINT) || ',' || CAST(FLOOR(o_totalprice / 2) AS BIGINT), ',' ORDER BY o_orderkey) || ']'"
+
+
+@query("b10_path_values", AMOUNTS + " AS amounts FROM orders GROUP BY 1")
+def b10(spark, sf):
+    return orders_body(spark, sf).select("o_custkey", J.json_get(F.col("body"), "customer.orders.items.amount").alias("amounts"))
+
+
+@query("b11_deep_values", "SELECT o_custkey, '[' || STRING_AGG(o_orderkey || ',1,2', ',' ORDER BY o_orderkey) || ']' AS ids FROM orders GROUP BY 1")
+def b11(spark, sf):
+    return orders_body(spark, sf).select("o_custkey", J.json_get(F.col("body"), "..id").alias("ids"))
+
+
+@query("b12_filtered_items", "SELECT o_orderkey, [CAST(FLOOR(o_totalprice) AS BIGINT) + 1] AS picked, CAST(FLOOR(o_totalprice / 2) AS BIGINT) AS second FROM orders")
+def b12(spark, sf):
+    item = lambda n, v: F.struct(F.lit(n).alias("id"), F.floor(v).alias("amount"))
+    o = V.table(spark, sf, "orders").select("o_orderkey", F.array(item(1, F.col("o_totalprice")), item(2, F.col("o_totalprice") / 2)).alias("items"))
+    return o.select("o_orderkey", F.transform(F.filter("items", lambda x: x["id"].eqNullSafe(1)), lambda x: x["amount"] + 1).alias("picked"), F.get("items", F.lit(1))["amount"].alias("second"))
+
+
+@query("b13_json_path", "SELECT event_id, '[' || json_extract_string(props, '$.k') || ']' AS picked FROM events")
+def b13(spark, sf):
+    found = F.get_json_object("props", "$.k")
+    return V.table(spark, sf, "events").select("event_id", F.coalesce(F.concat(F.lit("["), found, F.lit("]")), F.col("props")).alias("picked"))
+
+
+@query("s7_flattened_bodies", """SELECT o_custkey, p.key AS path, p.value AS value FROM (
+  SELECT o_custkey, UNNEST(LIST_CONCAT([{'key': 'customer.address.city', 'value': 'x'}], FLATTEN(LIST([{'key': 'customer.orders[' || (n - 1) || '].id', 'value': o_orderkey::VARCHAR}, {'key': 'customer.orders[' || (n - 1) || '].items[0].id', 'value': '1'},
+    {'key': 'customer.orders[' || (n - 1) || '].items[0].amount', 'value': CAST(CAST(FLOOR(o_totalprice) AS BIGINT) AS VARCHAR)}, {'key': 'customer.orders[' || (n - 1) || '].items[1].id', 'value': '2'}, {'key': 'customer.orders[' || (n - 1) || '].items[1].amount', 'value': CAST(CAST(FLOOR(o_totalprice / 2) AS BIGINT) AS VARCHAR)}])))) AS p
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) GROUP BY o_custkey)""")
+def s7(spark, sf):
+    return orders_body(spark, sf).select("o_custkey", F.explode(J.flattened(F.col("body"))).alias("path", "value"))
+
+
+def templates(spark, sf):
+    p = V.table(spark, sf, "part")
+    text = F.concat(F.lit("{{brand}}/{{ type }}/{{missing}}/{{nested}}/{{obj.size}}/{{?Which "), "p_type", F.lit("}}/{{brand}}"))
+    variables = p.select(F.col("p_partkey").alias("scope_uid"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (("brand", F.col("p_brand")), ("type", F.lit("never")), ("nested", F.lit("<{{inner}}>")), ("inner", F.concat("p_name", F.lit("{{nested}}"))), ("obj", F.concat(F.lit('{"size":'), F.col("p_size").cast("string"), F.lit("}"))))])).alias("v")).select("scope_uid", "v.*")
+    return p.select(F.col("p_partkey").alias("template_uid"), F.col("p_partkey").alias("scope_uid"), text.alias("text")), variables
+
+
+@query("s10_interpolated", "SELECT p_partkey AS template_uid, p_brand || '/{{ type }}/{{missing}}/<' || p_name || '{{nested}}>/' || p_size || '/{{?Which ' || p_type || '}}/' || p_brand AS result FROM part")
+def s10(spark, sf):
+    return T.interpolate(*templates(spark, sf))
+
+
+@query("s11_interpolated_json", """SELECT p_partkey AS template_uid, '{"a":"' || p_brand || '","b":["{{missing}}","a\\"b"]}' AS result FROM part""")
+def s11(spark, sf):
+    p = V.table(spark, sf, "part")
+    docs = p.select(F.col("p_partkey").alias("template_uid"), F.col("p_partkey").alias("scope_uid"), F.lit('{"a":"{{brand}}","b":["{{missing}}","{{quote}}"]}').alias("text"))
+    variables = p.select(F.col("p_partkey").alias("scope_uid"), F.explode(F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("quote"), F.lit('a"b'))).alias("name", "value"))
+    return T.interpolate(docs, variables, escape_json=True)
+
+
+@query("s12_placeholders", "SELECT p_partkey AS template_uid, 'brand| type |missing|nested|obj.size|?Which ' || p_type AS names, 'Which ' || p_type AS prompts FROM part")
+def s12(spark, sf):
+    return templates(spark, sf)[0].select("template_uid", F.array_join(T.placeholders(F.col("text")), "|").alias("names"), F.array_join(T.prompts(F.col("text")), "|").alias("prompts"))
+
+
+EXPRESSIONS = [
+    ("k", "gt 50"), ("k", "lte 50"), ("k", "between 10,20"), ("k", "isNumber"), ("k", "eq 7"), ("k", '"7"'), ("k", "neq 7"), ("k", "in [1, 2, 3]"), ("k", "notIn 1,2"), ("k", "matches ^1"), ("k", "notMatches /^1/"), ("k", "contains 1"), ("k", "notContains 1"), ("k", "isNotEmpty"),
+    ("nope", "isUndefined"), ("nope", "isDefined"), ("nope", "eq undefined"), ("nope", "isNull"), ("nope", "neq 1"), ("nope", "notMatches x"),
+]
+ORACLE_TESTS = ["k > 50", "k <= 50", "k BETWEEN 10 AND 20", "TRUE", "k = 7", "FALSE", "k <> 7", "k IN (1, 2, 3)", "k NOT IN (1, 2)", "starts_with(k::VARCHAR, '1')", "NOT starts_with(k::VARCHAR, '1')", "FALSE", "FALSE", "FALSE", "TRUE", "FALSE", "TRUE", "FALSE", "TRUE", "TRUE"]
+
+
+@query("b8_checks", "WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) " + " UNION ALL ".join(f"SELECT event_id, {i} AS pos, CASE WHEN {t} THEN 'pass' ELSE 'fail' END AS status FROM e" for i, t in enumerate(ORACLE_TESTS)))
+def b8(spark, sf):
+    e = V.table(spark, sf, "events")
+    paths = F.array(*[F.lit(p) for p, _ in EXPRESSIONS])
+    rows = e.select("event_id", F.arrays_zip(J.json_get_each(F.col("props"), paths).alias("lhs"), F.array(*[F.lit(x) for _, x in EXPRESSIONS]).alias("expr")).alias("z"))
+    checks = rows.select("event_id", F.posexplode("z").alias("pos", "c")).select("event_id", "pos", F.col("c.lhs").alias("lhs_json"), F.col("c.expr").alias("expression"), F.lit(True).alias("enabled"))
+    return K.evaluate(checks).select("event_id", "pos", "status")
+
+
+@query("b9_literals", """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'boolean' WHEN 1 THEN 'null' WHEN 2 THEN 'string' WHEN 3 THEN 'number' WHEN 4 THEN 'string' WHEN 5 THEN 'undefined' WHEN 6 THEN 'number' ELSE 'string' END AS type,
+  CASE p_partkey % 8 WHEN 0 THEN 'true' WHEN 2 THEN p_name WHEN 3 THEN p_size::VARCHAR WHEN 4 THEN '9007199254740993' WHEN 6 THEN '-1.5e3' WHEN 7 THEN p_name END AS text FROM part""")
+def b9(spark, sf):
+    texts = F.array(F.lit("true"), F.lit(" null"), F.concat(F.lit('"'), "p_name", F.lit('"')), F.col("p_size").cast("string"), F.lit("9007199254740993"), F.lit("undefined"), F.lit("-1.5e3"), F.col("p_name"))
+    value = K.literal(F.element_at(texts, (F.col("p_partkey") % 8 + 1).cast("int")))
+    return V.table(spark, sf, "part").select("p_partkey", value["type"].alias("type"), value["text"].alias("text"))
+
+
+@query("e12_post_response_variables", "SELECT user_id AS item_uid, 'v' || (event_id % 3) AS name, ARG_MAX(json_extract_string(props, '$.k'), event_id) AS value FROM events WHERE event_type <> 'error' GROUP BY 1, 2")
+def e12(spark, sf):
+    e = V.table(spark, sf, "events")
+    rows = e.select(F.col("user_id").alias("item_uid"), F.col("event_id").alias("pos"), F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string")).alias("name"), J.json_get(F.col("props"), "k").alias("value"), (F.col("event_type") != "error").alias("enabled"))
+    return K.post_response_variables(rows)
+
+
+@query("e13_environment_override", "SELECT n_nationkey, UNNEST([{'name': 'a.b', 'value': 'sub'}, {'name': 'a.c[0]', 'value': n_name}, {'name': 'd', 'value': '1'}], recursive := true) FROM nation")
+def e13(spark, sf):
+    base, sub = F.concat(F.lit('{"a":{"b":"base","c":["'), "n_name", F.lit('"]}}')), F.lit('{"a":{"b":"sub"},"d":1}')
+    both = V.table(spark, sf, "nation").select("n_nationkey", F.explode(F.array(F.struct(F.lit(0).alias("p"), base.alias("j")), F.struct(F.lit(1).alias("p"), sub.alias("j")))).alias("e")).select("n_nationkey", "e.p", J.flattened(F.col("e.j")).alias("m"))
+    return both.select("n_nationkey", "p", F.explode("m").alias("name", "value")).groupBy("n_nationkey", "name").agg(F.max_by("value", "p").alias("value"))
+
+
+@query("u1_user_predicates", "SELECT o_orderkey, LIST_FILTER([o_custkey, o_orderkey], lambda x: x % 2 = 0) AS kept FROM orders")
+def u1(spark, sf):
+    return V.table(spark, sf, "orders").select("o_orderkey", F.filter(F.array("o_custkey", "o_orderkey"), lambda x: x % 2 == 0).alias("kept"))
+
+
+@query("u2_named_checks", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'pass' ELSE 'fail' END AS status, CASE WHEN o_totalprice > 100000 THEN NULL ELSE 'large order does not hold' END AS error FROM orders")
+def u2(spark, sf):
+    return V.table(spark, sf, "orders").select("o_orderkey", K.named("large order", F.col("o_totalprice") > 100000).alias("c")).select("o_orderkey", "c.status", "c.error")
+
+
+QUERIES = [(1, "Get p"), (2, "building"), (3, "asia/nation_2 machinery"), (4, "/"), (5, "orders 77"), (6, "?")]
+FOUND = V.ctes("items") + """, paths AS (
+  SELECT i.uid, i.type, i.name, CASE WHEN i.uid LIKE 'o%' THEN 'https://api.example.com/orders/' || i.pos ELSE '' END AS url,
+    CONCAT_WS('/', c.name, b.name, a.name, i.name) AS path
+  FROM items i LEFT JOIN items a ON a.uid = i.parent_uid LEFT JOIN items b ON b.uid = a.parent_uid LEFT JOIN items c ON c.uid = b.parent_uid),
+q AS (SELECT * FROM (VALUES (1, ['get', 'p'], FALSE), (2, ['building'], FALSE), (3, ['asia', 'nation_2', 'machinery'], TRUE), (5, ['orders', '77'], FALSE)) v(query_id, terms, by_path)),
+tested AS (
+  SELECT query_id, uid, name, CASE WHEN type IN ('collection', 'folder') THEN type ELSE 'request' END AS type,
+    len(LIST_FILTER(terms, lambda t: NOT contains(LOWER(name), t))) = 0 AS by_name, len(LIST_FILTER(terms, lambda t: NOT contains(LOWER(url), t))) = 0 AS by_url,
+    by_path AND len(LIST_FILTER(terms, lambda t: NOT contains(LOWER(path), t))) = 0 AS in_path FROM paths, q),
+found AS (SELECT query_id, uid, name, type, CASE WHEN by_name THEN type WHEN type = 'request' AND by_url THEN 'url' WHEN type <> 'collection' AND in_path THEN 'path' END AS match_type FROM tested)
+"""
+
+
+def found(spark, sf):
+    items = V.items(spark, sf)
+    up = items.select(F.col("uid").alias("parent_uid"), F.col("name").alias("n1"), F.col("parent_uid").alias("p1"))
+    up2 = items.select(F.col("uid").alias("p1"), F.col("name").alias("n2"), F.col("parent_uid").alias("p2"))
+    up3 = items.select(F.col("uid").alias("p2"), F.col("name").alias("n3"))
+    rows = items.join(up, "parent_uid", "left").join(up2, "p1", "left").join(up3, "p2", "left")
+    url = F.when(F.col("uid").startswith("o"), F.concat(F.lit("https://api.example.com/orders/"), F.col("pos").cast("string")))
+    rows = rows.select("uid", "type", "name", url.alias("url"), F.concat_ws("/", "n3", "n2", "n1", "name").alias("path"))
+    return S.search(rows, spark.createDataFrame(QUERIES, "query_id int, query string"))
+
+
+@query("b14_search", FOUND + "SELECT query_id, uid, type, name, match_type FROM found WHERE match_type IS NOT NULL")
+def b14(spark, sf):
+    return found(spark, sf)
+
+
+@query("f4_ranked_search", FOUND + """SELECT query_id, uid, type, name, match_type, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY LIST_POSITION(['collection', 'folder', 'request', 'url', 'path'], match_type), LIST_POSITION(['collection', 'folder', 'request'], type), LOWER(name), uid)::INT AS rank
+FROM found WHERE match_type IS NOT NULL QUALIFY rank <= 20""")
+def f4(spark, sf):
+    return S.ranked(found(spark, sf), 20)
+
+
+@query("s24_turn_differences")
+def s24(spark, sf):
+    """Words between each turn of a conversation and the next."""
+    c = V.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("new_text"))
+    return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.posexplode(S.text_diff(F.col("text"), F.col("new_text"))).alias("pos", "s")).select("conv_id", "turn", "pos", "s.text", "s.status")
