@@ -24,7 +24,7 @@ from orrery.llm.ngram_join import similarity_components
 from orrery.llm.packing import pack
 from orrery.llm.queries import tokenizer_file
 
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def row_key() -> Column:
