@@ -74,7 +74,7 @@ def with_collection_names(traffic: DataFrame, collections: DataFrame) -> DataFra
 
 def process_metrics(samples: DataFrame) -> DataFrame:
     """CPU and memory (kilobytes to bytes) over all processes of a sample, and the time since the oldest started."""
-    return samples.groupBy("sample_ts").agg(F.round(F.sum("cpu"), 4).alias("cpu"), F.round(F.sum("memory_kb") * 1024, 2).alias("memory"), (F.col("sample_ts").cast("long") - F.min("creation").cast("long")).alias("uptime_s"))
+    return samples.groupBy("sample_ts").agg(F.round(F.sum("cpu"), 4).alias("cpu"), F.round(F.sum("memory_kb") * 1024, 2).alias("memory"), (F.col("sample_ts").cast("timestamp").cast("long") - F.min("creation").cast("timestamp").cast("long")).alias("uptime_s"))
 
 
 def fold_run(attached: DataFrame) -> DataFrame:

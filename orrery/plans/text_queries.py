@@ -34,11 +34,11 @@ def b11(spark, sf):
     return orders_body(spark, sf).select("o_custkey", J.json_get(F.col("body"), "..id").alias("ids"))
 
 
-@query("b12_filtered_items", "SELECT o_orderkey, [CAST(FLOOR(o_totalprice) AS BIGINT) + 1] AS picked, CAST(FLOOR(o_totalprice / 2) AS BIGINT) AS second FROM orders")
+@query("b12_filtered_items", "SELECT o_orderkey, CAST(FLOOR(o_totalprice) AS BIGINT) + 1 AS picked, CAST(FLOOR(o_totalprice / 2) AS BIGINT) AS second FROM orders")
 def b12(spark, sf):
     item = lambda n, v: F.struct(F.lit(n).alias("id"), F.floor(v).alias("amount"))
     o = V.table(spark, sf, "orders").select("o_orderkey", F.array(item(1, F.col("o_totalprice")), item(2, F.col("o_totalprice") / 2)).alias("items"))
-    return o.select("o_orderkey", F.transform(F.filter("items", lambda x: x["id"].eqNullSafe(1)), lambda x: x["amount"] + 1).alias("picked"), F.get("items", F.lit(1))["amount"].alias("second"))
+    return o.select("o_orderkey", F.get(F.transform(F.filter("items", lambda x: x["id"].eqNullSafe(1)), lambda x: x["amount"] + 1), F.lit(0)).alias("picked"), F.get("items", F.lit(1))["amount"].alias("second"))
 
 
 @query("b13_json_path", "SELECT event_id, '[' || json_extract_string(props, '$.k') || ']' AS picked FROM events")
@@ -118,9 +118,9 @@ def e13(spark, sf):
     return both.select("n_nationkey", "p", F.explode("m").alias("name", "value")).groupBy("n_nationkey", "name").agg(F.max_by("value", "p").alias("value"))
 
 
-@query("u1_user_predicates", "SELECT o_orderkey, LIST_FILTER([o_custkey, o_orderkey], lambda x: x % 2 = 0) AS kept FROM orders")
+@query("u1_user_predicates", "SELECT o_orderkey, ARRAY_TO_STRING(LIST_FILTER([o_custkey, o_orderkey], lambda x: x % 2 = 0), ',') AS kept FROM orders")
 def u1(spark, sf):
-    return V.table(spark, sf, "orders").select("o_orderkey", F.filter(F.array("o_custkey", "o_orderkey"), lambda x: x % 2 == 0).alias("kept"))
+    return V.table(spark, sf, "orders").select("o_orderkey", F.array_join(F.filter(F.array("o_custkey", "o_orderkey"), lambda x: x % 2 == 0), ",").alias("kept"))
 
 
 @query("u2_named_checks", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'pass' ELSE 'fail' END AS status, CASE WHEN o_totalprice > 100000 THEN NULL ELSE 'large order does not hold' END AS error FROM orders")

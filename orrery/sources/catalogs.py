@@ -22,7 +22,7 @@ def item_schema(depth: int) -> T.StructType:
 def read_json_files(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Rows of readable files, and (path, error) of the others. Files in skipped folders are not read."""
     with_error = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path).select(F.col("_metadata.file_path").alias("_path"), "value")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_path"), "value")
     files = files.where(~F.col("_path").rlike("/(" + "|".join(f.replace(".", r"\.") for f in SKIPPED_FOLDERS) + ")/"))
     rows = files.select("_path", F.from_json("value", with_error, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("_path", "r.*")
     return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select(F.col("_path").alias("path"), F.lit("unreadable JSON").alias("error"))

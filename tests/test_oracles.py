@@ -1,6 +1,7 @@
 """Every registered query with an oracle equals DuckDB on the smallest tables."""
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 from orrery.catalogue import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 def plain(x):
