@@ -56,7 +56,3 @@ def rows_of(batches: Iterator[pa.RecordBatch], max_bytes: int, column: str) -> I
             held += size
         yield batch.slice(start)
 
-
-def spread(spark: SparkSession, total_bytes: int, target: int) -> int:
-    """Partitions of about ``target`` bytes, never fewer than the session's shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // target))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_of
+from .common import rows_of
 
 #: Most parts that a worker's dictionary holds before it starts anew.
 CACHE_PARTS = 400_000
@@ -76,7 +76,7 @@ def encode_counts(distinct: DataFrame, path: str) -> DataFrame:
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col: str = "text", limit: int = 2048) -> DataFrame:
     """Every row of ``docs`` with ``n_bytes``, ``n_tokens`` and ``over_limit``; misses are appended to ``cache_path``.
 
-    Two 128-bit halves of SHA-256 would do; the whole digest is kept. Copies of one text may be a large part of all rows:
+    Copies of one text may be a large part of all rows:
     they meet in one encoding through map-side aggregation, and the join back is a sort-merge join that Spark splits.
     """
     spark = docs.sparkSession
