@@ -43,6 +43,9 @@ SIGNATURES = [
     ("1F8B", "application/gzip"),
 ]
 
+# Fixed value: what stands for the body of an image.
+IMAGE_NOTICE = "Response content redacted (image data)"
+
 TEXT_SHARE = 0.85
 SNIFFED_BYTES = 512
 
@@ -93,7 +96,7 @@ def sniff_type(body: Column) -> Column:
 
 
 def redact_image(mime: Column, body: Column) -> Column:
-    return F.when(F.contains(mime, F.lit("image")), F.lit("Response content redacted (image data)")).otherwise(body)
+    return F.when(F.contains(mime, F.lit("image")), F.lit(IMAGE_NOTICE)).otherwise(body)
 
 
 def response_size(status_line: Column, headers: Column, raw: Column, text: Column) -> Column:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.payload import fixed
 from ..plans.views import CHECK, GROUPS
 
+# Fixed value: name of the case that stands for a broken request in reports.
+ERROR_CASE = "Test suite has no errors"
+
 
 def checks(name: str) -> Column:
     return F.coalesce(F.col(name), F.array().cast(f"array<{CHECK}>"))
@@ -130,7 +133,7 @@ def report_cases(results: DataFrame) -> DataFrame:
     tag = lambda g: F.transform(checks(g), lambda c: c.withField("grp", F.lit(g)))
     tagged = F.concat(*[tag(g) for g in ("assertions", "pre_tests", "tests", "post_tests")])
     normal = F.transform(tagged, lambda c: F.struct(name(c).alias("case_name"), c["status"].alias("case_status"), seconds(F.col("run_duration") / n).alias("case_time"), F.when(c["status"] == "fail", c["error"]).alias("failure"), F.lit(None).cast("string").alias("case_error")))
-    broken = F.array(F.struct(F.lit("Test suite has no errors").alias("case_name"), F.lit("fail").alias("case_status"), seconds(F.col("run_duration")).alias("case_time"), F.lit(None).cast("string").alias("failure"), F.col("error").alias("case_error")))
+    broken = F.array(F.struct(F.lit(ERROR_CASE).alias("case_name"), F.lit("fail").alias("case_status"), seconds(F.col("run_duration")).alias("case_time"), F.lit(None).cast("string").alias("failure"), F.col("error").alias("case_error")))
     is_error = ~F.col("skipped") & F.col("error").isNotNull()
     return results.select("run_id", "seq", F.col("url").alias("classname"), F.posexplode(F.when(is_error, broken).otherwise(normal)).alias("case_pos", "c")).select("run_id", "seq", "classname", "case_pos", "c.*")
 
