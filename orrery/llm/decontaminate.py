@@ -6,7 +6,8 @@ longest item, and windows advance by half their length, so each item fits whole
 Scores are normalised: an item's BM25 score for a passage is divided by its score for itself, so one threshold serves items
 of any length. Retrieval returns *all* items at or above the threshold by block-max WAND:
 - each term has an upper bound over all items; a running sum of bounds over a text's words rules out most windows at once;
-- items are stored in blocks, each term with its greatest weight in each block; a window's block bounds rule out blocks;
+- items are stored in small blocks, each term with its greatest weight in each block that holds it; the sums of a window's block
+  bounds, taken for many windows at a time, rule out blocks and mostly whole windows;
 - in the blocks that are left, cursors over posting lists sorted by item are moved by pivoting on term bounds, skipping to
   the next block where its bounds fall short, and items at the pivot are scored in full.
 
@@ -37,7 +38,9 @@ from .common import rows_of
 SHARD_ITEMS = 20_000
 BATCH_BYTES = 4 << 20
 K1, B = 1.2, 0.75
-BLOCK_ITEMS = 8
+BLOCK_ITEMS = 2
+#: Block bounds that are summed at a time.
+CHUNK = 4_000_000
 _TABLE = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 _PUNCTUATION = re.compile("[‐-‧ «»]")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
@@ -96,14 +99,26 @@ class ItemIndex:
         self.weights = [np.array([v for _, v in p]) for p in lists]
         #: bound of each term, and one row more for words that no item has
         self.bound = np.array([*(w.max() for w in self.weights), 0.0])
-        self.blocks = -(-n // BLOCK_ITEMS)
-        self.block_bound = np.zeros((len(self.terms) + 1, max(1, self.blocks)), np.float32)
-        for t, (i, v) in enumerate(zip(self.items, self.weights, strict=True)):
-            np.maximum.at(self.block_bound[t], i // BLOCK_ITEMS, v)
+        self.blocks = max(1, -(-n // BLOCK_ITEMS))
+        # block bounds, term after term: which blocks hold a term, and its greatest weight there
+        at, blocks, most = [0], [], []
+        for i, v in zip(self.items, self.weights, strict=True):
+            held, first = np.unique(i // BLOCK_ITEMS, return_index=True)
+            blocks.append(held)
+            most.append(np.maximum.reduceat(v, first))
+            at.append(at[-1] + len(held))
+        self.block_at, self.block_of, self.block_bound = np.array(at), np.concatenate([*blocks, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*most, np.zeros(0)])
+
+    def block_sums(self, window: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """Upper bounds of each window and block from pairs of window and distinct term."""
+        start, count = self.block_at[term], self.block_at[term + 1] - self.block_at[term]
+        entry = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return np.bincount(np.repeat(window, count) * self.blocks + self.block_of[entry], self.block_bound[entry], n * self.blocks).reshape(n, self.blocks)
 
     def wand(self, query: np.ndarray, open_blocks: np.ndarray) -> list[tuple[int, float]]:
         """All items whose score for the distinct terms of ``query`` reaches the threshold."""
         lists = [[t, 0, self.items[t], self.weights[t]] for t in query.tolist()]
+        open_at = np.flatnonzero(open_blocks) * BLOCK_ITEMS
         found, slack = [], self.threshold - 1e-9
 
         def seek(x, item):
@@ -126,10 +141,13 @@ class ItemIndex:
                 return found
             block = pivot // BLOCK_ITEMS
             if not open_blocks[block]:
-                # block bounds fall short: on to the next block
+                # block bounds fall short: on to the next block where they don't
+                later = open_at[np.searchsorted(open_at, pivot) :]
+                if not len(later):
+                    return found
                 for x in lists:
-                    if head(x) < (block + 1) * BLOCK_ITEMS:
-                        seek(x, (block + 1) * BLOCK_ITEMS)
+                    if head(x) < later[0]:
+                        seek(x, later[0])
                 continue
             score = 0.0
             for x in lists:
@@ -141,10 +159,6 @@ class ItemIndex:
             if score >= slack:
                 found.append((pivot, score))
 
-    def windows(self, n: int) -> list[tuple[int, int]]:
-        half = self.window // 2
-        return [(a, min(n, a + self.window)) for a in range(0, max(1, n - half), half)]
-
     def retrieve(self, terms: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, int, list[tuple[int, float]]]]:
         """(text, first word, last word, hits) of the windows that reach an item. ``edges`` part the words by text."""
         half = self.window // 2
@@ -154,14 +168,20 @@ class ItemIndex:
         first = edges[of] + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * half
         last = np.minimum(first + self.window, edges[of + 1])
         sums = np.r_[0.0, np.cumsum(self.bound[terms])]
-        for k in np.flatnonzero(sums[last] - sums[first] >= self.threshold - 1e-6):
-            query = np.unique(terms[first[k] : last[k]])
-            query = query[query < len(self.terms)]
-            if self.bound[query].sum() < self.threshold - 1e-6:
-                continue
-            open_blocks = self.block_bound[query].sum(0) >= self.threshold - 1e-5
-            if open_blocks.any() and (hits := self.wand(query, open_blocks)):
-                yield int(of[k]), int(first[k]), int(last[k]), hits
+        left = np.flatnonzero(sums[last] - sums[first] >= self.threshold - 1e-6)
+        step, v = max(1, min(512, CHUNK // (16 * self.blocks))), len(self.terms)
+        for i in range(0, len(left), step):
+            some = left[i : i + step]
+            size = last[some] - first[some]
+            place = np.repeat(first[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            pair = np.repeat(np.arange(len(some)), size) * (v + 1) + terms[place]
+            pair = np.unique(pair[terms[place] < v])
+            window, term = pair // (v + 1), pair % (v + 1)
+            open_blocks = self.block_sums(window, term, len(some)) >= self.threshold - 1e-6
+            for k in np.flatnonzero(open_blocks.any(1)):
+                query = term[np.searchsorted(window, k) : np.searchsorted(window, k, "right")]
+                if hits := self.wand(query, open_blocks[k]):
+                    yield int(of[some[k]]), int(first[some[k]]), int(last[some[k]]), hits
 
 
 LEAKS = "bm25 double, question_overlap double, answer_overlap double, passage_start long"
