@@ -143,7 +143,10 @@ class ByteNet:
 def train(labelled: DataFrame, per_language: int = 1000, windows_per_text: int = 8, length: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
     """Fit on the texts with the smallest id hashes of each language; None if nothing is labelled."""
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
-    first = usable.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_language)
+    # hashes are uniform: a share of each language's that holds somewhat more than the wanted number is ranked, whatever its size
+    share = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * per_language + 100) / F.count("*")).alias("share"))
+    few = usable.select("lang", "h").join(share, "lang").where(F.col("h") <= F.col("share") * 2.0**64 - 2.0**63)
+    first = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_language)
     edge = first.groupBy("lang").agg(F.max("h").alias("edge"))
     chosen = usable.join(F.broadcast(edge), "lang").where(F.col("h") <= F.col("edge")).select("lang", "text")
 
