@@ -197,7 +197,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, limit:
     """
     spark = docs.sparkSession
     pieces = materialize(token_pieces(docs, json_path, ranks_path, limit, separator, id_col, text_col), "pieces")
-    bucket_rows = 1 << 16
+    bucket_rows = 1 << 12
     total = pieces.count()
     buckets = max(1, -(-total // bucket_rows))
     cell = F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)).cast("int")
