@@ -3,16 +3,17 @@
 Model. A text is its UTF-8 bytes and one end symbol, each coded in the context of the ``ORDER`` bytes before it (texts start
 behind padding symbols; padding and end are byte values that UTF-8 never uses). The trie of contexts is the table of
 distinct byte (ORDER+1)-grams of the training texts with their counts: shorter contexts are sums over its suffixes.
-Coding starts at the longest context seen in training. There a symbol seen n times gets n / (total + distinct), the escape
-to the next shorter context distinct / (total + distinct). After an escape the symbols of the longer context are excluded.
+Coding starts at the longest context seen in training. There a symbol seen n times gets (n - 1/2) / total, the escape to the
+next shorter context distinct / (2 total) (escape method D). After an escape the symbols of the longer context are excluded.
 Since the followers of a context are followers of its suffix too, what exclusion removes is one number per context: the
 suffix's count of the context's followers. Below order 0 the symbols not seen at all share the rest equally.
 
 Jobs. Texts are cut into pieces that end at white space and pieces are dealt by hash to blocks of about ``BLOCK_BYTES``.
-A block gives its distinct grams and words with their training counts. Grams meet by the last three bytes of their context, so
-that all their contexts down to order 3 are in one task; groups there have at most 257**3 members. Orders below 3 are one
-table of at most 257**3 rows (a few thousand in practice), the only data that is broadcast. The log-probabilities go back to
-the blocks that asked for them, where pieces are scored by look-up. Nothing is collected from the corpus but that table and
+A block gives its distinct grams and words with their training counts, in compressed parcels by hash range. Grams meet by the
+last three bytes of their context, so that all their contexts down to order 3 are in one task; contexts alike in those bytes
+have at most 257**3 grams. Orders below 3 are one table of at most 257**3 rows (some ten thousand in practice), the only data
+that is broadcast. A range sends each block the log-probabilities of what it asked for, in the order of its parcel, and the
+block scores its pieces by look-up (probabilities travel with 24 significant bits, sums are double). Nothing is collected from the corpus but that table and
 two totals; memory is bounded by a block; a hot source or group of copies spreads over blocks as pieces are hashed by id.
 
 Base model: words and one end per text under counts with additive smoothing, as in the query's contract.
@@ -24,21 +25,23 @@ an empty result.
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, rows_of
 
 ORDER = 5
+#: Order of the table that every task holds; ranges keep together what shares the context of the next order.
+LOW = 2
 PAD, END = b"\xfe", b"\xff"
 ALPHABET = 257
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 PIECE_BYTES = 1 << 20
 WHITE = b" \t\n\x0b\x0c\r"
 
@@ -93,35 +96,37 @@ class Block:
         self.firsts = np.cumsum(self.sizes) - self.sizes
 
     def codes(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each coded place the number of its gram, and the distinct grams.
-
-        Grams grow by one byte at a time, and those that occur are numbered anew each time by table look-up.
-        """
-        alphabet = np.flatnonzero(np.bincount(self.bytes, minlength=256))
-        symbol = np.zeros(256, np.int32)
-        symbol[alphabet] = np.arange(len(alphabet))
-        symbols = symbol[self.bytes]
-        number, value = symbols, alphabet.astype(np.int64)
-        for k in range(1, ORDER + 1):
-            code = number[: len(symbols) - k] * np.int64(len(alphabet)) + symbols[k:]
-            span = len(value) * len(alphabet)
-            if span <= 1 << 26:
-                used = np.zeros(span, bool)
-                used[code] = True
-                known = np.flatnonzero(used)
-                index = np.zeros(span, np.int32)
-                index[known] = np.arange(len(known), dtype=np.int32)
-                number = index[code]
-            else:
-                known, number = np.unique(code, return_inverse=True)
-                number = number.astype(np.int32)
-            value = value[known // len(alphabet)] << 8 | alphabet[known % len(alphabet)]
-        at = number[self.places - ORDER]
-        # grams that run over the border of two pieces are no grams of either
-        real = np.zeros(len(value), bool)
-        real[at] = True
-        index = np.cumsum(real) - 1
-        return index[at], value[real]
+        """For each coded place the number of its gram, and the distinct grams in ascending order."""
+        code = np.zeros(len(self.places), np.uint64)
+        for k in range(ORDER, -1, -1):
+            code = code << np.uint64(8) | self.bytes[self.places - k]
+        at, grams = numbered(code)
+        return at, grams.astype(np.int64)
+
+
+SLOT_BITS = 22
+
+
+def numbered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with inverse, for many repeats: equal codes find each other in a hash table, and only distinct ones are
+    sorted. Codes that lose their slot to another try again with another multiplier."""
+    holder, todo, odd = np.zeros(len(code), np.int32), np.arange(len(code), dtype=np.int32), 0x9E3779B97F4A7C15
+    table = np.zeros(1 << SLOT_BITS, np.int32)
+    while len(todo):
+        own = code[todo]
+        slot = (own * np.uint64(odd) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+        table[slot] = todo
+        found = table[slot]
+        same = code[found] == own
+        holder[todo[same]] = found[same]
+        todo, odd = todo[~same], odd * 0x5851F42D4C957F2D + 2 & (1 << 64) - 1 | 1
+    is_holder = np.zeros(len(code), bool)
+    is_holder[holder] = True
+    holders = np.flatnonzero(is_holder)
+    holders = holders[np.argsort(code[holders])]
+    number = np.zeros(len(code), np.int32)
+    number[holders] = np.arange(len(holders), dtype=np.int32)
+    return number[holder], code[holders]
 
 
 class Numbering(dict):
@@ -136,30 +141,100 @@ def number_words(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[byte
     for i in range(0, len(pieces), 256):
         split = [p[ORDER:].lower().split() for p in pieces[i : i + 256]]
         sizes += map(len, split)
-        flat.append(np.fromiter((numbers[w] for s in split for w in s), np.int32, sum(map(len, split))))
+        flat.append(np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int32, sum(map(len, split))))
     return np.concatenate(flat) if flat else np.zeros(0, np.int32), np.array(sizes, np.int64), list(numbers)
 
 
-STATS = "block int, gram long, word binary, n long"
+def packed(x: np.ndarray, width: int) -> bytes:
+    """Whole numbers as byte planes, compressed."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), codec="zstd", asbytes=True)
 
 
-def block_stats(group: pa.Table) -> pa.Table:
-    """Distinct grams and words of a block with their counts in training pieces (0 where only others have them)."""
-    pieces, last, train = (group.column(c).to_pylist() for c in ("piece", "last", "train"))
-    block = group.column("block")[0].as_py()
-    held = Block(pieces, last)
-    at, grams = held.codes()
-    weight = np.repeat(np.array(train), held.sizes)
-    n = np.bincount(at[weight], minlength=len(grams))
-    numbers, sizes, words = number_words(pieces)
-    m = np.bincount(numbers[np.repeat(np.array(train), sizes)], minlength=len(words))
-    nothing = pa.nulls(len(words), pa.int64()), pa.nulls(len(grams), pa.binary())
-    return pa.table({
-        "block": pa.array(np.full(len(grams) + len(words), block, np.int32)),
-        "gram": pa.concat_arrays([pa.array(grams, pa.int64()), nothing[0]]),
-        "word": pa.concat_arrays([nothing[1], pa.array(words, pa.binary())]),
-        "n": pa.array(np.concatenate([n, m]), pa.int64()),
-    })
+def unpacked(blob: bytes, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(blob, n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<i8").ravel()
+
+
+def gram_ranges(grams: np.ndarray, ranges: int) -> np.ndarray:
+    """Grams that share the last three bytes of their context share a range."""
+    return ((((grams >> 8) & 0xFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> 7) % ranges
+
+
+def by_range(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(range, places in ascending order) of all ranges that occur."""
+    order = np.argsort(of, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0]) if len(of) else []
+    for places in np.split(order, first[1:]) if len(of) else ():
+        yield int(of[places[0]]), places
+
+
+def word_ranges(words: list[bytes], ranges: int) -> np.ndarray:
+    return np.array([zlib.crc32(w) % ranges for w in words], np.int64)
+
+
+STATS = "block int, range int, kind string, n int, keys binary, counts binary, low_key long, low_n long"
+
+
+def block_stats(ranges: int):
+    """Distinct grams and words of a block with their counts in training pieces (0 where only others have them), parcelled
+    by range, and its counts of the grams of order LOW."""
+
+    def run(group: pa.Table) -> pa.Table:
+        pieces, last, train = (group.column(c).to_pylist() for c in ("piece", "last", "train"))
+        train = np.array(train)
+        held = Block(pieces, last)
+        at, grams = held.codes()
+        n = np.bincount(at[np.repeat(train, held.sizes)], minlength=len(grams))
+        rows = []
+        for r, places in by_range(gram_ranges(grams, ranges)):
+            rows.append((r, "gram", len(places), packed(np.diff(grams[places], prepend=0), ORDER + 1), packed(n[places], 4), None, None))
+        numbers, sizes, words = number_words(pieces)
+        m = np.bincount(numbers[np.repeat(train, sizes)], minlength=len(words))
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        words, m = [words[i] for i in order], m[order]
+        for r, places in by_range(word_ranges(words, ranges)):
+            rows.append((r, "word", len(places), pa.compress(b"\n".join(words[i] for i in places), codec="zstd", asbytes=True), packed(m[places], 4), sum(len(words[i]) + 1 for i in places) - 1, None))
+        keys, where = np.unique(grams & ((1 << 8 * (LOW + 1)) - 1), return_inverse=True)
+        rows += [(None, "low", None, None, None, k, c) for k, c in zip(keys.tolist(), np.bincount(where, n, len(keys)).astype(np.int64).tolist(), strict=True)]
+        block = group.column("block")[0].as_py()
+        types = pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+        return pa.table([pa.array([block] * len(rows), pa.int32()), *columns], ["block", "range", "kind", "n", "keys", "counts", "low_key", "low_n"])
+
+    return run
+
+
+ANSWERS = "block int, range int, kind string, n int, answer binary, total long, distinct long"
+
+
+def answer_range(low):
+    """To every block what it asked for in one range: log10 probabilities of its grams, counts of its words."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows, total, distinct = [], 0, 0
+        parcels = group.select(["block", "range", "kind", "n", "keys", "counts", "low_key"]).to_pylist()
+        grams = [x for x in parcels if x["kind"] == "gram"]
+        if grams:
+            keys = [np.cumsum(unpacked(x["keys"], x["n"], ORDER + 1)) for x in grams]
+            every, at = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(at, np.concatenate([unpacked(x["counts"], x["n"], 4) for x in grams]), len(every)).astype(np.int64)
+            log = gram_log10(every, n, *low.value)[at].astype("<f4")
+            for x, part in zip(grams, np.split(log, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+                rows.append((x["block"], x["range"], "gram", x["n"], pa.compress(part.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True), None, None))
+        asked = [(x, pa.decompress(x["keys"], x["low_key"], codec="zstd", asbytes=True).split(b"\n"), unpacked(x["counts"], x["n"], 4)) for x in parcels if x["kind"] == "word"]
+        count: dict[bytes, int] = {}
+        for _, words, n in asked:
+            for w, c in zip(words, n.tolist(), strict=True):
+                count[w] = count.get(w, 0) + c
+        for x, words, _ in asked:
+            rows.append((x["block"], x["range"], "word", x["n"], packed(np.array([count[w] for w in words]), 6), None, None))
+        total, distinct = sum(count.values()), sum(c > 0 for c in count.values())
+        rows.append((None, None, "sums", None, None, total, distinct))
+        types = pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64()
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in ANSWERS.split(", ")])
+
+    return run
 
 
 def by_context(keys: np.ndarray, n: np.ndarray, order: int) -> dict[str, np.ndarray]:
@@ -175,7 +250,7 @@ def shorten(keys: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np
     return short, np.bincount(at, n, len(short)).astype(np.int64), at
 
 
-def gram_log10(grams: np.ndarray, n: np.ndarray, low_keys: np.ndarray, low_n: np.ndarray, low_order: int = 2) -> np.ndarray:
+def gram_log10(grams: np.ndarray, n: np.ndarray, low_keys: np.ndarray, low_n: np.ndarray, low_order: int = LOW) -> np.ndarray:
     """log10 probability of the last byte of each gram after the others.
 
     ``grams`` holds every gram that shares a context of order 3 with one of them; ``low_keys`` and ``low_n`` are the
@@ -194,11 +269,11 @@ def gram_log10(grams: np.ndarray, n: np.ndarray, low_keys: np.ndarray, low_n: np
         of = level["of"][request]
         total, distinct = level["total"][of] - gone_total, level["distinct"][of] - gone_distinct
         hits = level["n"][request]
-        rest = np.maximum(total + distinct, 1)
+        rest = np.maximum(total, 1)
         found = open_ & (hits > 0)
-        logs[found] += np.log10(hits[found] / rest[found])
+        logs[found] += np.log10((hits[found] - 0.5) / rest[found])
         escape = open_ & ~found & (distinct > 0)
-        logs[escape] += np.log10(distinct[escape] / rest[escape])
+        logs[escape] += np.log10(distinct[escape] / 2 / rest[escape])
         open_ &= ~found
         seen_distinct = level["distinct"][of]
         if order == 0:
@@ -217,76 +292,81 @@ def gram_log10(grams: np.ndarray, n: np.ndarray, low_keys: np.ndarray, low_n: np
     return out
 
 
-def model_table(grams: DataFrame, spark) -> DataFrame:
-    """(gram, log10 probability) for every distinct gram of the corpus."""
-    low = grams.groupBy((F.col("gram").bitwiseAND(0xFFFFFF)).alias("key")).agg(F.sum("n").alias("n")).toPandas().sort_values("key")  # at most 257**3 rows
-    shared = spark.sparkContext.broadcast((low["key"].to_numpy(np.int64), low["n"].to_numpy(np.int64)))
+SCORES = "row long, n_tokens long, n_known long, word_log double, score double, ends boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if held:
-            table = pa.Table.from_batches(held)
-            keys = table.column("gram").to_numpy()
-            log = gram_log10(keys, table.column("n").to_numpy(), *shared.value)
-            for i in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)]), pa.array(log[i : i + (1 << 16)])], ["gram", "log"])
-
-    suffix = F.shiftright("gram", 8).bitwiseAND(0xFFFFFF)
-    return grams.withColumn("suffix", suffix).repartition("suffix").select("gram", "n").mapInArrow(run, "gram long, log double")
-
-
-def score_block(key, pieces: pa.Table, stats: pa.Table) -> pa.Table:
-    """Sums of a block's pieces by row: tokens, known tokens, smoothed word scores, model scores."""
-    rows = {"row": [], "n_tokens": [], "n_known": [], "word_log": [], "score": []}
-    if pieces.num_rows:
+
+def score_block(ranges: int, smooth):
+    """Sums of a block's pieces: tokens, known tokens, smoothed word scores, model scores."""
+
+    def run(key, pieces: pa.Table, answers: pa.Table) -> pa.Table:
         held, last = pieces.column("piece").to_pylist(), pieces.column("last").to_pylist()
+        got = {(x["kind"], x["range"]): (x["n"], x["answer"]) for x in answers.select(["kind", "range", "n", "answer"]).to_pylist()}
         block = Block(held, last)
         at, grams = block.codes()
-        is_gram = pa.compute.is_valid(stats.column("gram"))
-        of_grams, of_words = stats.filter(is_gram), stats.filter(pa.compute.invert(is_gram))
-        keys, log = of_grams.column("gram").to_numpy(), of_grams.column("log").to_numpy()
-        order = np.argsort(keys)
-        by_gram = log[order[np.searchsorted(keys[order], grams)]]
-        score = np.where(block.sizes > 0, np.add.reduceat(np.r_[by_gram[at], 0.0], block.firsts), 0.0) if len(block.sizes) else np.zeros(0)
+        by_gram = np.empty(len(grams))
+        for r, places in by_range(gram_ranges(grams, ranges)):
+            n, blob = got["gram", r]
+            by_gram[places] = np.ascontiguousarray(np.frombuffer(pa.decompress(blob, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T).view("<f4").ravel()
+        score = sums_of(by_gram[at], block.sizes)
         numbers, sizes, words = number_words(held)
-        logs = dict(zip(of_words.column("word").to_pylist(), zip(of_words.column("log").to_pylist(), of_words.column("n").to_pylist(), strict=True), strict=True))
-        word_log, known = np.array([logs[w][0] for w in words] or [0.0]), np.array([logs[w][1] > 0 for w in words] or [False])
-        firsts = np.cumsum(sizes) - sizes
-        per = lambda x: np.where(sizes > 0, np.add.reduceat(np.r_[x, x[:0].dtype.type(0)], np.minimum(firsts, len(x))), 0)
-        rows = {"row": pieces.column("row").to_numpy(), "n_tokens": sizes + np.array(last), "n_known": per(known[numbers].astype(np.int64) if len(words) else np.zeros(0, np.int64)), "word_log": per(word_log[numbers] if len(words) else np.zeros(0)), "score": score}
-    return pa.table({"row": pa.array(rows["row"], pa.int64()), "n_tokens": pa.array(rows["n_tokens"], pa.int64()), "n_known": pa.array(rows["n_known"], pa.int64()), "word_log": pa.array(rows["word_log"], pa.float64()), "score": pa.array(rows["score"], pa.float64()), "ends": pa.array(last if pieces.num_rows else [], pa.bool_())})
-
-
-SCORES = "row long, n_tokens long, n_known long, word_log double, score double, ends boolean"
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        counts = np.empty(len(words), np.int64)
+        for r, places in by_range(word_ranges([words[i] for i in order], ranges)):
+            n, blob = got["word", r]
+            counts[order[places]] = unpacked(blob, n, 6)
+        return pa.table({
+            "row": pieces.column("row"),
+            "n_tokens": pa.array(sizes + np.array(last, np.int64), pa.int64()),
+            "n_known": pa.array(sums_of((counts > 0)[numbers].astype(np.int64), sizes)),
+            "word_log": pa.array(sums_of(smooth(counts)[numbers], sizes)),
+            "score": pa.array(score),
+            "ends": pa.array(last, pa.bool_()),
+        })
+
+    return run
+
+
+def sums_of(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of the given sizes, some of which may be 0."""
+    out = np.zeros(len(sizes), x.dtype)
+    full = sizes > 0
+    if full.any():
+        out[full] = np.add.reduceat(x, (np.cumsum(sizes) - sizes)[full])
+    return out
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; ``train`` tells whom to learn from."""
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit("")))).alias("b")).first()["b"] or 0
-    blocks = max(1, -(-total // block_bytes))
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    size = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")).alias("b"), F.count_if(train).alias("ends"), F.count("*").alias("n")).first()
+    if not size["n"]:
+        return spark.createDataFrame([], schema)
+    blocks = max(1, -(-size["b"] // block_bytes))
+    ranges = max(32, 2 * blocks)
     pieces = pieces_of(docs, train, blocks, id_col, text_col)
-    stats = materialize(pieces.groupBy("block").applyInArrow(block_stats, STATS), "lm-stats")
-    grams = stats.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
-    words = stats.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
-    model = model_table(grams, spark)
-    words = materialize(words, "lm-words")
-    sums = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    ends = docs.where(train).count()
+    stats = materialize(pieces.groupBy("block").applyInArrow(block_stats(ranges), STATS), "lm-stats")
+    low = stats.where("kind = 'low'").groupBy("low_key").agg(F.sum("low_n").alias("n")).toPandas().sort_values("low_key")  # at most 257**3 rows
+    shared = spark.sparkContext.broadcast((low["low_key"].to_numpy(np.int64), low["n"].to_numpy(np.int64)))
+    answers = materialize(stats.where("kind <> 'low'").groupBy("range").applyInArrow(answer_range(shared), ANSWERS), "lm-answers")
+    sums = answers.where("kind = 'sums'").agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
+    ends = size["ends"]
     train_tokens, distinct = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
-    smooth = lambda c: F.log10((c + 0.1) / (train_tokens + 0.1 * (distinct + 1)))
-    end_log = math.log10((ends + 0.1) / (train_tokens + 0.1 * (distinct + 1)))
-    answers = stats.where("gram is not null").select("block", "gram").join(model, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.lit(0).cast("long").alias("n"), "log").unionByName(stats.where("word is not null").select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", "n", smooth(F.col("n")).alias("log")))
-    scored = pieces.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block, SCORES)
-    # a row's pieces; rows alike in id and text give the same sums, so any of them serves: `ends` counts their copies
+    smooth = lambda c: np.log10((c + 0.1) / (train_tokens + 0.1 * (distinct + 1)))
+    scored = pieces.groupBy("block").cogroup(answers.where("kind <> 'sums'").groupBy("block")).applyInArrow(score_block(ranges, smooth), SCORES)
+    # rows alike in id and text give the same sums, so all of them together are divided by their number, the ends they have
     by_row = scored.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "word_log", "score")], F.count_if("ends").alias("copies"))
-    out = docs.select(F.col(id_col), (~train).alias("held_out"), F.xxhash64(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).alias("row"))
-    return out.join(by_row, "row").select(
-        id_col,
-        "held_out",
-        (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens"),
-        ((F.col("n_known") / F.col("copies")).cast("long") + F.lit(1 if ends else 0)).alias("n_known"),
-        F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("word_log") / F.col("copies") + F.lit(end_log)).alias("base_score"),
-        (F.col("score") / F.col("copies")).alias("score"),
+    row = F.xxhash64(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    return (
+        docs.select(F.col(id_col), (~train).alias("held_out"), row.alias("row"))
+        .join(by_row, "row")
+        .select(
+            id_col,
+            "held_out",
+            (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens"),
+            ((F.col("n_known") / F.col("copies")).cast("long") + F.lit(1 if ends else 0)).alias("n_known"),
+            F.lit(train_tokens).cast("long").alias("train_tokens"),
+            (F.col("word_log") / F.col("copies") + F.lit(float(smooth(ends)))).alias("base_score"),
+            (F.col("score") / F.col("copies")).alias("score"),
+        )
     )
