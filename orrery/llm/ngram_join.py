@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, rows_of
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Shingles of a task that are counted together before they are sent.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 RANGE_BITS = 8
-RARE_BITS, FREQUENT_BITS = 28, 26
+#: Bits of the bitmap of rare and frequent shingles: the first that suffices, at most 32 MB; and of that of frequent ones.
+RARE_BITS, FREQUENT_BITS = [22, 24, 26, 27, 28], 24
 #: Shares of the bitmaps that may be set; the class bounds rise until it holds.
 FILL = 1 / 12
 FREQUENT = 24
@@ -188,7 +189,8 @@ def class_bitmaps(counts: DataFrame) -> tuple[int, Bitmap, Bitmap]:
     reach = np.zeros(len(LEVELS), np.int64)
     for r in counts.select("reach").collect():  # 2**RANGE_BITS rows
         reach += r["reach"]
-    low = next(x for x, n in zip(LEVELS, reach, strict=True) if n <= FILL * (1 << RARE_BITS))
+    rare_bits = next((b for b in RARE_BITS if reach[0] <= FILL * (1 << b)), RARE_BITS[-1])
+    low = next(x for x, n in zip(LEVELS, reach, strict=True) if n <= FILL * (1 << rare_bits))
     high = next(x for x, n in zip(LEVELS, reach, strict=True) if x >= max(FREQUENT, low) and n <= FILL * (1 << FREQUENT_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,18 +198,18 @@ def class_bitmaps(counts: DataFrame) -> tuple[int, Bitmap, Bitmap]:
             for part, n, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "blob")), strict=True):
                 keys, counts = unpacked(blob, n)
                 made = []
-                for bits, least in ((RARE_BITS, low), (FREQUENT_BITS, high)):
+                for bits, least in ((rare_bits, low), (FREQUENT_BITS, high)):
                     mark = np.zeros(1 << (bits - RANGE_BITS), np.uint8)
                     mark[keys[counts >= least] >> (32 - bits)] = 1
                     made.append(np.packbits(mark, bitorder="little").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([made[0]]), pa.array([made[1]])], ["part", "rare", "frequent"])
 
-    data = [np.zeros(1 << (bits - 3), np.uint8) for bits in (RARE_BITS, FREQUENT_BITS)]
-    # fixed size: 32 and 8 MB
+    data = [np.zeros(1 << (bits - 3), np.uint8) for bits in (rare_bits, FREQUENT_BITS)]
+    # at most 32 and 2 MB, a part of 2**-RANGE_BITS at a time
     for r in counts.select("part", "n", "blob").mapInArrow(run, "part int, rare binary, frequent binary").toLocalIterator():
         for d, b in zip(data, (r["rare"], r["frequent"]), strict=True):
             d[r["part"] * len(b) : (r["part"] + 1) * len(b)] = np.frombuffer(b, np.uint8)
-    return low, Bitmap(RARE_BITS, data[0]), Bitmap(FREQUENT_BITS, data[1])
+    return low, Bitmap(rare_bits, data[0]), Bitmap(FREQUENT_BITS, data[1])
 
 
 def band_width(percent: int) -> float:
@@ -254,9 +256,9 @@ def signatures(s: np.ndarray, rare_from: int, rare: Bitmap, frequent: Bitmap, pe
     return np.unique(np.concatenate(out)) if out else s[:0]
 
 
-def index(docs: DataFrame, size: int, percent: int, rare_from: int, rare: Bitmap, frequent: Bitmap) -> DataFrame:
+def index(docs: DataFrame, size: int, percent: int, classes: tuple[int, Bitmap, Bitmap]) -> DataFrame:
     """(sig, key, n): one entry for each signature and class, at most once a task."""
-    shared = docs.sparkSession.sparkContext.broadcast((rare_from, rare, frequent))
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -272,7 +274,9 @@ def index(docs: DataFrame, size: int, percent: int, rare_from: int, rare: Bitmap
             if sig:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(key), pa.int64()), pa.array(np.concatenate(n), pa.int64())], ["sig", "key", "n"])
 
-    return docs.select("text").mapInArrow(run, "sig long, key long, n long")
+    entries = materialize(docs.select("text").mapInArrow(run, "sig long, key long, n long"), "index")
+    shared.destroy()
+    return entries
 
 
 def wanted_sets(docs: DataFrame, size: int, keys: DataFrame) -> DataFrame:
@@ -305,7 +309,9 @@ def wanted_sets(docs: DataFrame, size: int, keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(members, pa.binary())], ["key", "members"])
 
     found = docs.select("text").mapInArrow(run, "key long, members binary").join(keys.hint("shuffle_hash"), "key", "left_semi")
-    return found.groupBy("key").agg(F.first("members").alias("members"))
+    sets = materialize(found.groupBy("key").agg(F.first("members").alias("members")), "members")
+    shared.destroy()
+    return sets
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -391,7 +397,7 @@ def similarity_components(docs: DataFrame, size: int = 3, percent: int = 90, id_
     described = materialize(describe(docs, size), "sets")
     texts = described.where("part is null").select("id", "n", "key")
     counts = materialize(described.where("part is not null").select("part", "n", "blob").groupBy("part").applyInArrow(bucket_counts, "part int, n long, blob binary, reach array<long>"), "buckets")
-    entries = materialize(index(docs, size, percent, *class_bitmaps(counts)), "index")
+    entries = index(docs, size, percent, class_bitmaps(counts))
     lists = entries.groupBy("sig").agg(F.count("*").alias("g"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("sig", "g")
     shared = materialize(entries.join(lists, "sig").distinct(), "lists")
     short, long_ = shared.where(F.col("g") <= SHORT_LIST), shared.where(F.col("g") > SHORT_LIST)
@@ -404,7 +410,7 @@ def similarity_components(docs: DataFrame, size: int = 3, percent: int = 90, id_
     spokes = under.where((F.col("key") != F.col("pivot")) & fits(F.col("n"), F.col("pn"))).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
     pairs = materialize(near.union(spokes).distinct(), "pairs")
     keys = materialize(pairs.select("a").union(pairs.select("b")).union(under.select("key")).distinct().toDF("key"), "keys")
-    sets = materialize(wanted_sets(docs, size, keys), "members")
+    sets = wanted_sets(docs, size, keys)
     links = materialize(verified(pairs, sets, percent), "verified")
     roots = components(links)
     rooted = under.select("pivot", "key").distinct().join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
