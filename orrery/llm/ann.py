@@ -3,7 +3,10 @@
 Largest inner product becomes least distance by one more coordinate: with M the greatest norm, x gets sqrt(M^2 - |x|^2) and
 a query gets 0, so |q - x|^2 = |q|^2 + M^2 - 2 q.x. Coordinates are then turned by one random rotation.
 Rows go to inverted lists by their nearest centroid. Centroids are fitted by k-means on at most ``SAMPLE`` rows, those with
-the smallest id hashes; every row is indexed. Each query probes the lists with the nearest centroids.
+the smallest id hashes; every row is indexed. Each query probes the lists with the nearest centroids; how many is measured on
+the table itself: the true neighbours of at most ``MEASURED`` queries (those with the smallest id hashes) are found by reading
+every row once, and the least number of probes is taken that reaches the wanted share of them. On vectors without directions that
+number grows with the number of lists.
 
 Inside a list, candidates lie in column blocks of rotated coordinates. After a block, the partial distance d over k of D
 dimensions estimates the whole distance: a rotated difference has partial lengths close to sqrt(k/D) of its own, and the
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SAMPLE = 20_000
+MEASURED = 128
 LIST_ROWS = 512
 MOST_LISTS = 4096
 PART = 2048
@@ -110,8 +114,45 @@ def stack(column: pa.Array, dims: int) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten(), np.float64).reshape(-1, dims)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: int = 24, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, <id>, score): the k rows with the largest inner product found for each query."""
+def probes_needed(indexed: DataFrame, queries: DataFrame, space: Space, k: int, reached: float) -> int:
+    """The least number of probed lists that hold ``reached`` of the k true neighbours of a bounded number of queries."""
+    lists = len(space.centres)
+    some = queries.orderBy(F.xxhash64("id"), "id").limit(MEASURED).collect() if lists > 1 else []
+    if not some:
+        return lists
+    names, q = np.array([r["id"] for r in some]), np.array([r["v"] for r in some])
+    shared = indexed.sparkSession.sparkContext.broadcast((names, q))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = shared.value
+        top = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32))] * len(q)
+        for batch in batches:
+            if batch.num_rows:
+                ids, own = batch.column("id").to_numpy(), batch.column("list").to_numpy()
+                scores = q @ stack(batch.column("v"), q.shape[1]).T
+                for i in range(len(q)):
+                    at = np.flatnonzero(ids != names[i])
+                    if len(at) > k:
+                        at = at[scores[i, at] >= np.partition(scores[i, at], -k)[-k]]
+                    every = [np.concatenate(x) for x in zip(top[i], (scores[i, at], ids[at], own[at]), strict=True)]
+                    first = np.lexsort((every[1], -every[0]))[:k]
+                    top[i] = tuple(x[first] for x in every)
+        which = np.repeat(np.arange(len(q), dtype=np.int32), [len(t[0]) for t in top])
+        columns = [np.concatenate([t[j] for t in top]) for j in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(which), *map(pa.array, columns)], ["query", "score", "id", "list"])
+
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    found = indexed.select("list", "id", "v").mapInArrow(best, "query int, score double, id long, list int").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("query", "list").collect()
+    if not found:
+        return lists
+    place = nearest(space.lift_query(q), space.centres, lists).argsort(1)
+    needed = np.sort([place[r["query"], r["list"]] for r in found])
+    return int(needed[int(np.ceil(reached * len(needed))) - 1]) + 1
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, reached: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, <id>, score): the k rows with the largest inner product found for each query; ``reached`` is the share of
+    the true neighbours of measured queries that lie in probed lists."""
     spark = vectors.sparkSession
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(finite)
@@ -136,14 +177,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: int = 24,
         space = shared.value
         for batch in batches:
             if batch.num_rows:
-                near = nearest(space.lift_query(stack(batch.column("v"), dims)), space.centres, min(probes, len(space.centres)))
+                near = nearest(space.lift_query(stack(batch.column("v"), dims)), space.centres, probes)
                 which = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), batch.column("id").take(which), batch.column("v").take(which)], ["list", "id", "v"])
 
     indexed = materialize(rows.select("id", "v").mapInArrow(assign, "list int, id long, v array<double>"), "lists")
     parts = F.broadcast(indexed.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))  # at most MOST_LISTS rows
     held = indexed.join(parts, "list").select("list", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id", "v")
-    asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(probe, "list int, id long, v array<double>").join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v")
+    queries = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
+    probes = probes_needed(indexed, queries, shared.value, k, reached)
+    asked = queries.mapInArrow(probe, "list int, id long, v array<double>").join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v")
 
     def run(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
         out = [[], [], []]
