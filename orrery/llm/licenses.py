@@ -1,13 +1,14 @@
 """Licence recognition by sentence rules, in DataFrame expressions alone.
 
 A text is cut into sentences, each sentence is normalised (lower case, runs of anything but letters, digits and dots that
-join digits become one space), and looked up among known licence sentences. What remains is the text's sequence of sentence
+join digits become one space), and looked up among known licence sentences. Sentences end at blank lines and at the marks
+``.;:!?``; a known sentence may be wrapped over lines, and starts and ends where a sentence or a line does. What remains is the text's sequence of sentence
 identifiers in order; a licence rule is an ordered list of identifiers that must occur in it in that order, with
 nothing but unknown sentences between them. Longer rules are tried first and consume the identifiers they match, so a rule
 that is part of another is not reported beside it.
 
-Everything happens inside the row: no shuffle, no Python, memory bounded by one text. Sentences that hold none of the words
-that every known sentence has one of are dropped before they are normalised.
+Everything happens inside the row: no shuffle, no Python, memory bounded by one text. Texts that hold none of the words that every
+known sentence has one of are not normalised.
 
 Defined results: null, empty and licence-free texts give empty lists; repeated rows are returned as often as they come;
 an empty table gives an empty result; columns pass through, and the added ones replace input columns of the same name.
@@ -15,6 +16,8 @@ an empty table gives an empty result; columns pass through, and the added ones r
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,20 +30,39 @@ SENTENCES = {
     "released under the mit license": "MITGrant",
     "licensed under the mit license": "MITGrant",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "MITPermission",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MITPermission",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MITNotice",
     "the software is provided as is without warranty of any kind": "MITWarranty",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MITWarranty",
     "this work is licensed under the gnu general public license version 3": "GPL3Grant",
     "this work is licensed under the gnu general public license version 2": "GPL2Grant",
     "this program is free software": "GPLFree",
     "you can redistribute it and or modify it under the terms of the gnu general public license": "GPLTerms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "GPLTerms",
+    "either version 3 of the license or at your option any later version": "GPL3Version",
+    "either version 2 of the license or at your option any later version": "GPL2Version",
+    **{
+        f"you can redistribute it and or modify it under the terms of the gnu general public license {rest}": f"GPL{v}Terms"
+        for v in (3, 2)
+        for rest in (
+            f"as published by the free software foundation either version {v} of the license or at your option any later version",
+            f"as published by the free software foundation version {v} of the license",
+            f"as published by the free software foundation version {v}",
+            f"version {v} as published by the free software foundation",
+        )
+    },
     "licensed under cc by nc 4.0": "CCBYNC4Grant",
     "licensed under cc by 4.0": "CCBY4Grant",
     "licensed under cc by sa 4.0": "CCBYSA4Grant",
     "this work is licensed under a creative commons attribution 4.0 international license": "CCBY4Grant",
     "redistribution and use in source and binary forms with or without modification are permitted": "BSDPermission",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BSDPermission",
     "redistributions of source code must retain the above copyright notice": "BSDSource",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSDSource",
     "redistributions in binary form must reproduce the above copyright notice": "BSDBinary",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSDBinary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "BSDEndorse",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDEndorse",
     "this source code form is subject to the terms of the mozilla public license v 2.0": "MPL2Grant",
     "all rights reserved": "AllRights",
 }
@@ -51,7 +73,12 @@ RULES = [
     ("BSD-2-Clause", ["BSDPermission", "BSDSource", "BSDBinary"]),
     ("MIT", ["MITPermission", "MITNotice", "MITWarranty"]),
     ("Apache-2.0", ["Apache2GrantThe", "ApacheComply", "ApacheCopyAt"]),
-    ("GPL-3.0", ["GPLFree", "GPLTerms"]),
+    ("GPL-3.0", ["GPLFree", "GPLTerms", "GPL3Version"]),
+    ("GPL-2.0", ["GPLFree", "GPLTerms", "GPL2Version"]),
+    ("GPL-3.0", ["GPLFree", "GPL3Terms"]),
+    ("GPL-2.0", ["GPLFree", "GPL2Terms"]),
+    # without a version any may be chosen
+    ("GPL-1.0-or-later", ["GPLFree", "GPLTerms"]),
     ("MIT", ["MITPermission", "MITNotice"]),
     ("Apache-2.0", ["Apache2Grant"]),
     ("Apache-2.0", ["Apache2GrantThe"]),
@@ -70,13 +97,33 @@ RULES = [
 HINTS = r"(?i)licen|permi|copyright|warrant|redistrib|rights reserved|free software|obtain a copy|gnu "
 
 
+# Where the owner's own name may stand, and the words used for it in the table.
+OWNED = "neither the name of "
+OWNER = "the copyright holder"
+
+
+def known_pattern() -> str:
+    """Known sentences in normal form, wrapped anywhere, from one sentence or line end to another."""
+    wrapped = lambda s: "[ \\n]".join(re.escape(w) for w in s.split())
+    one = lambda s: wrapped(OWNED) + r"[ \n][^|]+?[ \n]" + wrapped(s[len(OWNED + OWNER) :]) if s.startswith(OWNED + OWNER) else wrapped(s)
+    return r"(?<=[|\n])(?:" + "|".join(map(one, sorted(SENTENCES, key=len, reverse=True))) + r")(?=[|\n])"
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    normal = lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}.]+", " "), r"\.(?!\d)|(?<!\d)\.", ""))
-    sentences = F.split(text, r"[\n\r;:!?]+|\.(?=\s|$)")
-    hinted = F.filter(sentences, lambda s: s.rlike(HINTS))
-    found = F.filter(F.transform(hinted, lambda s: F.element_at(known, F.regexp_replace(normal(s), r" +", " "))), lambda x: x.isNotNull())
+    # sentence ends become bars, line ends stay; "v. 2.0" is no end
+    normal = F.concat(F.lit("|"), F.translate(F.lower(text), "|", " "), F.lit("|"))
+    for pattern, by in (
+        (r"[;:!?]+|(?<!\bv)\.(?=[\s|])", "|"),
+        (r"[^\p{L}\p{N}.|\r\n]+", " "),
+        (r"\.(?!\d)|(?<!\d)\.", ""),
+        (r" +", " "),
+        (r" ?(?:\r\n?|\n) ?", "\n"),
+        (r"\n\n+| ?\| ?", "|"),
+    ):
+        normal = F.regexp_replace(normal, pattern, by)
+    found = F.transform(F.regexp_extract_all(normal, F.lit(known_pattern()), F.lit(0)), lambda s: F.element_at(known, F.regexp_replace(F.translate(s, "\n", " "), f"^{OWNED}.+? nor the names", f"{OWNED}{OWNER} nor the names")))
     return F.when(text.rlike(HINTS), found).otherwise(F.array().cast("array<string>"))
 
 

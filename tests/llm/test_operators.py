@@ -261,6 +261,77 @@ def test_licences(spark, odd):
     assert scan_licences(odd.limit(0)).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2022 Someone
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD2 = """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = (
+    BSD2
+    + """
+3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+)
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+GPL2 = GPL.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2")
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"""
+APACHE = """# Licensed under the Apache License,
+# Version 2.0 (the "License"); you may not use this file
+# except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+def test_licences_of_wrapped_standard_texts(spark):
+    from orrery.llm.licenses import scan_licences
+
+    cases = [(MIT, ["MIT"]), (BSD2, ["BSD-2-Clause"]), (BSD3.format("the copyright holder"), ["BSD-3-Clause"]), (BSD3.format("the University of\n   Somewhere"), ["BSD-3-Clause"]), (GPL, ["GPL-3.0"]), (GPL2, ["GPL-2.0"]), (MPL, ["MPL-2.0"]), (APACHE, ["Apache-2.0"])]
+    cases += [(t.replace("\n", "\r\n"), x) for t, x in cases] + [("words before\nLicensed under CC BY 4.0\nwords after", ["CC-BY-4.0"]), ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License.", ["GPL-1.0-or-later"])]
+    got = [r["licences"] for r in scan_licences(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [x for _, x in cases]
+    full = scan_licences(spark.createDataFrame([(0, MIT)], "doc_id long, text string")).first()
+    assert full["sentence_ids"] == ["MITPermission", "MITNotice", "MITWarranty"]
+
+
 def test_language_gradients_and_tables():
     from orrery.llm.language import ByteNet
 
