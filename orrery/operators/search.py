@@ -50,6 +50,7 @@ def ranked(found: DataFrame, top: int) -> DataFrame:
 
 WORDS = re.compile(r"\s+|[^\w\s]|\w+")
 MOST_TOKENS = 4000
+LEAF = 1 << 16
 
 
 def segments(old: list[str], new: list[str]) -> list[tuple[str, str]]:
@@ -62,11 +63,8 @@ def segments(old: list[str], new: list[str]) -> list[tuple[str, str]]:
         stop += 1
     a, b = old[start : len(old) - stop], new[start : len(new) - stop]
     tail = old[len(old) - stop :]
-    if len(a) * len(b) > MOST_TOKENS**2:
-        # beyond the table's bound the middle is replaced as a whole
-        middle = [("deleted", x) for x in a] + [("added", x) for x in b]
-    else:
-        middle = _common(a, b)
+    # beyond the table's bound the same in linear memory
+    middle = _common(a, b) if len(a) * len(b) <= MOST_TOKENS**2 else _in_order(_halved(a, b))
     out: list[list[str]] = []
     for status, token in [("unchanged", x) for x in old[:start]] + middle + [("unchanged", x) for x in tail]:
         if out and out[-1][0] == status:
@@ -99,6 +97,53 @@ def _common(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     return out + [("deleted", x) for x in a[i:]] + [("added", x) for x in b[j:]]
 
 
+def _lengths(a: list[str], b: list[str]) -> list[int]:
+    """Length of the longest common subsequence of ``a`` and each prefix of ``b``: a row of the table, kept as bits of a number."""
+    places: dict[str, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    for x in a:
+        hit = row & places.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    out = [0]
+    for bit in reversed(f"{row:0{len(b)}b}"):
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def _halved(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """As ``_common``, by halving ``a`` and cutting ``b`` where the two parts have most in common (Hirschberg)."""
+    if len(a) < 2 or len(b) < 2:
+        a, b, swapped = (b, a, True) if len(a) >= 2 else (a, b, False)
+        one, many = ("added", "deleted") if swapped else ("deleted", "added")
+        at = b.index(a[0]) if a and a[0] in b else None
+        if at is None:
+            return [(one, x) for x in a] + [(many, x) for x in b]
+        return [(many, x) for x in b[:at]] + [("unchanged", a[0])] + [(many, x) for x in b[at + 1 :]]
+    if len(a) * len(b) <= LEAF:
+        return _common(a, b)
+    half = len(a) // 2
+    left, right = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])
+    cut = max(range(len(b) + 1), key=lambda j: left[j] + right[len(b) - j])
+    return _halved(a[:half], b[:cut]) + _halved(a[half:], b[cut:])
+
+
+def _in_order(parts: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Between unchanged tokens, deleted ones before added ones."""
+    out: list[tuple[str, str]] = []
+    waiting: list[tuple[str, str]] = []
+    for status, token in parts:
+        if status == "added":
+            waiting.append((status, token))
+            continue
+        if status == "unchanged":
+            out += waiting
+            waiting = []
+        out.append((status, token))
+    return out + waiting
+
+
 def text_diff(old: Column, new: Column, lines: bool = False) -> Column:
     """Array of (text, status) between two texts, by words or lines. Equal texts skip the helper's table."""
     cut = (lambda t: t.splitlines(keepends=True)) if lines else WORDS.findall

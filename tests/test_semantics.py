@@ -1,6 +1,7 @@
 """Literal cases of the jobs' rules."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,6 +169,20 @@ def test_text_differences():
     assert "".join(t for t, s in got if s != "added") == "the quick brown fox" and "".join(t for t, s in got if s != "deleted") == "the slow brown dog"
 
 
+def test_differences_of_long_texts():
+    """Beyond the table's bound, words kept between two changed ends stay unchanged."""
+    kept = [f"w{i % 997}" for i in range(6000)]
+    got = S.segments(["a", *kept[:3000], "x", *kept[3000:], "b"], ["c", *kept[:3000], "y", "z", *kept[3000:], "d"])
+    assert [s for _, s in got] == ["deleted", "added", "unchanged"] * 2 + ["deleted", "added"]
+    assert [t for t, s in got if s == "unchanged"] == ["".join(kept[:3000]), "".join(kept[3000:])]
+    draw = random.Random(3)
+    for _ in range(60):
+        a, b = ([draw.choice("abcde") for _ in range(draw.randrange(n))] for n in (400, 500))
+        parts, table = S._in_order(S._halved(a, b)), S._common(a, b)
+        assert [t for s, t in parts if s != "added"] == a and [t for s, t in parts if s != "deleted"] == b
+        assert sum(s == "unchanged" for s, _ in parts) == sum(s == "unchanged" for s, _ in table)
+
+
 def test_catalog_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "node_modules").mkdir()
