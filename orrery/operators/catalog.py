@@ -9,24 +9,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 20
 REQUESTS = ["http-request", "graphql-request"]
 
 
-def closure(items: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def closure(items: DataFrame) -> DataFrame:
     """(uid, ancestor_uid, up) for each item and each of its ancestors, itself at 0.
 
-    One self-join per level; it ends at the tree's own depth. A walk that reaches ``depth`` is a cycle or too deep and an error.
+    One self-join per level; it ends at the tree's own depth. A walk that comes back to its start is a cycle and an error.
     """
     links = items.select(F.col("uid").alias("_u"), F.col("parent_uid").alias("_p"))
     step = items.select("uid", F.col("uid").alias("ancestor_uid"), F.lit(0).alias("up"), F.col("parent_uid").alias("next"))
-    out = step.drop("next")
-    for level in range(1, depth + 1):
+    out, level = step.drop("next"), 0
+    while True:
+        level += 1
         step = step.where("next is not null").join(links, F.col("next") == F.col("_u")).select("uid", F.col("_u").alias("ancestor_uid"), F.lit(level).alias("up"), F.col("_p").alias("next"))
-        if level > 3 and step.isEmpty():
-            return out
+        if level > 3:
+            # walked once: later levels start from the kept rows
+            step = step.checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step.localCheckpoint()
+            back = step.agg(F.max(F.col("uid") == F.col("ancestor_uid"))).first()[0]
+            if back is None:
+                return out
+            if back:
+                raise ValueError(f"items form a cycle: a walk came back to its start after {level} steps")
         out = out.unionByName(step.drop("next"))
-    return out
 
 
 def levels(closed: DataFrame) -> DataFrame:

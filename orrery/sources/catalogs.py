@@ -11,12 +11,10 @@ ENVIRONMENT = "name string, variables array<struct<name:string,value:string,type
 METHODS = ["get", "put", "post", "delete", "options", "head", "patch", "trace"]
 
 
-def item_schema(depth: int) -> T.StructType:
-    """Schema of nested items down to a fixed depth, as a struct can't recurse."""
+def item_schema() -> T.StructType:
+    """Schema of an item; the items in it stay JSON text, as a struct can't recurse."""
     fields = [T.StructField(n, T.StringType()) for n in ("uid", "type", "name")] + [T.StructField("seq", T.DoubleType()), T.StructField("tags", T.ArrayType(T.StringType()))]
-    if depth:
-        fields.append(T.StructField("items", T.ArrayType(item_schema(depth - 1))))
-    return T.StructType(fields)
+    return T.StructType([*fields, T.StructField("items", T.ArrayType(T.StringType()))])
 
 
 def read_json_files(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -29,15 +27,29 @@ def read_json_files(spark: SparkSession, path: str, schema: T.StructType) -> tup
 
 
 def load_catalog(spark: SparkSession, path: str, depth: int = 6) -> tuple[DataFrame, DataFrame]:
-    """(items, unreadable files) of collection exports: items flattened level by level to an adjacency list."""
-    rows, bad = read_json_files(spark, path, item_schema(depth))
-    level, out = rows.select(F.lit(None).cast("string").alias("parent_uid"), F.lit(0).alias("pos"), F.struct(*[c for c in rows.columns if c != "_path"]).alias("i")), None
-    for d in range(depth + 1):
-        flat = level.select(F.col("i.uid").alias("uid"), "parent_uid", F.coalesce("i.type", F.lit("collection")).alias("type"), F.col("i.name").alias("name"), F.col("i.seq").alias("seq"), "pos", F.coalesce("i.tags", F.array().cast("array<string>")).alias("tags"))
+    """(items, unreadable files) of collection exports: items flattened level by level to an adjacency list.
+
+    Levels are unfolded until none is left; from ``depth`` on it is asked whether there are more. A file with an unreadable item
+    at any level is set aside whole.
+    """
+    schema = item_schema()
+    with_error = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    rows, bad = read_json_files(spark, path, schema)
+    level, out, d = rows.select("_path", F.lit(None).cast("string").alias("parent_uid"), F.lit(0).alias("pos"), F.struct(*[c for c in rows.columns if c != "_path"]).alias("i")), None, 0
+    while True:
+        flat = level.select("_path", F.col("i.uid").alias("uid"), "parent_uid", F.coalesce("i.type", F.lit("collection")).alias("type"), F.col("i.name").alias("name"), F.col("i.seq").alias("seq"), "pos", F.coalesce("i.tags", F.array().cast("array<string>")).alias("tags"))
         out = flat if out is None else out.unionByName(flat)
-        if d < depth:
-            level = level.select(F.col("i.uid").alias("parent_uid"), F.posexplode("i.items").alias("pos", "i"))
-    return out, bad
+        parsed = level.select("_path", F.col("i.uid").alias("parent_uid"), F.posexplode("i.items").alias("pos", "json")).select("_path", "parent_uid", "pos", F.from_json("json", with_error, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("i"))
+        d += 1
+        if d > depth:
+            # parsed once: deeper levels start from here
+            parsed = parsed.checkpoint() if spark.sparkContext.getCheckpointDir() else parsed.localCheckpoint()
+            if parsed.isEmpty():
+                break
+        bad = bad.unionByName(parsed.where("i._corrupt is not null").select(F.col("_path").alias("path"), F.lit("unreadable JSON").alias("error")))
+        level = parsed.where("i._corrupt is null")
+    bad = bad.distinct()
+    return out.join(bad.select(F.col("path").alias("_path")), "_path", "left_anti").drop("_path"), bad
 
 
 def load_resources(exports: DataFrame) -> DataFrame:

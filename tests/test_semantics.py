@@ -196,6 +196,27 @@ def test_catalog_files(spark, tmp_path):
     assert [(r["collection"], r["n_files"]) for r in stats] == [("a", 2)]
 
 
+def test_deep_catalogs_are_whole(spark, tmp_path):
+    item = {"uid": "i11", "type": "http-request"}
+    for i in range(10, -1, -1):
+        item = {"uid": f"i{i}", "type": "folder" if i else None, "items": [item]}
+    (tmp_path / "deep.json").write_text(json.dumps(item))
+    (tmp_path / "bad.json").write_text(json.dumps({"uid": "b", "items": [{"uid": "c", "items": [{"uid": "d", "seq": "x"}]}]}))
+    items, bad = A.load_catalog(spark, f"file://{tmp_path}", depth=3)
+    assert sorted((r["uid"], r["parent_uid"]) for r in items.collect()) == sorted((f"i{i}", f"i{i - 1}" if i else None) for i in range(12))
+    assert [r["path"].rsplit("/", 1)[1] for r in bad.collect()] == ["bad.json"]
+
+
+def test_closure_of_deep_trees_and_cycles(spark):
+    rows = [(f"u{i}", f"u{i - 1}" if i else None) for i in range(25)]
+    got = C.closure(spark.createDataFrame(rows, "uid string, parent_uid string")).where("uid = 'u24'").collect()
+    assert sorted((r["up"], r["ancestor_uid"]) for r in got) == [(k, f"u{24 - k}") for k in range(25)]
+    for ring in (1, 2, 5):
+        rows = [("leaf", "u0"), *[(f"u{i}", f"u{(i + 1) % ring}") for i in range(ring)]]
+        with pytest.raises(ValueError, match="cycle"):
+            C.closure(spark.createDataFrame(rows, "uid string, parent_uid string"))
+
+
 def test_bulk_text_round_trip(spark):
     df = spark.createDataFrame([(1, "a: 1\n//b:2\nno\nc:x:y")], "k int, text string")
     pairs = A.bulk_pairs(df, "k")
