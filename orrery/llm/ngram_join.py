@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_of
+from .common import forget, materialize, rows_of
 
 BATCH_BYTES = 2 << 20
 #: Shingles of a task that are counted together before they are sent.
@@ -43,6 +43,8 @@ RANGE_BITS = 8
 RARE_BITS, FREQUENT_BITS = [22, 24, 26, 27, 28], 24
 #: Shares of the bitmaps that may be set; the class bounds rise until it holds.
 FILL = 1 / 12
+#: Most bits of the bitmap of classes whose sets are wanted.
+WANTED_BITS = 28
 FREQUENT = 24
 SHORT_LIST = 4
 BLOCK = 2048
@@ -205,8 +207,7 @@ def class_bitmaps(counts: DataFrame) -> tuple[int, Bitmap, Bitmap]:
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([made[0]]), pa.array([made[1]])], ["part", "rare", "frequent"])
 
     data = [np.zeros(1 << (bits - 3), np.uint8) for bits in (rare_bits, FREQUENT_BITS)]
-    # at most 32 and 2 MB, a part of 2**-RANGE_BITS at a time
-    for r in counts.select("part", "n", "blob").mapInArrow(run, "part int, rare binary, frequent binary").toLocalIterator():
+    for r in counts.select("part", "n", "blob").mapInArrow(run, "part int, rare binary, frequent binary").collect():  # at most 32 and 2 MB
         for d, b in zip(data, (r["rare"], r["frequent"]), strict=True):
             d[r["part"] * len(b) : (r["part"] + 1) * len(b)] = np.frombuffer(b, np.uint8)
     return low, Bitmap(rare_bits, data[0]), Bitmap(FREQUENT_BITS, data[1])
@@ -280,16 +281,12 @@ def index(docs: DataFrame, size: int, percent: int, classes: tuple[int, Bitmap,
 
 
 def wanted_sets(docs: DataFrame, size: int, keys: DataFrame) -> DataFrame:
-    """(key, members) of the wanted classes. A bitmap of fixed size keeps most other sets from being sent at all."""
-    bits = 24
-    bit = F.col("key").bitwiseAND((1 << bits) - 1)
+    """(key, members) of the wanted classes. A bitmap of 16 bits a class and 32 MB at most keeps most other sets from being sent."""
+    bits = min(WANTED_BITS, max(15, (16 * keys.count()).bit_length()))
+    bit = F.col("key").bitwiseAND((1 << bits) - 1) + 1
     data = np.zeros(1 << (bits - 3), np.uint8)
-    for r in keys.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).toLocalIterator():  # 2 MB in all
-        at = ((r["b"] - 1) * 4096) if r["b"] > 0 else None
-        if at is not None and at < len(data):
-            data[at : at + 4096] |= np.frombuffer(r["m"], np.uint8)
-        elif at is None:
-            data[0] |= np.frombuffer(r["m"], np.uint8)[0]
+    for r in keys.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect():  # at most 32 MB
+        data[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,10 +296,8 @@ def wanted_sets(docs: DataFrame, size: int, keys: DataFrame) -> DataFrame:
             for s in sets:
                 if len(s):
                     k = class_key(s)
-                    low = k & ((1 << bits) - 1)
-                    # bucket b holds numbers 32768 * (b - 1) + 1 to 32768 * b, and 0 is in bucket 0's first bit
-                    place = low - 1 if low else 0
-                    if k not in done and (low == 0 or shared.value[place >> 3] >> (place & 7) & 1):
+                    place = k & ((1 << bits) - 1)
+                    if k not in done and shared.value[place >> 3] >> (place & 7) & 1:
                         done.add(k)
                         key.append(k)
                         members.append(s.tobytes())
@@ -333,40 +328,51 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b), root being the least node reachable, by large and small stars."""
-
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        both = edges.union(edges.select("b", "a")).toDF("a", "b")
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        joined = both.join(least, "a")
-        if large:
-            moved = joined.where("b > a").select("b", "m")
-        else:
-            moved = joined.where("b < a").select("b", "m").union(least)
-        return moved.toDF("a", "b").where("a <> b").distinct()
+    """(node, root) for every node of the links (a, b), root being the least node reachable, by large and small stars.
+
+    Edges always point from the larger node to the smaller one. Each star is one small plan whose result is written.
+    """
+
+    def settled(edges: DataFrame) -> bool:
+        """Whether every node has one edge down at most, and none that has one is the end of another."""
+        ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down")))))
+        nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("top"))
+        return nodes.agg(F.count_if((F.col("down") > 1) | (F.col("down") == 1) & (F.col("top") == 0))).first()[0] == 0
+
+    def large(edges: DataFrame) -> DataFrame:
+        """Every larger neighbour of a node moves to the node's least neighbour."""
+        both = edges.select(F.inline(F.array(F.struct(F.col("b").alias("b"), F.col("a").alias("m")), F.struct(F.col("a").alias("b"), F.col("b").alias("m")))))
+        least = both.groupBy("b").agg(F.least("b", F.min("m")).alias("m"))
+        return edges.join(least, "b").select("a", F.col("m").alias("b")).distinct()
 
-    def mark(edges: DataFrame):
-        return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(0xFFFFFFFF))).first()
+    def small(edges: DataFrame) -> DataFrame:
+        """A node and its smaller neighbours move to the least of them."""
+        moved = edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
+        return moved.select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).where("a <> b").distinct()
 
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    before, now = None, mark(edges)
-    while before != now:
-        edges = materialize(star(star(edges, True), False), "stars")
-        before, now = now, mark(edges)
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+    while not settled(edges):
+        moved = materialize(large(edges), "large")
+        forget(edges)
+        edges = materialize(small(moved), "small")
+        forget(moved)
+    roots = materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct()), "roots")
+    forget(edges)
+    return roots
 
 
 def outsider_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of outsiders with members of other components under the same pivot. ``members``: (pivot, key, root)."""
     home = members.where("key = pivot").select("pivot", F.col("root").alias("home"))
-    known = members.join(home, "pivot").withColumn("outside", F.col("root") != F.col("home"))
+    known = materialize(members.join(home, "pivot").select("pivot", "key", "root", (F.col("root") != F.col("home")).alias("outside")), "known")
     sizes = known.groupBy("pivot").agg(F.count("*").alias("g"), F.count_if("outside").alias("q")).where("q > 0")
     grid = sizes.select("pivot", F.ceil(F.col("g") / BLOCK).cast("int").alias("gb"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qb"))
-    rows = known.join(grid, "pivot").join(sets, "key")
     place = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    inner = rows.select("pivot", "key", "root", "members", F.lit(False).alias("asks"), place("gb").alias("i"), cells("qb").alias("j"))
-    outer = rows.where("outside").select("pivot", "key", "root", "members", F.lit(True).alias("asks"), cells("gb").alias("i"), place("qb").alias("j"))
+    cells = lambda n, cell: F.transform(F.sequence(F.lit(0), F.col(n) - 1), cell)
+    cell = lambda asks, i, j: F.struct(F.lit(asks).alias("asks"), i.alias("i"), j.alias("j"))
+    # every member is a row of the grid's blocks, an outsider one of its columns too
+    inner, outer = cells("qb", lambda j: cell(False, place("gb"), j)), cells("gb", lambda i: cell(True, i, place("qb")))
+    dealt = known.join(grid, "pivot").join(sets, "key").select("pivot", "key", "root", "members", F.inline(F.when(F.col("outside"), F.concat(inner, outer)).otherwise(inner)))
 
     def run(group: pa.Table) -> pa.Table:
         key, root, asks = (group.column(c).to_numpy() for c in ("key", "root", "asks"))
@@ -388,7 +394,7 @@ def outsider_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
                 b.append(key[hit[root[hit] == r]].min())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return inner.unionByName(outer).groupBy("pivot", "i", "j").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("pivot", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def similarity_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -396,32 +402,34 @@ def similarity_components(docs: DataFrame, size: int = 3, percent: int = 90, id_
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     described = materialize(describe(docs, size), "sets")
     texts = described.where("part is null").select("id", "n", "key")
+    classes = materialize(texts.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "classes")
     counts = materialize(described.where("part is not null").select("part", "n", "blob").groupBy("part").applyInArrow(bucket_counts, "part int, n long, blob binary, reach array<long>"), "buckets")
     entries = index(docs, size, percent, class_bitmaps(counts))
     lists = entries.groupBy("sig").agg(F.count("*").alias("g"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("sig", "g")
     shared = materialize(entries.join(lists, "sig").distinct(), "lists")
+    forget(counts, entries)
     short, long_ = shared.where(F.col("g") <= SHORT_LIST), shared.where(F.col("g") > SHORT_LIST)
     x, y = short.select("sig", F.col("key").alias("a"), F.col("n").alias("na")), short.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"))
     fits = lambda p, q: F.lit(100) * F.least(p, q) >= F.lit(percent) * F.greatest(p, q)
     near = x.join(y, "sig").where((F.col("a") < F.col("b")) & fits(F.col("na"), F.col("nb"))).select("a", "b")
-    copies = texts.groupBy("key").agg(F.count("*").alias("copies"))
-    pivots = long_.join(copies, "key").groupBy("sig").agg(F.max_by("key", F.struct("copies", "key")).alias("pivot"), F.max_by("n", F.struct("copies", "key")).alias("pn"))
+    pivots = long_.join(classes.select("key", "copies"), "key").groupBy("sig").agg(F.max_by(F.struct("key", "n"), F.struct("copies", "key")).alias("p")).select("sig", F.col("p.key").alias("pivot"), F.col("p.n").alias("pn"))
     under = materialize(long_.join(pivots, "sig").select("pivot", "pn", "key", "n").distinct(), "pivots")
     spokes = under.where((F.col("key") != F.col("pivot")) & fits(F.col("n"), F.col("pn"))).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
     pairs = materialize(near.union(spokes).distinct(), "pairs")
-    keys = materialize(pairs.select("a").union(pairs.select("b")).union(under.select("key")).distinct().toDF("key"), "keys")
+    forget(shared)
+    keys = materialize(pairs.select(F.inline(F.array(F.struct(F.col("a").alias("key")), F.struct(F.col("b").alias("key"))))).union(under.select("key")).distinct(), "keys")
     sets = wanted_sets(docs, size, keys)
-    links = materialize(verified(pairs, sets, percent), "verified")
-    roots = components(links)
+    roots = components(verified(pairs, sets, percent))
+    forget(pairs, keys)
     rooted = under.select("pivot", "key").distinct().join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     more = materialize(outsider_links(rooted, sets, percent), "outsiders")
     # both ends of a late link stand for their components
     late = more.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     joined = components(late)
-    final = roots.join(joined.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("top")).union(joined.toDF("node", "top")).groupBy("node").agg(F.min("top").alias("top"))
-    # copies meet in one row of their class first, so a large class is one row here
-    least = texts.groupBy("key").agg(F.min("id").alias("least"))
-    tops = least.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("top", F.coalesce("top", "key"))
-    named = tops.join(tops.groupBy("top").agg(F.min("least").alias("component_id")), "top").select("key", "component_id")
-    out = texts.hint("merge").join(named, "key")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    tops = roots.join(joined.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("top")).union(joined).groupBy("node").agg(F.min("top").alias("top"))
+    # copies meet in one row of their class first, so a large class is one row here; most classes link with nothing
+    linked = materialize(tops.withColumnRenamed("node", "key").join(classes.select("key", "least"), "key"), "linked")
+    named = linked.join(linked.groupBy("top").agg(F.min("least").alias("component")), "top").select("key", "component")
+    forget(under, sets, more)
+    out = texts.hint("merge").join(classes.select("key", "least").join(named, "key", "left"), "key")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "least")).otherwise(F.col("id")).alias("component_id"))

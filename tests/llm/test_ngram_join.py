@@ -74,6 +74,9 @@ def test_groups_of_near_copies(spark, monkeypatch, seed):
     """Near copies at all distances around the threshold, large groups, shared passages, short and odd texts."""
     monkeypatch.setattr(ngram_join, "BLOCK", 40)
     monkeypatch.setattr(ngram_join, "FREQUENT", [24, 4, 2][seed])
+    if seed == 2:  # bitmaps too small for the data: shingles that occur a few times are indexed like rare ones
+        monkeypatch.setattr(ngram_join, "RARE_BITS", [12])
+        monkeypatch.setattr(ngram_join, "FREQUENT_BITS", 12)
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 5)))
     texts = [None, "", " ", "a", "a", "a b", "A B", "a b c", "a b c d", "b c d"]
