@@ -8,7 +8,8 @@ the rows are exchanged, and each target permutes what it got.
 The matrix is never held anywhere. It is split along a binary tree over partitions whose nodes draw with seeds of their
 own, so a task derives its row from the partition sizes alone, the same at every attempt. A shard of any size is divided
 into target cells of bounded, exact sizes (a uniform shuffle of a shard is a uniform choice of cells and a shuffle of
-each), so no task holds a whole shard and slots follow from the cell's first slot.
+each), so no task holds a whole shard and slots follow from the cell's first slot. A partition's row of the matrix is cut into
+slices of ``SLICE`` ranks, none of which meets more cells than it has ranks, so what a row costs doesn't grow with the cells.
 
 Law: ``rows``, shard sizes differ by one row at most. Defined results: null texts have no bytes; rows with a null id or
 repeated rows are dealt like others (rows alike in id and text are interchangeable); an empty table gives an empty result;
@@ -21,14 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_crc32
 
 CELL_ROWS = 4096
-#: Most partitions and cells, so that the matrix stays small however many rows there are.
+#: Most partitions and cells: a task draws one row of the matrix at a time, of this many entries, and the driver holds one count
+#: for each partition. Beyond ``CELL_ROWS`` times as many rows cells grow.
 MOST_CELLS = 1 << 16
+SLICE = 64
 
 
 def even_sizes(total: int, parts: int) -> np.ndarray:
@@ -71,6 +75,15 @@ def matrix_row(part_sizes: np.ndarray, cell_sizes: np.ndarray, part: int, seed:
     return cells
 
 
+def slices(stop: np.ndarray, cell: np.ndarray) -> list[list[dict]]:
+    """Cells with the rank where each ends, listed for every ``SLICE`` ranks that they meet."""
+    out = []
+    for start in range(0, int(stop[-1]) if len(stop) else 0, SLICE):
+        a, b = np.searchsorted(stop, [start, min(start + SLICE, stop[-1]) - 1], "right")
+        out.append([{"stop": int(stop[i]), "cell": int(cell[i])} for i in range(a, b + 1)])
+    return out
+
+
 def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = CELL_ROWS) -> DataFrame:
     """``df`` with ``shard`` and ``slot``: a uniform permutation cut into shards whose sizes differ by one row at most."""
     spark = df.sparkSession
@@ -90,20 +103,20 @@ def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 42, id_col: str
     shared = spark.sparkContext.broadcast((part_sizes, cell_sizes))
     first_slot = np.concatenate([np.cumsum(x) - x for x in cell_sizes.reshape(shards, per)])
 
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.list_(pa.struct([("stop", pa.int64()), ("cell", pa.int32())])))
         for batch in batches:
-            for part in batch["_part"]:
-                row = matrix_row(*shared.value, int(part), seed)
-                stop = np.cumsum(row)
+            for part in batch.column("_part").to_pylist():
+                row = matrix_row(*shared.value, part, seed)
                 some = np.flatnonzero(row)
-                yield pd.DataFrame({"_part": np.int32(part), "_cell": some.astype(np.int32), "_from": (stop - row)[some], "_to": stop[some]})
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([slices(np.cumsum(row)[some], some)], kind)], ["_part", "_deal"])
 
-    # (partition, cell) ranges of ranks: as many rows as the matrix has entries above zero, at most the rows of the table
-    ranges = spark.range(parts).select(F.col("id").cast("int").alias("_part")).repartition(min(parts, 200)).mapInPandas(cells, "_part int, _cell int, _from long, _to long")
-    deal = ranges.groupBy("_part").agg(F.array_sort(F.collect_list(F.struct("_to", "_from", "_cell"))).alias("_deal"))
+    # one row for each partition, with as many entries as the matrix row has above zero and one more for each slice
+    deal = spark.range(parts).select(F.col("id").cast("int").alias("_part")).repartition(min(parts, 200)).mapInArrow(deals, "_part int, _deal array<array<struct<stop: long, cell: int>>>")
     local = Window.partitionBy("_part").orderBy("_key", F.col(id_col).asc_nulls_first())
     ranked = keyed.withColumn("_rank", F.row_number().over(local) - 1).join(deal, "_part")
-    dealt = ranked.withColumn("_cell", F.element_at(F.filter("_deal", lambda x: F.col("_rank") < x["_to"]), 1)["_cell"]).drop("_deal", "_rank", "_part")
+    near = F.element_at("_deal", (F.col("_rank") / SLICE).cast("int") + 1)
+    dealt = ranked.withColumn("_cell", F.element_at(F.filter(near, lambda x: F.col("_rank") < x["stop"]), 1)["cell"]).drop("_deal", "_rank", "_part")
     again = Window.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed + 2), "_key"), F.col(id_col).asc_nulls_first())
     starts = spark.createDataFrame(pd.DataFrame({"_cell": np.arange(len(cell_sizes), dtype=np.int32), "_first": first_slot}))
     out = dealt.withColumn("_place", F.row_number().over(again) - 1).join(starts, "_cell").withColumn("slot", F.col("_first") + F.col("_place"))
