@@ -4,8 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 All but the last return the columns of documents. Rows are told apart by id and text, so null or repeated ids are no
 trouble; rows alike in both are one document.
 
-- ``language``: texts without a letter and texts whose language the network can't tell (score under ``LEAST_SCORE``) go. The
-  network learns from a bounded sample of the stage's own labelled rows; if there are none, only letterless texts go.
+- ``language``: texts without a letter go, and so do texts of ``LEAST_SYMBOLS`` letters, non-ASCII bytes and gaps or more that the
+  network takes for junk (key mashing, digests, a script that no labelled text has) with a probability of ``MOST_JUNK`` or more beside
+  all languages. Shorter texts stay, as a few letters tell nothing. The network learns from a bounded sample of the stage's own
+  labelled rows; if there are none, only letterless texts go.
 - ``near_copies``: of documents linked at 0.8 similarity of five-word shingles the one with the least id stays. Texts without
   words link with nothing and stay.
 - ``benchmark``: documents that hold a test item go.
@@ -24,7 +26,8 @@ from orrery.llm.ngram_join import similarity_components
 from orrery.llm.packing import pack
 from orrery.llm.queries import tokenizer_file
 
-LEAST_SCORE = 0.3
+MOST_JUNK = 0.95
+LEAST_SYMBOLS = 32
 
 
 def row_key() -> Column:
@@ -32,10 +35,13 @@ def row_key() -> Column:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    net = train(docs)
+    net = train(docs, junk=True)
     if net is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return identify(docs, net).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    # the network's columns are told from those of the documents by taking only the text along with a row's own columns as one
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    junk = (F.col("junk") >= MOST_JUNK) & (F.col("n_symbols") >= LEAST_SYMBOLS)
+    return identify(held, net).where((F.col("lang_pred") != "und") & ~junk).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
