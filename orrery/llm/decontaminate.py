@@ -15,8 +15,9 @@ A retrieved pair is a leak if the passage holds enough of the item's question an
 last sentence and the question what goes before; an item of one sentence is halved. Overlap is the share of distinct
 three-word runs (single words for parts shorter than that).
 
-The index of an items table of any size is built in shards of at most ``SHARD_ITEMS`` items, dealt by hash, and the texts are
-read once for each shard, so what is broadcast is bounded.
+The index of an items table of any size is built in shards of about ``SHARD_ITEMS`` items, dealt by hash. With more than one
+shard the texts are read once for each, its finds are written, and its items are freed before the next, so the driver and
+the tasks hold one shard at a time.
 
 Words: lower-cased, ASCII punctuation and general punctuation separate. Defined results: null, empty and wordless texts and
 items never match; items alike are reported each; a pair of text and item is reported once, with the best passage; repeated
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import materialize, rows_of
 
 SHARD_ITEMS = 20_000
 BATCH_BYTES = 4 << 20
@@ -221,6 +222,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, questi
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*best.values(), strict=True), types, strict=True)], ["id", "item", *[x.split()[0] for x in LEAKS.split(", ")]])
 
         part = docs.mapInArrow(run, f"id {id_type}, item {item_type}, {LEAKS}")
+        if shards > 1:
+            part = materialize(part, "leaks")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     best = F.max_by(F.struct("bm25", "question_overlap", "answer_overlap", "passage_start"), F.struct("bm25", "passage_start")).alias("best")
     return found.groupBy("id", "item").agg(best).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.*")
