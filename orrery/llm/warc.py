@@ -42,6 +42,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 1000, date: str
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), ident(F.col("holder.page_id")))),
+        F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("n_bytes"))),
     ]
@@ -65,8 +66,13 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def record_fields(records: DataFrame) -> DataFrame:
-    """What the archived records say: id, type, the record referred to, and the digest and size of the full payload."""
-    head = F.decode("header", "UTF-8")
+    """What the rebuilt records say: id, type, the record referred to, and the digest and size of the full payload.
+
+    A response's payload is taken from the record itself, behind its header; a revisit has none of its own.
+    """
+    records = records.select("page_id", F.decode(F.substring("record", F.lit(1), F.octet_length("header")), "UTF-8").alias("head"), "header", "record", "payload")
+    records = records.withColumn("payload", F.when(F.col("head").contains("WARC-Type: revisit" + CRLF), F.col("payload")).otherwise(F.substring("record", F.octet_length("header") + 1, F.octet_length("record") - F.octet_length("header") - 4)))
+    head = F.col("head")
     refers = F.regexp_extract(head, r"WARC-Refers-To: <urn:page:(-?\d*)>", 1)
     return records.select(
         "page_id",
