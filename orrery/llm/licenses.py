@@ -51,6 +51,15 @@ SENTENCES = {
             f"version {v} as published by the free software foundation",
         )
     },
+    "this library is free software": "LibraryFree",
+    **{
+        f"you can redistribute it and or modify it under the terms of the gnu {name} general public license as published by the free software foundation either version {v} of the license or at your option any later version": f"{i}Terms"
+        for name, v, i in (("lesser", "2.1", "LGPL21"), ("lesser", "3", "LGPL3"), ("library", "2", "LGPL2"), ("affero", "3", "AGPL3"))
+    },
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISCPermission",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "ZeroBSDPermission",
+    "this is free and unencumbered software released into the public domain": "UnlicenseGrant",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibPermission",
     "licensed under cc by nc 4.0": "CCBYNC4Grant",
     "licensed under cc by 4.0": "CCBY4Grant",
     "licensed under cc by sa 4.0": "CCBYSA4Grant",
@@ -77,6 +86,10 @@ RULES = [
     ("GPL-2.0", ["GPLFree", "GPLTerms", "GPL2Version"]),
     ("GPL-3.0", ["GPLFree", "GPL3Terms"]),
     ("GPL-2.0", ["GPLFree", "GPL2Terms"]),
+    ("AGPL-3.0", ["GPLFree", "AGPL3Terms"]),
+    ("LGPL-3.0", ["LibraryFree", "LGPL3Terms"]),
+    ("LGPL-2.1", ["LibraryFree", "LGPL21Terms"]),
+    ("LGPL-2.0", ["LibraryFree", "LGPL2Terms"]),
     # without a version any may be chosen
     ("GPL-1.0-or-later", ["GPLFree", "GPLTerms"]),
     ("MIT", ["MITPermission", "MITNotice"]),
@@ -90,11 +103,15 @@ RULES = [
     ("CC-BY-4.0", ["CCBY4Grant"]),
     ("CC-BY-SA-4.0", ["CCBYSA4Grant"]),
     ("MPL-2.0", ["MPL2Grant"]),
+    ("ISC", ["ISCPermission"]),
+    ("0BSD", ["ZeroBSDPermission"]),
+    ("Unlicense", ["UnlicenseGrant"]),
+    ("Zlib", ["ZlibPermission"]),
     ("LicenseRef-all-rights-reserved", ["AllRights"]),
 ]
 
-# Every known sentence holds one of these.
-HINTS = r"(?i)licen|permi|copyright|warrant|redistrib|rights reserved|free software|obtain a copy|gnu "
+# Every known sentence holds one of these words or parts of words, which normalising never alters.
+HINTS = r"(?i)licen|permi|copyright|warrant|redistrib|reserved|software|gnu"
 
 
 # Where the owner's own name may stand, and the words used for it in the table.
