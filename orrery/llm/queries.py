@@ -55,7 +55,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
-    cache = f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    # a lasting cache where the session names one; else this run's own
+    cache = spark.conf.get("spark.orrery.tokenCache", None) or f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
     out = token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), cache)
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
