@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode, where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="orrery-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -34,10 +36,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return held
 
 
+def materialize_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``materialize``, in buckets of ``key``, so that joins on it move only the other side. For keys without hot values."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(name)
+    held = spark.table(name)
+    held.scratch, held.catalog_name = path, name
+    return held
+
+
 def forget(*tables: DataFrame) -> None:
-    """Remove tables that ``materialize`` wrote, once everything made from them is written itself."""
+    """Remove tables that ``materialize`` or ``materialize_by`` wrote, once everything made from them is written itself."""
     for t in tables:
         spark = t.sparkSession
+        if hasattr(t, "catalog_name"):
+            spark.sql(f"DROP TABLE {t.catalog_name}")
         path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, rows_of
+from .common import forget, materialize, materialize_by, rows_of
 
 BATCH_BYTES = 2 << 20
 #: Shingles of a task that are counted together before they are sent.
@@ -304,7 +304,7 @@ def wanted_sets(docs: DataFrame, size: int, keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(members, pa.binary())], ["key", "members"])
 
     found = docs.select("text").mapInArrow(run, "key long, members binary").join(keys.hint("shuffle_hash"), "key", "left_semi")
-    sets = materialize(found.groupBy("key").agg(F.first("members").alias("members")), "members")
+    sets = materialize_by(found.groupBy("key").agg(F.first("members").alias("members")), "members", "key")
     shared.destroy()
     return sets
 

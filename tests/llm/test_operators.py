@@ -114,6 +114,20 @@ def test_shards_are_exact_and_stable(spark, docs, odd):
     assert uniform_shards(odd.limit(0)).count() == 0
 
 
+def test_a_row_meets_few_cells():
+    """A slice lists no more cells than it has ranks, however many cells there are."""
+    from orrery.llm.shuffle import SLICE, slices
+
+    rng = np.random.default_rng(1)
+    for cells in (1, 50, 5000, 10_000):
+        sizes = rng.integers(1, 4, cells) if cells > 1 else np.array([7000])
+        stop = np.cumsum(sizes)
+        cut = slices(stop, np.arange(cells))
+        assert max(map(len, cut)) <= SLICE
+        for rank in rng.integers(0, stop[-1], 200):
+            assert next(x["cell"] for x in cut[rank // SLICE] if rank < x["stop"]) == np.searchsorted(stop, rank, "right")
+
+
 def test_communication_matrix_follows_the_law():
     from orrery.llm.shuffle import matrix_row
 
@@ -212,6 +226,23 @@ def test_token_counts_and_cache(spark, docs, odd, tmp_path):
     assert stored.count() == docs.union(odd.select(docs.columns)).select(F.coalesce("text", F.lit(""))).distinct().count()
 
 
+def test_token_query_hits_a_lasting_cache(spark, tmp_path):
+    """The second run of the query reads every count from the cache that the session names and appends nothing."""
+    spark.conf.set("spark.orrery.tokenCache", f"file://{tmp_path}/cache")
+    try:
+        first = sorted(Q.op6_token_counts(spark, SF).collect(), key=str)
+        stored = spark.read.parquet(f"file://{tmp_path}/cache").count()
+        assert sorted(Q.op6_token_counts(spark, SF).collect(), key=str) == first
+        assert spark.read.parquet(f"file://{tmp_path}/cache").count() == stored > 0
+        # what the cache says is what the query returns
+        odd = spark.read.parquet(f"file://{tmp_path}/cache").withColumn("n_tokens", F.lit(7).cast("long"))
+        odd.write.parquet(f"file://{tmp_path}/odd")
+        spark.conf.set("spark.orrery.tokenCache", f"file://{tmp_path}/odd")
+        assert {r["n_tokens"] for r in Q.op6_token_counts(spark, SF).collect()} == {7}
+    finally:
+        spark.conf.unset("spark.orrery.tokenCache")
+
+
 def test_archive_round_trip(spark, tmp_path):
     from orrery.llm.warc import read_archive, record_fields, write_archive
 
@@ -321,6 +352,32 @@ APACHE = """# Licensed under the Apache License,
 #     http://www.apache.org/licenses/LICENSE-2.0"""
 
 
+LGPL = GPL.replace("program", "library", 1).replace("software:", "software;").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")
+AGPL = GPL.replace("GNU General", "GNU Affero General")
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""
+ZERO = ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", "")
+UNLICENSE = "This is free and unencumbered software released\ninto the public domain.\n\nAnyone is free to copy it."
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+
+
+def test_licences_of_more_standard_texts(spark):
+    """Other families, and spaces, hyphens or marks of any number between words, which normalising makes one space."""
+    from orrery.llm.licenses import scan_licences
+
+    cases = [(LGPL, ["LGPL-2.1"]), (AGPL, ["AGPL-3.0"]), (ISC, ["ISC"]), (ZERO, ["0BSD"]), (UNLICENSE, ["Unlicense"]), (ZLIB, ["Zlib"]), ("All  rights -- reserved.", ["LicenseRef-all-rights-reserved"]), (GPL.replace("free software", "free   software"), ["GPL-3.0"])]
+    got = [r["licences"] for r in scan_licences(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [x for _, x in cases]
+
+
 def test_licences_of_wrapped_standard_texts(spark):
     from orrery.llm.licenses import scan_licences
 
@@ -363,6 +420,8 @@ def test_language_accuracy_and_odd_rows(spark, docs, odd):
     assert len(rows) == len(lang) and np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.95
     net = train(docs)
     got = {r["doc_id"]: r for r in identify(odd, net).collect() if r["doc_id"]}
+    marks = spark.createDataFrame([(i, t) for i, t in enumerate(["½", "²", "①", "12 ½ Ⅷ", "é", "ª"])], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in identify(marks, net).orderBy("doc_id").collect()] == [True] * 4 + [False] * 2
     assert [got[i]["lang_pred"] for i in (1, 2, 5, 6)] == ["und"] * 4 and all(0 <= r["score"] <= 1 for r in got.values())
     assert identify(odd.limit(0), net).count() == 0
     assert {r["lang_pred"] for r in identify(odd, train(odd)).collect()} == {"und"}

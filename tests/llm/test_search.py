@@ -146,6 +146,17 @@ def test_leaks_in_hard_texts(spark):
     assert find_leaks(docs.limit(0), frame).count() == 0 and find_leaks(docs, frame.limit(0)).count() == 0
 
 
+def test_leaks_in_several_shards(spark, monkeypatch):
+    """Every item is found in the shard that holds it, and the driver is left with none of them."""
+    from orrery.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 4)
+    items = [(i, f"what is the number {chr(97 + i) * 4} of thing {chr(97 + i) * 3}. it is {chr(97 + i) * 5} and more") for i in range(14)] + [(None, "an item without a name here. yes it is")]
+    docs = spark.createDataFrame([(i or -1, f"before {t} after") for i, t in items], "doc_id long, text string")
+    got = find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} >= {(i or -1, i) for i, _ in items}
+
+
 def test_wand_finds_what_full_scoring_finds():
     rng = np.random.default_rng(9)
     index = ItemIndex([(i, " ".join(f"t{k}" for k in rng.integers(0, 60, 8))) for i in range(100)], 0.3)
