@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 REQUESTS = ["http-request", "graphql-request"]
 
 
@@ -25,7 +27,7 @@ def closure(items: DataFrame) -> DataFrame:
         step = step.where("next is not null").join(links, F.col("next") == F.col("_u")).select("uid", F.col("_u").alias("ancestor_uid"), F.lit(level).alias("up"), F.col("_p").alias("next"))
         if level > 3:
             # walked once: later levels start from the kept rows
-            step = step.checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step.localCheckpoint()
+            step = written(step, "closure")
             back = step.agg(F.max(F.col("uid") == F.col("ancestor_uid"))).first()[0]
             if back is None:
                 return out
