@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 PLACEHOLDER = r"\{\{([^}]+)\}\}"
-ROUNDS = 10
 
 
 def placeholders(text: Column) -> Column:
@@ -47,20 +48,42 @@ def _replaced(state: DataFrame, values: DataFrame, key: str, text: str, change)
     return joined.withColumn(text, F.when(F.col("known").isNull(), F.col(text)).otherwise(F.array_join(put, ""))).withColumn("seen", F.array_distinct(F.concat("seen", F.coalesce(F.map_keys("known"), F.array().cast("array<string>"))))).drop("known")
 
 
-def expanded(variables: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Variables (scope_uid, name, value) with the placeholders inside their values replaced, to a fixpoint.
+def _round(state: DataFrame, values: DataFrame) -> DataFrame:
+    """Variables (scope_uid, name, value, seen) after one replacement in their values."""
+    asked = state.select("scope_uid", F.col("name").alias("own"), F.struct("scope_uid", "name").alias("var"), F.col("value").alias("text"), "seen")
+    return _replaced(asked, values.select("scope_uid", "name", "value"), "var", "text", lambda c: c).select("scope_uid", F.col("own").alias("name"), F.col("text").alias("value"), "seen")
+
+
+def expanded(variables: DataFrame) -> DataFrame:
+    """Variables (scope_uid, name, value) with the placeholders inside their values replaced, at any depth.
 
-    A variable is not expanded inside itself, which cuts cycles; the number of rounds bounds the depth. Variables are few
-    beside the templates that use them, so the rounds run here and templates need one join.
+    Dependencies first: a variable is expanded once all variables that it names are, so one used on several branches is
+    replaced on each, and there are as many rounds as the chain of names is long, each written. What is left then hangs on
+    a cycle; there every variable is expanded with names it has met left as they are, which cuts the cycle, until nothing changes.
+    Variables are few beside the templates that use them, so the rounds run here and templates need one join.
     """
-    plain = variables.where(~F.col("value").rlike(PLACEHOLDER))
-    state = variables.where(F.col("value").rlike(PLACEHOLDER)).select("scope_uid", "name", F.struct("scope_uid", "name").alias("var"), "value", F.array("name").alias("seen"))
-    for _ in range(rounds):
-        if state.where(F.size(F.filter(placeholders(F.col("value")), lambda p: ~F.array_contains("seen", p))) > 0).isEmpty():
+    rows = variables.select("scope_uid", "name", "value")
+    nested = F.coalesce(F.col("value").rlike(PLACEHOLDER), F.lit(False))
+    done = rows.where(~nested)
+    waiting = written(rows.where(nested), "waiting")
+    asked = waiting.select("scope_uid", "name", F.explode(placeholders(F.col("value"))).alias("wanted"))
+    # a name, and its first step in case that is a variable and the name is none
+    asked = asked.select("scope_uid", F.col("name").alias("own"), F.explode(F.array_distinct(F.array("wanted", F.regexp_extract("wanted", r"^[^.\[]+", 0)))).alias("name"))
+    needs = written(asked.join(waiting.select("scope_uid", "name").distinct(), ["scope_uid", "name"]).distinct(), "needs")
+    while not waiting.isEmpty():
+        blocked = needs.join(waiting.select("scope_uid", "name"), ["scope_uid", "name"], "left_semi").select("scope_uid", F.col("own").alias("name"))
+        ready = written(waiting.join(blocked, ["scope_uid", "name"], "left_anti"), "ready")
+        if ready.isEmpty():
             break
-        before = state
-        state = _replaced(before.withColumnRenamed("value", "text").withColumnRenamed("name", "own"), variables.select("scope_uid", "name", "value"), "var", "text", lambda c: c).withColumnRenamed("text", "value").withColumnRenamed("own", "name")
-    return plain.select("scope_uid", "name", "value").unionByName(state.select("scope_uid", "name", "value"))
+        done = written(done.unionByName(_round(ready.withColumn("seen", F.array("name")), done).drop("seen")), "expanded")
+        waiting = written(waiting.join(ready.select("scope_uid", "name"), ["scope_uid", "name"], "left_anti"), "waiting")
+    state, values = waiting.withColumn("seen", F.array("name")), done.unionByName(waiting)
+    changed = not waiting.isEmpty()
+    while changed:
+        after = written(_round(state, values), "cycles")
+        changed = not after.join(state.select("scope_uid", "name", F.col("value").alias("before")), ["scope_uid", "name"]).where("value <> before").isEmpty()
+        state = after
+    return done.unionByName(state.drop("seen"))
 
 
 def interpolate(templates: DataFrame, variables: DataFrame, escape_json: bool = False) -> DataFrame:
