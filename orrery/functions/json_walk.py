@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEP = re.compile(r"(\.\.|\.|^)([^.\[\]]+)|\[(\d+)\]")
@@ -145,11 +145,24 @@ def key_paths(value, prefix: str = "") -> Iterator[str]:
         yield from key_paths(value[0], f"{prefix}[]")
 
 
+def field(body: Column, name: str) -> Column:
+    """JSON text of one field of bodies that are objects, as ``json_get`` gives it, without leaving the JVM."""
+    found = F.try_variant_get(F.try_parse_json(body), "$." + name, "variant")
+    return F.nullif(F.to_json(found), F.lit("null"))
+
+
+def overridden(environments: DataFrame, key: str) -> DataFrame:
+    """(key, name, value): leaf paths of ``base`` and of ``sub`` (JSON texts of each row), those of ``sub`` win."""
+    both = environments.select(key, F.explode(F.array(F.struct(F.lit(0).alias("p"), F.col("base").alias("j")), F.struct(F.lit(1).alias("p"), F.col("sub").alias("j")))).alias("e"))
+    leaves = both.select(key, "e.p", flattened(F.col("e.j")).alias("m")).select(key, "p", F.explode("m").alias("name", "value"))
+    return leaves.groupBy(key, "name").agg(F.max_by("value", "p").alias("value"))
+
+
 def structure_keys(body: Column) -> Column:
     """Key paths of a JSON body, null if it is unreadable."""
 
     @F.pandas_udf("array<string>")
     def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: list(key_paths(parse(b)[1])) if parse(b)[0] else None)
+        return bodies.map(parse).map(lambda p: list(key_paths(p[1])) if p[0] else None)
 
     return run(body)

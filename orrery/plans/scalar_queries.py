@@ -70,9 +70,9 @@ def s13(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", U.form_payload(params).alias("payload"))
 
 
-@query("s20_host_and_path", PAGES + """SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_replace(regexp_replace(url, '^https?://[^/?#]*', ''), '#.*$', '') AS path FROM p WHERE NOT contains(url, '|')""")
+@query("s20_host_and_path", PAGES + """SELECT page_id, CASE WHEN contains(url, '|') THEN url ELSE regexp_extract(url, '^https?://([^/?#]+)', 1) END AS host, CASE WHEN contains(url, '|') THEN url ELSE regexp_replace(regexp_replace(url, '^https?://[^/?#]*', ''), '#.*$', '') END AS path FROM p""")
 def s20(spark, sf):
-    return pages(spark, sf).where("not contains(url, '|')").select("page_id", U.url_host(F.col("url")).alias("host"), U.url_path(F.col("url")).alias("path"))
+    return pages(spark, sf).select("page_id", U.url_host(F.col("url")).alias("host"), U.url_path(F.col("url")).alias("path"))
 
 
 MIMES = ["text/html; charset=utf-8", "application/json", "application/vnd.api+JSON", "text/xml", "image/png", "application/javascript", "application/pdf", "text/plain", "", "application/x-ndjson"]
@@ -81,7 +81,7 @@ KINDS = [None, "json", "json", "xml", None, None, None, "text", None, "ndjson"]
 
 
 def mimes(spark, sf):
-    return V.table(spark, sf, "events").select("event_id", F.element_at(F.array(*map(F.lit, MIMES)), (F.col("event_id") % 10 + 1).cast("int")).alias("mime"))
+    return V.table(spark, sf, "events").select("event_id", "props", F.element_at(F.array(*map(F.lit, MIMES)), (F.col("event_id") % 10 + 1).cast("int")).alias("mime"))
 
 
 def cases(values):
@@ -90,8 +90,7 @@ def cases(values):
 
 @query("s14_content_type", f"SELECT event_id, {cases(MIMES)} AS ct, CASE WHEN event_id % 10 = 4 THEN 'Response content redacted (image data)' ELSE props END AS body FROM events")
 def s14(spark, sf):
-    rows = mimes(spark, sf).join(V.table(spark, sf, "events").select("event_id", "props"), "event_id")
-    rows = rows.withColumn("headers", F.create_map(F.lit("X-A"), F.lit("1"), F.lit("Content-TYPE"), F.col("mime")))
+    rows = mimes(spark, sf).withColumn("headers", F.create_map(F.lit("X-A"), F.lit("1"), F.lit("Content-TYPE"), F.col("mime")))
     return rows.select("event_id", P.content_type(F.col("headers")).alias("ct"), P.redact_image(F.col("mime"), F.col("props")).alias("body"))
 
 
@@ -175,15 +174,15 @@ def a6(spark, sf):
     return bulk_pairs(bulk(spark, sf), "p_partkey")
 
 
-@query("a10_server_environments", """SELECT n_nationkey, 'https://{{region}}.example.com/{{v}}' AS base_url, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'Environment 1' END AS env_name, 'region=' || CASE WHEN n_nationkey % 3 = 0 THEN 'eu' ELSE n_name END || ',v=' AS variables FROM nation""")
+@query("a10_server_environments", """SELECT c_custkey, 'https://{{region}}.example.com/{{v}}' AS base_url, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Environment 1' END AS env_name, 'region=' || CASE WHEN c_custkey % 3 = 0 THEN 'eu' ELSE c_name END || ',v=' AS variables FROM customer""")
 def a10(spark, sf):
     from ..sources.catalogs import server_environments
 
-    variable = F.struct(F.when(F.col("n_nationkey") % 3 == 0, "eu").alias("default"), F.array(F.col("n_name"), F.lit("us")).alias("enum"))
+    variable = F.struct(F.when(F.col("c_custkey") % 3 == 0, "eu").alias("default"), F.array(F.col("c_name"), F.lit("us")).alias("enum"))
     empty = F.struct(F.lit(None).cast("string").alias("default"), F.lit(None).cast("array<string>").alias("enum"))
-    server = F.struct(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("name"), F.lit(None).cast("string").alias("description"), F.lit("https://{region}.example.com/{v}/").alias("url"), F.create_map(F.lit("region"), variable, F.lit("v"), empty).alias("variables"))
-    out = server_environments(V.table(spark, sf, "nation").select("n_nationkey", F.array(server).alias("servers")), "n_nationkey")
-    return out.select("n_nationkey", "base_url", "env_name", F.array_join(F.transform(F.map_entries("variables"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("variables"))
+    server = F.struct(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name"), F.lit(None).cast("string").alias("description"), F.lit("https://{region}.example.com/{v}/").alias("url"), F.create_map(F.lit("region"), variable, F.lit("v"), empty).alias("variables"))
+    out = server_environments(V.table(spark, sf, "customer").select("c_custkey", F.array(server).alias("servers")), "c_custkey")
+    return out.select("c_custkey", "base_url", "env_name", F.array_join(F.transform(F.map_entries("variables"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("variables"))
 
 
 @query("a5_environment_variables", "SELECT c_custkey, 'v' AS name, c_mktsegment AS value, 'text' AS type, c_custkey % 2 = 0 AS enabled, FALSE AS secret FROM customer WHERE c_custkey % 5 <> 0")

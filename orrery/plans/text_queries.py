@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import json_lists as L
 from ..functions import json_walk as J
 from ..operators import checks as K
 from ..operators import search as S
@@ -38,13 +39,12 @@ def b11(spark, sf):
 def b12(spark, sf):
     item = lambda n, v: F.struct(F.lit(n).alias("id"), F.floor(v).alias("amount"))
     o = V.table(spark, sf, "orders").select("o_orderkey", F.array(item(1, F.col("o_totalprice")), item(2, F.col("o_totalprice") / 2)).alias("items"))
-    return o.select("o_orderkey", F.get(F.transform(F.filter("items", lambda x: x["id"].eqNullSafe(1)), lambda x: x["amount"] + 1), F.lit(0)).alias("picked"), F.get("items", F.lit(1))["amount"].alias("second"))
+    return o.select("o_orderkey", L.pick(L.mapped(L.matching(F.col("items"), {"id": 1}), lambda x: x["amount"] + 1), 0).alias("picked"), L.pick(F.col("items"), 1)["amount"].alias("second"))
 
 
 @query("b13_json_path", "SELECT event_id, '[' || json_extract_string(props, '$.k') || ']' AS picked FROM events")
 def b13(spark, sf):
-    found = F.get_json_object("props", "$.k")
-    return V.table(spark, sf, "events").select("event_id", F.coalesce(F.concat(F.lit("["), found, F.lit("]")), F.col("props")).alias("picked"))
+    return V.table(spark, sf, "events").select("event_id", L.json_path(F.col("props"), "$.k").alias("picked"))
 
 
 @query("s7_flattened_bodies", """SELECT o_custkey, p.key AS path, p.value AS value FROM (
@@ -90,8 +90,8 @@ ORACLE_TESTS = ["k > 50", "k <= 50", "k BETWEEN 10 AND 20", "TRUE", "k = 7", "FA
 @query("b8_checks", "WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) " + " UNION ALL ".join(f"SELECT event_id, {i} AS pos, CASE WHEN {t} THEN 'pass' ELSE 'fail' END AS status FROM e" for i, t in enumerate(ORACLE_TESTS)))
 def b8(spark, sf):
     e = V.table(spark, sf, "events")
-    paths = F.array(*[F.lit(p) for p, _ in EXPRESSIONS])
-    rows = e.select("event_id", F.arrays_zip(J.json_get_each(F.col("props"), paths).alias("lhs"), F.array(*[F.lit(x) for _, x in EXPRESSIONS]).alias("expr")).alias("z"))
+    fields = e.select("event_id", *[J.field(F.col("props"), p).alias(p) for p in sorted({p for p, _ in EXPRESSIONS})])
+    rows = fields.select("event_id", F.array(*[F.struct(F.col(p).alias("lhs"), F.lit(x).alias("expr")) for p, x in EXPRESSIONS]).alias("z"))
     checks = rows.select("event_id", F.posexplode("z").alias("pos", "c")).select("event_id", "pos", F.col("c.lhs").alias("lhs_json"), F.col("c.expr").alias("expression"), F.lit(True).alias("enabled"))
     return K.evaluate(checks).select("event_id", "pos", "status")
 
@@ -107,20 +107,19 @@ def b9(spark, sf):
 @query("e12_post_response_variables", "SELECT user_id AS item_uid, 'v' || (event_id % 3) AS name, ARG_MAX(json_extract_string(props, '$.k'), event_id) AS value FROM events WHERE event_type <> 'error' GROUP BY 1, 2")
 def e12(spark, sf):
     e = V.table(spark, sf, "events")
-    rows = e.select(F.col("user_id").alias("item_uid"), F.col("event_id").alias("pos"), F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string")).alias("name"), J.json_get(F.col("props"), "k").alias("value"), (F.col("event_type") != "error").alias("enabled"))
+    rows = e.select(F.col("user_id").alias("item_uid"), F.col("event_id").alias("pos"), F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string")).alias("name"), J.field(F.col("props"), "k").alias("value"), (F.col("event_type") != "error").alias("enabled"))
     return K.post_response_variables(rows)
 
 
-@query("e13_environment_override", "SELECT n_nationkey, UNNEST([{'name': 'a.b', 'value': 'sub'}, {'name': 'a.c[0]', 'value': n_name}, {'name': 'd', 'value': '1'}], recursive := true) FROM nation")
+@query("e13_environment_override", "SELECT c_custkey, UNNEST([{'name': 'a.b', 'value': 'sub'}, {'name': 'a.c[0]', 'value': c_name}, {'name': 'd', 'value': '1'}], recursive := true) FROM customer")
 def e13(spark, sf):
-    base, sub = F.concat(F.lit('{"a":{"b":"base","c":["'), "n_name", F.lit('"]}}')), F.lit('{"a":{"b":"sub"},"d":1}')
-    both = V.table(spark, sf, "nation").select("n_nationkey", F.explode(F.array(F.struct(F.lit(0).alias("p"), base.alias("j")), F.struct(F.lit(1).alias("p"), sub.alias("j")))).alias("e")).select("n_nationkey", "e.p", J.flattened(F.col("e.j")).alias("m"))
-    return both.select("n_nationkey", "p", F.explode("m").alias("name", "value")).groupBy("n_nationkey", "name").agg(F.max_by("value", "p").alias("value"))
+    base, sub = F.concat(F.lit('{"a":{"b":"base","c":["'), "c_name", F.lit('"]}}')), F.lit('{"a":{"b":"sub"},"d":1}')
+    return J.overridden(V.table(spark, sf, "customer").select("c_custkey", base.alias("base"), sub.alias("sub")), "c_custkey")
 
 
 @query("u1_user_predicates", "SELECT o_orderkey, ARRAY_TO_STRING(LIST_FILTER([o_custkey, o_orderkey], lambda x: x % 2 = 0), ',') AS kept FROM orders")
 def u1(spark, sf):
-    return V.table(spark, sf, "orders").select("o_orderkey", F.array_join(F.filter(F.array("o_custkey", "o_orderkey"), lambda x: x % 2 == 0), ",").alias("kept"))
+    return V.table(spark, sf, "orders").select("o_orderkey", F.array_join(L.kept(F.array("o_custkey", "o_orderkey"), lambda x: x % 2 == 0), ",").alias("kept"))
 
 
 @query("u2_named_checks", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'pass' ELSE 'fail' END AS status, CASE WHEN o_totalprice > 100000 THEN NULL ELSE 'large order does not hold' END AS error FROM orders")

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.functions import json_lists as L
 from orrery.functions import json_walk as J
 from orrery.functions import payload as P
 from orrery.functions import urls as U
@@ -129,6 +130,27 @@ def test_interpolation(spark):
     assert got == {0: "A-dotted-x", 1: "7 v", 2: "{{ name }} {{missing}} N", 3: "<A({{n}})>", 4: "plain", 5: "", 6: '{"b":"x","l":[{"k":7}],"k":"v"}', 99: "{{a}}"}
 
 
+def test_interpolation_of_shared_and_deep_variables(spark):
+    """A variable met on two branches is replaced on both, and chains of any length end."""
+    rows = [(1, "a", "{{b}}{{c}}"), (1, "b", "{{c}}"), (1, "c", "x"), (1, "o", '{"k":"{{c}}"}'), (1, "p", "{{o.k}}{{a}}")] + [(1, f"v{i}", f"{{{{v{i + 1}}}}}") for i in range(14)] + [(1, "v14", "end")]
+    variables = spark.createDataFrame(rows, "scope_uid int, name string, value string")
+    texts = spark.createDataFrame([(0, 1, "{{a}}"), (1, 1, "{{v0}}"), (2, 1, "{{p}}")], "template_uid int, scope_uid int, text string")
+    assert dict(T.interpolate(texts, variables).collect()) == {0: "xx", 1: "end", 2: "xxx"}
+
+
+def test_json_paths_and_lists(spark):
+    body = '{"a":[{"b":1,"c":[1,2]},{"b":"x","c":[]},{"d":null,"c":[3]}],"k":7}'
+    df = spark.createDataFrame([(body,), ("not json",)], "body string")
+    want = {"$.k": "[7]", "$.a[1].b": '["x"]', "$.a[*].b": '[1,"x"]', "$.a[*].c[*]": "[1,2,3]", "$.none": "[]", "$.k[*]": "[]"}
+    for path, found in want.items():
+        assert [r[0] for r in df.select(L.json_path(F.col("body"), path)).collect()] == [found, "not json"]
+    rows = df.limit(1).select(F.array(F.struct(F.lit(1).alias("id"), F.lit("u").alias("n")), F.struct(F.lit(None).cast("int").alias("id"), F.lit("v").alias("n"))).alias("l"))
+    got = rows.select(F.size(L.matching(F.col("l"), {"id": 1, "n": "u"})), F.size(L.matching(F.col("l"), {"id": None})), F.size(L.kept(F.col("l"), lambda x: x["id"] > 0)), L.mapped(F.col("l"), lambda x: x["id"]), L.pick(F.col("l"), 5)).first()
+    assert tuple(got) == (1, 1, 1, [1], None)
+    fields = spark.createDataFrame([('{"k":7}',), ('{"k":"s"}',), ('{"k":null}',), ('{"x":1}',), ("[]",), ("?",), (None,)], "b string")
+    assert [tuple(r) for r in fields.select(J.field(F.col("b"), "k"), J.json_get(F.col("b"), "k")).collect()] == [("7",) * 2, ('"s"',) * 2, *[(None,) * 2] * 5]
+
+
 def test_sibling_order_and_run_plan(spark):
     def order(rows):
         items = spark.createDataFrame([(str(i), "p", "folder", n, float(s) if s else None, i, [], False) for i, (n, s) in enumerate(rows)], "uid string, parent_uid string, type string, name string, seq double, pos long, tags array<string>, is_transient boolean")
