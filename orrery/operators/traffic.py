@@ -60,7 +60,8 @@ def attach_to_queued(events: DataFrame) -> DataFrame:
 
 def item_timeline(traffic: DataFrame, credentials: DataFrame, sources: DataFrame) -> DataFrame:
     """Own entries of each item, and credential entries of its effective auth source (a folder, or the collection if the
-    entry names no folder). ``sources``: (item_uid, collection_uid, folder_uid). Two equi-joins, no OR."""
+    entry names no folder). ``sources``: (item_uid, collection_uid, folder_uid). Two equi-joins, no OR; the result has a row for
+    each item and entry of its source, so a collection's own entries come back once for each item without a folder."""
     own = traffic.select("item_uid", "seq", "ts", F.lit("request").alias("kind"))
     in_folder = sources.join(credentials.where("folder_uid is not null"), ["collection_uid", "folder_uid"])
     in_collection = sources.where("folder_uid is null").drop("folder_uid").join(credentials.where("folder_uid is null").drop("folder_uid"), "collection_uid")

@@ -133,14 +133,14 @@ def g2(spark, sf):
     return T.with_collection_names(V.traffic(spark, sf), names).select("seq", "collection")
 
 
-@query("c12_item_timeline", TRAFFIC + """, sources AS (SELECT DISTINCT item_uid, collection_uid, CASE WHEN item_uid % 2 = 0 THEN item_uid % 5 END AS folder_uid FROM traffic),
-creds AS (SELECT seq, ts, collection_uid, CASE WHEN seq % 3 <> 0 THEN seq % 5 END AS folder_uid FROM traffic WHERE log_type = 'debug' AND seq % 20 = 0)
+@query("c12_item_timeline", TRAFFIC + """, sources AS (SELECT DISTINCT item_uid, collection_uid, CASE WHEN item_uid >= 3 THEN item_uid // 2 END AS folder_uid FROM traffic),
+creds AS (SELECT seq, ts, collection_uid, CASE WHEN seq % 3 <> 0 THEN item_uid // 2 END AS folder_uid FROM traffic WHERE log_type = 'debug')
 SELECT item_uid, seq, ts, 'request' AS kind FROM traffic
 UNION SELECT s.item_uid, c.seq, c.ts, 'oauth2' FROM sources s JOIN creds c ON c.collection_uid = s.collection_uid AND c.folder_uid IS NOT DISTINCT FROM s.folder_uid""")
 def c12(spark, sf):
     t = V.traffic(spark, sf)
-    sources = t.select("item_uid", "collection_uid", F.when(F.col("item_uid") % 2 == 0, F.col("item_uid") % 5).alias("folder_uid")).distinct()
-    creds = t.where("log_type = 'debug' and seq % 20 = 0").select("seq", "ts", "collection_uid", F.when(F.col("seq") % 3 != 0, F.col("seq") % 5).alias("folder_uid"))
+    sources = t.select("item_uid", "collection_uid", F.when(F.col("item_uid") >= 3, F.floor(F.col("item_uid") / 2)).alias("folder_uid")).distinct()
+    creds = t.where("log_type = 'debug'").select("seq", "ts", "collection_uid", F.when(F.col("seq") % 3 != 0, F.floor(F.col("item_uid") / 2)).alias("folder_uid"))
     return T.item_timeline(t, creds, sources)
 
 
