@@ -27,10 +27,10 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,52 +97,42 @@ class Block:
 
     def codes(self) -> tuple[np.ndarray, np.ndarray]:
         """For each coded place the number of its gram, and the distinct grams in ascending order."""
-        code = np.zeros(len(self.places), np.uint64)
-        for k in range(ORDER, -1, -1):
-            code = code << np.uint64(8) | self.bytes[self.places - k]
-        at, grams = numbered(code)
+        every = np.zeros(max(0, len(self.bytes) - ORDER), np.uint64)
+        for i in range(0, len(every), STRETCH):  # a stretch stays in the processor's cache over all steps
+            code = every[i : i + STRETCH]
+            for k in range(ORDER + 1):
+                code <<= np.uint64(8)
+                code |= self.bytes[i + k : i + k + len(code)]
+        at, grams = numbered(every[self.places - ORDER])
         return at, grams.astype(np.int64)
 
 
-SLOT_BITS = 22
+STRETCH = 1 << 16
 
 
 def numbered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """np.unique with inverse, for many repeats: equal codes find each other in a hash table, and only distinct ones are
-    sorted. Codes that lose their slot to another try again with another multiplier."""
-    holder, todo, odd = np.zeros(len(code), np.int32), np.arange(len(code), dtype=np.int32), 0x9E3779B97F4A7C15
-    table = np.zeros(1 << SLOT_BITS, np.int32)
-    while len(todo):
-        own = code[todo]
-        slot = (own * np.uint64(odd) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
-        table[slot] = todo
-        found = table[slot]
-        same = code[found] == own
-        holder[todo[same]] = found[same]
-        todo, odd = todo[~same], odd * 0x5851F42D4C957F2D + 2 & (1 << 64) - 1 | 1
-    is_holder = np.zeros(len(code), bool)
-    is_holder[holder] = True
-    holders = np.flatnonzero(is_holder)
-    holders = holders[np.argsort(code[holders])]
-    number = np.zeros(len(code), np.int32)
-    number[holders] = np.arange(len(holders), dtype=np.int32)
-    return number[holder], code[holders]
-
-
-class Numbering(dict):
-    def __missing__(self, key):
-        n = self[key] = len(self)
-        return n
+    """np.unique with inverse, for many repeats: only the distinct codes are sorted."""
+    held = pa.array(code).dictionary_encode()
+    distinct = held.dictionary.to_numpy()
+    order = np.argsort(distinct)
+    number = np.empty(len(distinct), np.int32)
+    number[order] = np.arange(len(distinct), dtype=np.int32)
+    return number[held.indices.to_numpy()], distinct[order]
 
 
 def number_words(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Word numbers of all pieces in a row, words per piece, and the distinct words."""
-    numbers, flat, sizes = Numbering(), [], []
-    for i in range(0, len(pieces), 256):
-        split = [p[ORDER:].lower().split() for p in pieces[i : i + 256]]
-        sizes += map(len, split)
-        flat.append(np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int32, sum(map(len, split))))
-    return np.concatenate(flat) if flat else np.zeros(0, np.int32), np.array(sizes, np.int64), list(numbers)
+    """Word numbers of all pieces in a row, words per piece, and the distinct words in ascending order."""
+    texts = pa.array([p[ORDER:] for p in pieces], pa.binary()).view(pa.string())
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, sizes = parts.flatten(), pc.list_value_length(parts).to_numpy()
+    full = pc.not_equal(flat, "")  # white space at an end leaves an empty part
+    of = np.repeat(np.arange(len(sizes)), sizes)[full.to_numpy(zero_copy_only=False)]
+    held = flat.filter(full).dictionary_encode()
+    distinct = held.dictionary.view(pa.binary())
+    order = pc.sort_indices(distinct)
+    number = np.empty(len(distinct), np.int32)
+    number[order.to_numpy()] = np.arange(len(distinct), dtype=np.int32)
+    return number[held.indices.to_numpy()], np.bincount(of, minlength=len(sizes)), distinct.take(order).to_pylist()
 
 
 def packed(x: np.ndarray, width: int) -> bytes:
@@ -191,8 +181,6 @@ def block_stats(ranges: int):
             rows.append((r, "gram", len(places), packed(np.diff(grams[places], prepend=0), ORDER + 1), packed(n[places], 4), None, None))
         numbers, sizes, words = number_words(pieces)
         m = np.bincount(numbers[np.repeat(train, sizes)], minlength=len(words))
-        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
-        words, m = [words[i] for i in order], m[order]
         for r, places in by_range(word_ranges(words, ranges)):
             rows.append((r, "word", len(places), pa.compress(b"\n".join(words[i] for i in places), codec="zstd", asbytes=True), packed(m[places], 4), sum(len(words[i]) + 1 for i in places) - 1, None))
         keys, where = np.unique(grams & ((1 << 8 * (LOW + 1)) - 1), return_inverse=True)
@@ -309,11 +297,10 @@ def score_block(ranges: int, smooth):
             by_gram[places] = np.ascontiguousarray(np.frombuffer(pa.decompress(blob, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T).view("<f4").ravel()
         score = sums_of(by_gram[at], block.sizes)
         numbers, sizes, words = number_words(held)
-        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
         counts = np.empty(len(words), np.int64)
-        for r, places in by_range(word_ranges([words[i] for i in order], ranges)):
+        for r, places in by_range(word_ranges(words, ranges)):
             n, blob = got["word", r]
-            counts[order[places]] = unpacked(blob, n, 6)
+            counts[places] = unpacked(blob, n, 6)
         return pa.table({
             "row": pieces.column("row"),
             "n_tokens": pa.array(sizes + np.array(last, np.int64), pa.int64()),
