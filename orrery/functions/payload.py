@@ -65,6 +65,10 @@ def content_type(headers: Column) -> Column:
     return header(headers, "content-type")
 
 
+def is_html(mime: Column) -> Column:
+    return F.coalesce(F.contains(mime, F.lit("html")), F.lit(False))
+
+
 def response_format(mime: Column) -> Column:
     clean = F.regexp_extract(F.lower(F.trim(F.coalesce(mime, F.lit("")))), r"^[^;]+", 0)
     out = F.lit("raw")

@@ -84,6 +84,25 @@ def suffixed_names(items: DataFrame) -> DataFrame:
     return items.withColumn("_k", k).withColumn("unique_name", F.when(F.col("_k") == 0, F.col("name")).otherwise(F.concat_ws("_", "name", F.col("_k").cast("string")))).drop("_k")
 
 
+def operation_names(requests: DataFrame) -> DataFrame:
+    """Requests of a spec (spec_uid, uid, pos, name, method) with ``operation_name``, unique in the spec: a name already taken gets its
+    method, and if that is taken too the first free number; earlier requests choose first. What is grouped is narrow."""
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        group, taken, out = group.sort_values("pos"), set(), []
+        for name, method in zip(group["name"], group["method"], strict=True):
+            new, n = name, 0
+            while new in taken:
+                new = f"{name} ({n or method.upper()})"
+                n += 1
+            taken.add(new)
+            out.append(new)
+        return group[["spec_uid", "uid"]].assign(operation_name=out)
+
+    kinds = dict(requests.dtypes)
+    return requests.select("spec_uid", "uid", "pos", "name", "method").groupBy("spec_uid").applyInPandas(choose, f"spec_uid {kinds['spec_uid']}, uid {kinds['uid']}, operation_name string")
+
+
 def free_names(items: DataFrame) -> DataFrame:
     """Names made unique among siblings by the first free ``name_n``; earlier siblings choose first.
 
@@ -210,8 +229,23 @@ def changed_items(old: DataFrame, new: DataFrame, kept: list[str]) -> DataFrame:
     return old.select("uid", digest.alias("a")).join(new.select("uid", digest.alias("b")), "uid").where("a <> b").select("uid")
 
 
+# What a mode or an operator may be.
+BODY_MODES = ["none", "json", "text", "xml", "formUrlEncoded", "multipartForm", "graphql", "sparql", "file"]
+AUTH_MODES = ["inherit", "none", "awsv4", "basic", "bearer", "digest", "ntlm", "oauth2", "wsse", "apikey"]
+PARAM_TYPES = ["query", "path"]
+OPERATORS = [
+    "eq", "neq", "gt", "gte", "lt", "lte", "in", "notIn", "contains", "notContains", "length", "matches", "notMatches", "startsWith",
+    "endsWith", "between", "isEmpty", "isNotEmpty", "isNull", "isUndefined", "isDefined", "isTruthy", "isFalsy", "isJson", "isNumber",
+    "isString", "isBoolean", "isArray",
+]
+
+
 def violations(items: DataFrame) -> DataFrame:
-    """(uid, rule) for each rule that an item breaks."""
+    """(uid, rule) for each rule that an item breaks.
+
+    Items may also have ``body_mode``, ``auth_mode``, ``max_redirects``, ``param_types`` and ``operators`` (arrays); a null mode of
+    a column that is there is only wrong for a request.
+    """
     rules = [
         (F.col("uid").isNull() | (F.col("uid") == ""), "uid-required"),
         (F.length(F.coalesce("name", F.lit(""))) < 1, "name-min-length"),
@@ -220,5 +254,16 @@ def violations(items: DataFrame) -> DataFrame:
         (F.exists(F.coalesce("tags", F.array().cast("array<string>")), lambda t: ~t.rlike(r"^[\w-]+$")), "tag-pattern"),
         (F.col("parent_uid").isNull() & (F.col("type") != "collection"), "parent-required"),
     ]
+    request = F.col("type").isin(*REQUESTS)
+    outside = lambda column, known: F.exists(F.coalesce(column, F.array().cast("array<string>")), lambda x: x.isNotNull() & ~x.isin(*known))
+    for column, test, code in (
+        ("body_mode", lambda c: request & (c.isNull() | ~c.isin(*BODY_MODES)), "body-mode-enum"),
+        ("auth_mode", lambda c: request & (c.isNull() | ~c.isin(*AUTH_MODES)), "auth-mode-enum"),
+        ("max_redirects", lambda c: (c < 0) | (c > 50), "max-redirects-range"),
+        ("param_types", lambda c: outside(c, PARAM_TYPES), "param-type-enum"),
+        ("operators", lambda c: outside(c, OPERATORS), "operator-enum"),
+    ):
+        if column in items.columns:
+            rules.append((test(F.col(column)), code))
     broken = F.array_compact(F.array(*[F.when(test, code) for test, code in rules]))
     return items.select("uid", F.explode(broken).alias("rule"))

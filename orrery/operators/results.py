@@ -166,15 +166,16 @@ def write_xml_report(results: DataFrame, path: str) -> None:
     suites.select(F.col("suite").alias("_name"), F.col("tests").alias("_tests"), F.col("failures").alias("_failures"), F.col("errors").alias("_errors"), F.col("skips").alias("_skipped"), F.col("suite_time").alias("_time"), "testcase").write.format("xml").option("rootTag", "testsuites").option("rowTag", "testsuite").save(path)
 
 
-def redacted(results: DataFrame, all_headers: bool = False, headers: tuple[str, ...] = (), response_body: bool = False) -> DataFrame:
-    """Rows without all headers, the named headers (any case) or the response body."""
+def redacted(results: DataFrame, all_headers: bool = False, headers: tuple[str, ...] = (), response_body: bool = False, request_body: bool = False) -> DataFrame:
+    """Rows without all headers, the named headers (any case), the response body or the request body (``request_data``)."""
     names = [h.lower() for h in headers]
     out = results
     if all_headers:
         out = out.withColumn("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
     elif names:
         out = out.withColumn("headers", F.map_filter("headers", lambda k, v: ~F.lower(k).isin(names)))
-    return out.withColumn("response_data", F.lit(None).cast("string")) if response_body else out
+    gone = [c for c, wanted in (("response_data", response_body), ("request_data", request_body)) if wanted and c in out.columns]
+    return out.withColumns({c: F.lit(None).cast(out.schema[c].dataType) for c in gone}) if gone else out
 
 
 def enriched(results: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -114,10 +114,11 @@ def a8_cases(spark, sf):
     return R.report_cases(V.run_results(spark, sf)).drop("case_time")
 
 
-@query("s21_redacted", BASE + "SELECT seq, NULL::VARCHAR AS auth, 'application/json' AS mime, NULL::VARCHAR AS response_data FROM requests")
+@query("s21_redacted", BASE + "SELECT seq, NULL::VARCHAR AS auth, 'application/json' AS mime, NULL::VARCHAR AS response_data, NULL::VARCHAR AS request_data FROM requests")
 def s21(spark, sf):
-    out = R.redacted(V.run_results(spark, sf), headers=("AUTHORIZATION",), response_body=True)
-    return out.select("seq", F.element_at("headers", "Authorization").alias("auth"), F.element_at("headers", "content-type").alias("mime"), "response_data")
+    rows = V.run_results(spark, sf).withColumn("request_data", F.concat(F.lit('{"seq":'), F.col("seq").cast("string"), F.lit("}")))
+    out = R.redacted(rows, headers=("AUTHORIZATION",), response_body=True, request_body=True)
+    return out.select("seq", F.element_at("headers", "Authorization").alias("auth"), F.element_at("headers", "content-type").alias("mime"), "response_data", "request_data")
 
 
 @query("c1_enriched_results", BASE + ", " + V.SQL["items"] + """

@@ -88,10 +88,10 @@ def cases(values):
     return "CASE event_id % 10 " + " ".join(f"WHEN {i} THEN " + (f"'{v}'" if v is not None else "NULL") for i, v in enumerate(values)) + " END"
 
 
-@query("s14_content_type", f"SELECT event_id, {cases(MIMES)} AS ct, CASE WHEN event_id % 10 = 4 THEN 'Response content redacted (image data)' ELSE props END AS body FROM events")
+@query("s14_content_type", f"SELECT event_id, {cases(MIMES)} AS ct, event_id % 10 = 0 AS html, CASE WHEN event_id % 10 = 4 THEN 'Response content redacted (image data)' ELSE props END AS body FROM events")
 def s14(spark, sf):
     rows = mimes(spark, sf).withColumn("headers", F.create_map(F.lit("X-A"), F.lit("1"), F.lit("Content-TYPE"), F.col("mime")))
-    return rows.select("event_id", P.content_type(F.col("headers")).alias("ct"), P.redact_image(F.col("mime"), F.col("props")).alias("body"))
+    return rows.select("event_id", P.content_type(F.col("headers")).alias("ct"), P.is_html(F.col("mime")).alias("html"), P.redact_image(F.col("mime"), F.col("props")).alias("body"))
 
 
 @query("s15_response_format", f"SELECT event_id, {cases(FORMATS)} AS format FROM events")

@@ -83,14 +83,19 @@ def s12(spark, sf):
 EXPRESSIONS = [
     ("k", "gt 50"), ("k", "lte 50"), ("k", "between 10,20"), ("k", "isNumber"), ("k", "eq 7"), ("k", '"7"'), ("k", "neq 7"), ("k", "in [1, 2, 3]"), ("k", "notIn 1,2"), ("k", "matches ^1"), ("k", "notMatches /^1/"), ("k", "contains 1"), ("k", "notContains 1"), ("k", "isNotEmpty"),
     ("nope", "isUndefined"), ("nope", "isDefined"), ("nope", "eq undefined"), ("nope", "isNull"), ("nope", "neq 1"), ("nope", "notMatches x"),
+    ("k", "gte 50"), ("k", "lt 50"), ("k", "isString"), ("k", "length 2"), ("s", "length 5"), ("s", "startsWith p"), ("s", "endsWith k"), ("s", "isEmpty"), ("s", "isString"), ("s", "isNumber"),
+    ("t", "isTruthy"), ("t", "isFalsy"), ("t", "isBoolean"), ("l", "isArray"), ("l", "length 2"), ("l", "isJson"), ("o", "isJson"), ("o", "isEmpty"), ("o", "isArray"),
 ]
-ORACLE_TESTS = ["k > 50", "k <= 50", "k BETWEEN 10 AND 20", "TRUE", "k = 7", "FALSE", "k <> 7", "k IN (1, 2, 3)", "k NOT IN (1, 2)", "starts_with(k::VARCHAR, '1')", "NOT starts_with(k::VARCHAR, '1')", "FALSE", "FALSE", "FALSE", "TRUE", "FALSE", "TRUE", "FALSE", "TRUE", "TRUE"]
+ORACLE_TESTS = ["k > 50", "k <= 50", "k BETWEEN 10 AND 20", "TRUE", "k = 7", "FALSE", "k <> 7", "k IN (1, 2, 3)", "k NOT IN (1, 2)", "starts_with(k::VARCHAR, '1')", "NOT starts_with(k::VARCHAR, '1')", "FALSE", "FALSE", "FALSE", "TRUE", "FALSE", "TRUE", "FALSE", "TRUE", "TRUE",
+    "k >= 50", "k < 50", "FALSE", "FALSE", "length(s) = 5", "starts_with(s, 'p')", "ends_with(s, 'k')", "FALSE", "TRUE", "FALSE",
+    "TRUE", "FALSE", "TRUE", "TRUE", "TRUE", "FALSE", "TRUE", "TRUE", "FALSE"]
 
 
-@query("b8_checks", "WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) " + " UNION ALL ".join(f"SELECT event_id, {i} AS pos, CASE WHEN {t} THEN 'pass' ELSE 'fail' END AS status FROM e" for i, t in enumerate(ORACLE_TESTS)))
+@query("b8_checks", "WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_type AS s FROM events) " + " UNION ALL ".join(f"SELECT event_id, {i} AS pos, CASE WHEN {t} THEN 'pass' ELSE 'fail' END AS status FROM e" for i, t in enumerate(ORACLE_TESTS)))
 def b8(spark, sf):
-    e = V.table(spark, sf, "events")
-    fields = e.select("event_id", *[J.field(F.col("props"), p).alias(p) for p in sorted({p for p, _ in EXPRESSIONS})])
+    more = F.concat(F.lit(',"s":"'), "event_type", F.lit('","t":true,"l":[1,2],"o":{}}'))
+    e = V.table(spark, sf, "events").select("event_id", F.concat(F.regexp_replace("props", r"\}\s*$", ""), more).alias("body"))
+    fields = e.select("event_id", *[J.field(F.col("body"), p).alias(p) for p in sorted({p for p, _ in EXPRESSIONS})])
     rows = fields.select("event_id", F.array(*[F.struct(F.col(p).alias("lhs"), F.lit(x).alias("expr")) for p, x in EXPRESSIONS]).alias("z"))
     checks = rows.select("event_id", F.posexplode("z").alias("pos", "c")).select("event_id", "pos", F.col("c.lhs").alias("lhs_json"), F.col("c.expr").alias("expression"), F.lit(True).alias("enabled"))
     return K.evaluate(checks).select("event_id", "pos", "status")

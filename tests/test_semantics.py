@@ -151,6 +151,18 @@ def test_json_paths_and_lists(spark):
     assert [tuple(r) for r in fields.select(J.field(F.col("b"), "k"), J.json_get(F.col("b"), "k")).collect()] == [("7",) * 2, ('"s"',) * 2, *[(None,) * 2] * 5]
 
 
+def test_operation_names(spark):
+    rows = [(1, "a", 0, "get", "get"), (1, "b", 1, "get", "post"), (1, "c", 2, "get", "post"), (1, "d", 3, "get (1)", "put"), (1, "e", 4, "get", "post"), (2, "f", 0, "get", "get")]
+    got = {r["uid"]: r["operation_name"] for r in C.operation_names(spark.createDataFrame(rows, "spec_uid int, uid string, pos int, name string, method string")).collect()}
+    assert got == {"a": "get", "b": "get (POST)", "c": "get (1)", "d": "get (1) (PUT)", "e": "get (2)", "f": "get"}
+
+
+def test_violations_of_modes(spark):
+    rows = [("a", "http-request", "json", "basic", 5, ["query"], ["eq"]), ("b", "http-request", "yaml", None, 51, ["header"], ["same"]), ("c", "folder", None, None, None, None, None)]
+    items = spark.createDataFrame([(u, "p", t, "n", 1.0, [], *rest) for u, t, *rest in rows], "uid string, parent_uid string, type string, name string, seq double, tags array<string>, body_mode string, auth_mode string, max_redirects int, param_types array<string>, operators array<string>")
+    assert sorted((r["uid"], r["rule"]) for r in C.violations(items).collect()) == [("b", x) for x in ("auth-mode-enum", "body-mode-enum", "max-redirects-range", "operator-enum", "param-type-enum")]
+
+
 def test_sibling_order_and_run_plan(spark):
     def order(rows):
         items = spark.createDataFrame([(str(i), "p", "folder", n, float(s) if s else None, i, [], False) for i, (n, s) in enumerate(rows)], "uid string, parent_uid string, type string, name string, seq double, pos long, tags array<string>, is_transient boolean")
