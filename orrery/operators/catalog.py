@@ -84,43 +84,55 @@ def suffixed_names(items: DataFrame) -> DataFrame:
     return items.withColumn("_k", k).withColumn("unique_name", F.when(F.col("_k") == 0, F.col("name")).otherwise(F.concat_ws("_", "name", F.col("_k").cast("string")))).drop("_k")
 
 
-def operation_names(requests: DataFrame) -> DataFrame:
-    """Requests of a spec (spec_uid, uid, pos, name, method) with ``operation_name``, unique in the spec: a name already taken gets its
-    method, and if that is taken too the first free number; earlier requests choose first. What is grouped is narrow."""
+def _unique(rows: DataFrame, group: str, family: Column, numbered: str, output: str) -> DataFrame:
+    """(``group``, uid, ``output``) of ``rows`` (``group``, uid, pos, name, extra): names unique in their group, earlier rows choose first.
+
+    A taken name tries ``name (extra)``, if there is an extra, then ``numbered`` with 1, 2 and so on. Only names of one family can
+    meet. A family of one name, however often repeated, is numbered by windows; in one of several names a choice depends on all
+    earlier ones, and the helper makes it over narrow rows. A null name stays null.
+    """
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group, taken, out = group.sort_values("pos"), set(), []
-        for name, method in zip(group["name"], group["method"], strict=True):
-            new, n = name, 0
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["pos", "uid"])
+        taken: set[str] = set()
+        tried: dict[str, int] = {}
+        out = []
+        for name, extra in part[["name", "extra"]].itertuples(index=False):
+            new = name if name not in taken or not extra else f"{name} ({extra})"
+            # names stay taken, so the numbers tried before need no second look
+            n = tried.get(name, 1)
             while new in taken:
-                new = f"{name} ({n or method.upper()})"
-                n += 1
+                new, n = numbered.format(name, n), n + 1
+                tried[name] = n
             taken.add(new)
             out.append(new)
-        return group[["spec_uid", "uid"]].assign(operation_name=out)
+        return part[[group, "uid"]].assign(**{output: out})
+
+    kinds = dict(rows.dtypes)
+    keyed, keys, order = rows.where("name is not null").withColumn("family", family), [group, "family"], ["pos", "uid"]
+    digits = F.coalesce(F.col("extra").rlike("^[0-9]+$"), F.lit(False))
+    of_name = Window.partitionBy(*keys, "name").orderBy(*order)
+    keyed = keyed.withColumns({"mixed": (F.min("name").over(Window.partitionBy(*keys)) != F.max("name").over(Window.partitionBy(*keys))) | F.bool_or(digits).over(Window.partitionBy(*keys)), "again": F.row_number().over(of_name) > 1})
+    first = F.row_number().over(Window.partitionBy(*keys, "name", "extra", "again").orderBy(*order)) == 1
+    keyed = keyed.withColumn("by_extra", F.col("again") & F.col("extra").isNotNull() & first)
+    n = F.count_if(F.col("again") & ~F.col("by_extra")).over(of_name.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    new = F.when(~F.col("again"), F.col("name")).when(F.col("by_extra"), F.format_string("%s (%s)", "name", "extra")).otherwise(F.format_string(numbered.format("%s", "%d"), "name", n))
+    alone = keyed.withColumn(output, new).where("not mixed").select(group, "uid", output)
+    several = keyed.where("mixed").select(*keys, "uid", "name", "pos", "extra").groupBy(*keys).applyInPandas(choose, f"{group} {kinds[group]}, uid {kinds['uid']}, {output} string")
+    return alone.unionByName(several).unionByName(rows.where("name is null").select(group, "uid", F.lit(None).cast("string").alias(output)))
 
-    kinds = dict(requests.dtypes)
-    return requests.select("spec_uid", "uid", "pos", "name", "method").groupBy("spec_uid").applyInPandas(choose, f"spec_uid {kinds['spec_uid']}, uid {kinds['uid']}, operation_name string")
 
+def operation_names(requests: DataFrame) -> DataFrame:
+    """Requests of a spec (spec_uid, uid, pos, name, method) with ``operation_name``, unique in the spec: a name already taken gets its
+    method, and if that is taken too the first free number; earlier requests choose first."""
+    rows = requests.select("spec_uid", "uid", "pos", "name", F.nullif(F.upper("method"), F.lit("")).alias("extra"))
+    return _unique(rows, "spec_uid", F.regexp_replace("name", r"( \([^()]*\))+$", ""), "{} ({})", "operation_name")
 
-def free_names(items: DataFrame) -> DataFrame:
-    """Names made unique among siblings by the first free ``name_n``; earlier siblings choose first.
-
-    The choice depends on all earlier ones, so a folder is one group; what is grouped is narrow.
-    """
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for name in group.sort_values("pos")["name"]:
-            new, n = name, 0
-            while new in taken:
-                n += 1
-                new = f"{name}_{n}"
-            taken.add(new)
-            out.append(new)
-        return group.sort_values("pos").assign(free_name=out)[["parent_uid", "uid", "free_name"]]
 
-    return items.select("parent_uid", "uid", "name", "pos").groupBy("parent_uid").applyInPandas(choose, "parent_uid string, uid string, free_name string")
+def free_names(items: DataFrame) -> DataFrame:
+    """Names made unique among siblings by the first free ``name_n``; earlier siblings choose first."""
+    rows = items.select("parent_uid", "uid", "pos", "name", F.lit(None).cast("string").alias("extra"))
+    return _unique(rows, "parent_uid", F.regexp_replace("name", r"(_\d+)+$", ""), "{}_{}", "free_name")
 
 
 def filled_seq(items: DataFrame) -> DataFrame:
@@ -130,40 +142,31 @@ def filled_seq(items: DataFrame) -> DataFrame:
     return items.where(F.col("type").isin([*REQUESTS, "js"])).withColumn("filled_seq", F.coalesce(F.nullif(F.col("seq"), F.lit(0.0)), number.cast("double")))
 
 
-def _splice(group: pd.DataFrame) -> pd.DataFrame:
-    """Sibling folders: by name, then those with a whole positive seq at place seq - 1, equal seqs side by side."""
-    group = group.sort_values(["name_rank", "pos"])
-    numbered = group["seq"].map(lambda s: s is not None and s == s and s > 0 and s == int(s))
-    order = [[u] for u in group.loc[~numbered, "uid"]]
-    seq_at: dict[str, float] = {}
-    for uid, seq in group[numbered].sort_values("seq", kind="stable")[["uid", "seq"]].itertuples(index=False):
-        place = int(seq) - 1
-        if place < len(order) and seq_at.get(order[place][0]) == seq:
-            order[place].append(uid)
-        else:
-            order.insert(place, [uid])
-        seq_at[uid] = seq
-    flat = [u for some in order for u in some]
-    return pd.DataFrame({"uid": flat, "sibling": range(len(flat))})
-
-
 def sibling_order(items: DataFrame) -> DataFrame:
     """(uid, sibling): folders first, by name with numbered ones spliced in, then requests by seq.
 
-    Folders of one parent are one group, as every insertion moves the next; requests are ranked by a window.
+    Folders with a whole positive seq are put in by rising seq at place seq - 1, equal ones side by side, into those without, which
+    stand by name. The i-th different seq finds i - 1 numbered places before it, and later ones land behind it, so
+    min(seq - i, all unnumbered) unnumbered folders precede it in the end: windows say the order, and nothing is inserted one by one.
     """
     folders = items.where(~F.col("type").isin([*REQUESTS, "js"]))
-    ranked = folders.withColumn("name_rank", F.dense_rank().over(Window.partitionBy("parent_uid").orderBy(F.collate("name", "UNICODE")))).select(F.coalesce("parent_uid", F.lit("")).alias("parent"), "uid", "seq", "pos", "name_rank")
-    first = ranked.groupBy("parent").applyInPandas(_splice, "uid string, sibling long")
+    by_name = [F.collate("name", "UNICODE"), "pos", "uid"]
+    numbered = F.coalesce((F.col("seq") > 0) & ~F.isnan("seq") & (F.col("seq") == F.floor("seq")), F.lit(False))
+    parent, kind = Window.partitionBy("parent_uid"), Window.partitionBy("parent_uid", "numbered")
+    placed = folders.select("parent_uid", "uid", "name", "pos", "seq", numbered.alias("numbered")).withColumns(
+        {"nth_seq": F.dense_rank().over(kind.orderBy("seq")), "nth_name": F.row_number().over(kind.orderBy(*by_name)) - 1, "unnumbered": F.count_if(~F.col("numbered")).over(parent)}
+    )
+    before = F.when(F.col("numbered"), F.least(F.col("seq") - F.col("nth_seq"), F.col("unnumbered").cast("double"))).otherwise(F.col("nth_name").cast("double"))
+    place = F.row_number().over(parent.orderBy(before, F.desc("numbered"), F.when(F.col("numbered"), F.col("nth_seq")), *by_name)) - 1
     # folders come first because requests start far behind them
-    behind = F.row_number().over(Window.partitionBy("parent_uid").orderBy(F.col("seq").asc_nulls_last(), "pos")) + F.lit(1 << 40)
-    return first.unionByName(items.where(F.col("type").isin([*REQUESTS, "js"])).select("uid", behind.alias("sibling")))
+    behind = F.row_number().over(parent.orderBy(F.col("seq").asc_nulls_last(), "pos", "uid")) + F.lit(1 << 40)
+    return placed.select("uid", place.cast("long").alias("sibling")).unionByName(items.where(F.col("type").isin([*REQUESTS, "js"])).select("uid", behind.alias("sibling")))
 
 
 def run_plan(items: DataFrame, closed: DataFrame, order: DataFrame) -> DataFrame:
     """Requests with a sortable path of sibling ranks: ordering by it is depth first, folders before requests."""
     ranks = closed.join(order.withColumnRenamed("uid", "ancestor_uid"), "ancestor_uid")
-    key = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("u"), "sibling"))), lambda x: F.lpad(x["sibling"].cast("string"), 14, "0")), "/")
+    key = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("u"), "sibling"))), lambda x: F.lpad(x["sibling"].cast("string"), 14, "0")), "/")
     paths = ranks.groupBy("uid").agg(key.alias("path_key"))
     return items.where(F.col("type").isin(REQUESTS)).join(paths, "uid").select("uid", "path_key")
 
@@ -179,14 +182,14 @@ def inherited(closed_levels: DataFrame, key_values: DataFrame) -> DataFrame:
 def inherited_list(closed_levels: DataFrame, key_values: DataFrame) -> DataFrame:
     """One row per item with its effective headers in order."""
     rows = inherited(closed_levels, key_values)
-    return rows.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "name", "value"))), lambda h: F.struct(h["name"], h["value"])).alias("headers"))
+    return rows.groupBy("uid").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "name", "value"))), lambda h: F.struct(h["name"], h["value"])).alias("headers"))
 
 
 def scoped(closed_levels: DataFrame, key_values: DataFrame, types: DataFrame) -> DataFrame:
     """Maps of effective variables of each item, split by the scope that gave them."""
     rows = closed_levels.join(key_values.where("enabled").withColumnRenamed("uid", "ancestor_uid").withColumnRenamed("pos", "kv_pos"), "ancestor_uid").join(types.select(F.col("uid").alias("ancestor_uid"), F.when(F.col("type").isin("collection", "folder"), F.col("type")).otherwise("request").alias("scope")), "ancestor_uid")
     best = rows.groupBy("uid", "scope", "name").agg(F.max_by("value", F.struct("level", "kv_pos")).alias("value"))
-    entries = lambda s: F.array_sort(F.collect_list(F.when(F.col("scope") == s, F.struct("name", "value"))))
+    entries = lambda s: F.sort_array(F.collect_list(F.when(F.col("scope") == s, F.struct("name", "value"))))
     return best.groupBy("uid").agg(*[F.map_from_entries(entries(s)).alias(f"{s}_vars") for s in ("collection", "folder", "request")])
 
 

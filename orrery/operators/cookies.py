@@ -29,7 +29,7 @@ def unexpired(now: str) -> Column:
 def by_domain(cookies: DataFrame, now: str) -> DataFrame:
     """Unexpired cookies of each domain as one string."""
     live = cookies.where(unexpired(now))
-    listed = F.array_sort(F.collect_list(F.struct("path", "key", "value")))
+    listed = F.sort_array(F.collect_list(F.struct("path", "key", "value")))
     return live.groupBy("domain").agg(F.count("*").alias("n"), F.array_join(F.transform(listed, lambda c: F.concat(c["key"], F.lit("="), c["value"])), "; ").alias("cookies"))
 
 
@@ -57,7 +57,7 @@ def for_urls(urls: DataFrame, cookies: DataFrame, now: str) -> DataFrame:
 
 def cookie_strings(matched: DataFrame) -> DataFrame:
     """Cookies of each URL as ``k=v; ...``, longest path first."""
-    order = F.array_sort(F.collect_list(F.struct((-F.length("path")).alias("n"), "domain", "key", "value")))
+    order = F.sort_array(F.collect_list(F.struct((-F.length("path")).alias("n"), "domain", "key", "value")))
     return matched.groupBy("url_id").agg(F.array_join(F.transform(order, lambda c: F.concat(c["key"], F.lit("="), c["value"])), "; ").alias("cookie_string"))
 
 

@@ -161,7 +161,7 @@ def write_report(results: DataFrame, path: str) -> None:
 
 def write_xml_report(results: DataFrame, path: str) -> None:
     """XML report with one element per suite and its cases inside."""
-    cases = report_cases(results).groupBy("run_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("case_pos", "case_name", "case_status", "classname", "case_time", "failure", "case_error"))), lambda c: F.struct(c["case_name"].alias("_name"), c["case_status"].alias("_status"), c["classname"].alias("_classname"), c["case_time"].alias("_time"), c["failure"].alias("failure"), c["case_error"].alias("error"))).alias("testcase"))
+    cases = report_cases(results).groupBy("run_id", "seq").agg(F.transform(F.sort_array(F.collect_list(F.struct("case_pos", "case_name", "case_status", "classname", "case_time", "failure", "case_error"))), lambda c: F.struct(c["case_name"].alias("_name"), c["case_status"].alias("_status"), c["classname"].alias("_classname"), c["case_time"].alias("_time"), c["failure"].alias("failure"), c["case_error"].alias("error"))).alias("testcase"))
     suites = report_suites(results).join(cases, ["run_id", "seq"], "left")
     suites.select(F.col("suite").alias("_name"), F.col("tests").alias("_tests"), F.col("failures").alias("_failures"), F.col("errors").alias("_errors"), F.col("skips").alias("_skipped"), F.col("suite_time").alias("_time"), "testcase").write.format("xml").option("rootTag", "testsuites").option("rowTag", "testsuite").save(path)
 

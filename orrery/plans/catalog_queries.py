@@ -67,12 +67,24 @@ def e3(spark, sf):
     return C.filled_seq(V.items(spark, sf)).select("uid", "filled_seq")
 
 
-@query("f1_sibling_order")
+ORDERED = ITEMS + """, folders AS (SELECT *, COALESCE(seq > 0 AND seq = FLOOR(seq), FALSE) AS numbered FROM items WHERE type IN ('collection', 'folder')),
+ranked AS (
+  SELECT *, DENSE_RANK() OVER (PARTITION BY parent_uid, numbered ORDER BY seq) AS nth, ROW_NUMBER() OVER (PARTITION BY parent_uid, numbered ORDER BY name, pos) - 1 AS place,
+    COUNT(*) FILTER (NOT numbered) OVER (PARTITION BY parent_uid) AS rest FROM folders),
+sibling AS (
+  SELECT uid, ROW_NUMBER() OVER (PARTITION BY parent_uid ORDER BY CASE WHEN numbered THEN LEAST(seq - nth, rest) ELSE place END, numbered DESC, CASE WHEN numbered THEN nth END, name, pos) - 1 AS sibling FROM ranked
+  UNION ALL SELECT uid, 1099511627776 + ROW_NUMBER() OVER (PARTITION BY parent_uid ORDER BY seq NULLS LAST, pos) FROM items WHERE type NOT IN ('collection', 'folder'))
+"""
+
+
+@query("f1_sibling_order", ORDERED + "SELECT uid, sibling FROM sibling")
 def f1(spark, sf):
     return C.sibling_order(V.items(spark, sf))
 
 
-@query("f2_run_plan")
+@query("f2_run_plan", ORDERED + """SELECT o.uid, CONCAT_WS('/', LPAD(r.sibling::VARCHAR, 14, '0'), LPAD(n.sibling::VARCHAR, 14, '0'), LPAD(c.sibling::VARCHAR, 14, '0'), LPAD(s.sibling::VARCHAR, 14, '0')) AS path_key
+FROM items o JOIN sibling s USING (uid) JOIN items ci ON ci.uid = o.parent_uid JOIN sibling c ON c.uid = ci.uid JOIN items ni ON ni.uid = ci.parent_uid JOIN sibling n ON n.uid = ni.uid JOIN sibling r ON r.uid = ni.parent_uid
+WHERE o.type IN ('http-request', 'graphql-request') ORDER BY path_key""")
 def f2(spark, sf):
     items = V.items(spark, sf)
     return C.run_plan(items, C.closure(items), C.sibling_order(items)).orderBy("path_key")

@@ -18,7 +18,7 @@ def orders_body(spark, sf):
     o = V.table(spark, sf, "orders")
     item = lambda n, v: F.struct(F.lit(n).alias("id"), F.floor(v).alias("amount"))
     order = F.struct(F.col("o_orderkey").alias("id"), F.array(item(1, F.col("o_totalprice")), item(2, F.col("o_totalprice") / 2)).alias("items"))
-    lists = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(order)).alias("orders"))
+    lists = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(order)).alias("orders"))
     return lists.select("o_custkey", F.to_json(F.struct(F.struct(F.struct(F.lit("x").alias("city")).alias("address"), "orders").alias("customer"))).alias("body"))
 
 

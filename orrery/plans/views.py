@@ -39,7 +39,7 @@ def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Executed requests: a request per order, a run per customer, four lists of checks from line items."""
     o = table(spark, sf_dir, "orders")
     fields = ["status", "description", "lhs", "rhs", "operator", "error", "is_script_error"]
-    grouped = check_rows(spark, sf_dir).groupBy("seq").agg(*[F.array_sort(F.collect_list(F.when(F.col("grp") == g, F.struct("pos", *fields)))).alias(g) for g in GROUPS])
+    grouped = check_rows(spark, sf_dir).groupBy("seq").agg(*[F.sort_array(F.collect_list(F.when(F.col("grp") == g, F.struct("pos", *fields)))).alias(g) for g in GROUPS])
     lists = [F.when(F.size(g) > 0, F.transform(g, lambda c: F.struct(*[c[f].alias(f) for f in fields]))).alias(g) for g in GROUPS]
     status = F.when(F.col("o_orderpriority") == "5-LOW", "skipped").when((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "4-NOT SPECIFIED"), "error")
     requests = o.select(

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import written
+
 SKIPPED_FOLDERS = ["environments", ".git", "node_modules"]
 ENVIRONMENT = "name string, variables array<struct<name:string,value:string,type:string,enabled:boolean,secret:boolean>>"
 METHODS = ["get", "put", "post", "delete", "options", "head", "patch", "trace"]
@@ -43,7 +45,7 @@ def load_catalog(spark: SparkSession, path: str, depth: int = 6) -> tuple[DataFr
         d += 1
         if d > depth:
             # parsed once: deeper levels start from here
-            parsed = parsed.checkpoint() if spark.sparkContext.getCheckpointDir() else parsed.localCheckpoint()
+            parsed = written(parsed, "items")
             if parsed.isEmpty():
                 break
         bad = bad.unionByName(parsed.where("i._corrupt is not null").select(F.col("_path").alias("path"), F.lit("unreadable JSON").alias("error")))
@@ -80,7 +82,7 @@ def bulk_pairs(rows: DataFrame, key: str) -> DataFrame:
 def bulk_text(pairs: DataFrame, key: str) -> DataFrame:
     """Inverse of bulk_pairs."""
     line = F.concat(F.when(F.col("enabled"), "").otherwise("//"), "name", F.lit(":"), "value")
-    return pairs.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    return pairs.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
 
 
 def server_environments(rows: DataFrame, key: str) -> DataFrame:

@@ -157,6 +157,52 @@ def test_operation_names(spark):
     assert got == {"a": "get", "b": "get (POST)", "c": "get (1)", "d": "get (1) (PUT)", "e": "get (2)", "f": "get"}
 
 
+def test_free_names_against_one_by_one(spark):
+    """Any mix of repeated names and names that look like made ones, against choosing one at a time."""
+    draw = random.Random(5)
+    rows = [(f"p{draw.randrange(9)}", f"u{i:03}", i, draw.choice(["a", "a", "a_1", "a_1_1", "a_2", "b", "b", "_1", "", None])) for i in range(600)] + [("hot", f"v{i}", i, "x") for i in range(300)]
+    want, taken = {}, set()
+    for parent, uid, _, name in rows:
+        new, n = name, 0
+        while name is not None and (parent, new) in taken:
+            n += 1
+            new = f"{name}_{n}"
+        taken.add((parent, new))
+        want[uid] = new
+    got = C.free_names(spark.createDataFrame(rows, "parent_uid string, uid string, pos int, name string"))
+    assert {r["uid"]: r["free_name"] for r in got.collect()} == want
+    methods = [(p, u, i, n, draw.choice(["get", "post", None])) for p, u, i, n in rows]
+    want, taken = {}, set()
+    for parent, uid, _, name, method in methods:
+        tries = [name, *([f"{name} ({method.upper()})"] if method else []), *[f"{name} ({k})" for k in range(1, 400)]]
+        new = next(t for t in tries if name is None or (parent, t) not in taken)
+        taken.add((parent, new))
+        want[uid] = new
+    got = C.operation_names(spark.createDataFrame(methods, "spec_uid string, uid string, pos int, name string, method string"))
+    assert {r["uid"]: r["operation_name"] for r in got.collect()} == want
+
+
+def test_sibling_order_against_insertion(spark):
+    """Numbered folders put in one by one at place seq - 1, equal ones side by side, give the windows' order."""
+    draw = random.Random(7)
+    rows = [(f"p{p}", f"{p}-{i}", "folder", draw.choice(["a", "b", "C", "d_1"]), draw.choice([None, 0.0, -2.0, 1.5, 1.0, 2.0, 3.0, 4.0, 9.0, 30.0, 31.0]), i) for p in range(60) for i in range(draw.randrange(1, 14))]
+    items = spark.createDataFrame(rows, "parent_uid string, uid string, type string, name string, seq double, pos long")
+    got: dict = {}
+    for r in C.sibling_order(items).join(items.select("uid", "parent_uid"), "uid").orderBy("sibling").collect():
+        got.setdefault(r["parent_uid"], []).append(r["uid"])
+    for parent in got:
+        named = sorted((r for r in rows if r[0] == parent), key=lambda r: (r[3].lower(), r[5]))
+        numbered = [r for r in named if r[4] and r[4] > 0 and r[4] == int(r[4])]
+        slots = [[r] for r in named if r not in numbered]
+        for r in sorted(numbered, key=lambda r: r[4]):
+            place = int(r[4]) - 1
+            if place < len(slots) and slots[place][0] in numbered and slots[place][0][4] == r[4]:
+                slots[place].append(r)
+            else:
+                slots.insert(place, [r])
+        assert got[parent] == [r[1] for slot in slots for r in slot]
+
+
 def test_violations_of_modes(spark):
     rows = [("a", "http-request", "json", "basic", 5, ["query"], ["eq"]), ("b", "http-request", "yaml", None, 51, ["header"], ["same"]), ("c", "folder", None, None, None, None, None)]
     items = spark.createDataFrame([(u, "p", t, "n", 1.0, [], *rest) for u, t, *rest in rows], "uid string, parent_uid string, type string, name string, seq double, tags array<string>, body_mode string, auth_mode string, max_redirects int, param_types array<string>, operators array<string>")
