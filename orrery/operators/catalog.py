@@ -38,8 +38,8 @@ def closure(items: DataFrame) -> DataFrame:
 
 def levels(closed: DataFrame) -> DataFrame:
     """The closure with ``level`` counted from the root."""
-    depth = closed.groupBy("uid").agg(F.max("up").alias("depth"))
-    return closed.join(depth, "uid").select("uid", "ancestor_uid", (F.col("depth") - F.col("up")).alias("level"))
+    depth = F.max("up").over(Window.partitionBy("uid"))
+    return closed.select("uid", "ancestor_uid", (depth - F.col("up")).alias("level"))
 
 
 def tag_filter(tags: Column, include: list[str], exclude: list[str]) -> Column:

@@ -51,10 +51,10 @@ def same(a: Column, b: Column) -> Column:
     return (a["type"] == b["type"]) & ~a["type"].isin("array", "object") & value
 
 
-def holds(lhs: Column, operator: Column, operand: Column) -> Column:
-    """Whether a check passes. Wrong types fail, also for most negations."""
+def holds(lhs: Column, operator: Column, operand: Column, rhs: Column | None = None) -> Column:
+    """Whether a check passes. Wrong types fail, also for most negations. ``rhs``: the operand's literal, if a column holds it."""
     kind, text = lhs["type"], lhs["text"]
-    rhs = literal(operand)
+    rhs = literal(operand) if rhs is None else rhs
     a, b = text.try_cast("double"), rhs["text"].try_cast("double")
     numbers = (kind == "number") & (rhs["type"] == "number")
     members = F.transform(F.split(F.regexp_replace(operand, r"[\[\]]", ""), ","), lambda x: literal(F.trim(x)))
@@ -96,18 +96,21 @@ def holds(lhs: Column, operator: Column, operand: Column) -> Column:
         "isBoolean": kind == "boolean",
         "isArray": kind == "array",
     }
-    out = F.lit(False)
+    # one flat CASE: nested ones make code too deep to compile
+    out = F
     for name, test in tests.items():
-        out = F.when(operator == name, F.coalesce(test, F.lit(False))).otherwise(out)
-    return out
+        out = out.when(operator == name, F.coalesce(test, F.lit(False)))
+    return out.otherwise(F.lit(False))
 
 
 def evaluate(checks: DataFrame) -> DataFrame:
     """Checks (…, lhs_json, expression, enabled) with operator, operand, status and error; disabled ones are left out."""
     parsed = checks.where("enabled").withColumn("_op", split_operator(F.col("expression"))).withColumn("_lhs", of_json(F.col("lhs_json")))
-    passed = holds(F.col("_lhs"), F.col("_op.operator"), F.col("_op.operand"))
+    # a column of its own: the tests name it often, and would repeat its code
+    parsed = parsed.withColumn("_rhs", literal(F.col("_op.operand")))
+    passed = holds(F.col("_lhs"), F.col("_op.operator"), F.col("_op.operand"), F.col("_rhs"))
     out = parsed.withColumns({"operator": F.col("_op.operator"), "operand": F.col("_op.operand"), "status": F.when(passed, "pass").otherwise("fail")})
-    return out.withColumn("error", F.when(F.col("status") == "fail", F.concat_ws(" ", F.lit("expected"), F.coalesce("_lhs.text", "_lhs.type"), "operator", "operand"))).drop("_op", "_lhs")
+    return out.withColumn("error", F.when(F.col("status") == "fail", F.concat_ws(" ", F.lit("expected"), F.coalesce("_lhs.text", "_lhs.type"), "operator", "operand"))).drop("_op", "_lhs", "_rhs")
 
 
 def named(description: str, test: Column) -> Column:

@@ -36,18 +36,40 @@ def has_failed() -> Column:
     return F.exists(checks("assertions"), lambda c: ~c["status"].eqNullSafe("pass")) | F.exists(tests, lambda c: ~c["status"].eqNullSafe("pass") | F.coalesce(c["is_script_error"], F.lit(False)))
 
 
+def check_counts(rows: DataFrame) -> DataFrame:
+    """Numbers of checks of each request from check rows (seq, grp, status, is_script_error): hash aggregation, combined before the
+    shuffle, for jobs that need no lists."""
+    passed, script = F.col("status").eqNullSafe("pass"), F.coalesce("is_script_error", F.lit(False)) & (F.col("grp") != "assertions")
+    in_group = {g: (F.col("grp") == g) & ~script for g in GROUPS}
+    return rows.groupBy("seq").agg(
+        *[F.count_if(test).alias(f"n_{g}") for g, test in in_group.items()],
+        *[F.count_if(test & passed).alias(f"good_{g}") for g, test in in_group.items()],
+        F.count_if(~passed | script).alias("n_bad"),
+        F.count_if(F.col("status") == "fail").alias("n_fail"),
+    )
+
+
+def with_counts(results: DataFrame) -> DataFrame:
+    """Results with the columns of ``check_counts``: from their lists, or those that they have already (null: no checks)."""
+    names = [f"{k}_{g}" for k in ("n", "good") for g in GROUPS] + ["n_bad", "n_fail"]
+    if set(names) <= set(results.columns):
+        return results.fillna(0, names)
+    counts = {f"n_{g}": F.size(counted(g)) for g in GROUPS} | {f"good_{g}": passed_in(g) for g in GROUPS}
+    return results.withColumns(counts | {"n_bad": has_failed().cast("int"), "n_fail": F.size(F.filter(all_checks(), lambda c: c["status"] == "fail"))})
+
+
 def verdict() -> Column:
     """skipped, failed, error or passed: any failure beats the error status."""
     status = F.coalesce("status", F.lit(""))
-    return F.when(status == "skipped", "skipped").when(has_failed(), "failed").when(status == "error", "error").otherwise("passed")
+    return F.when(status == "skipped", "skipped").when(F.col("n_bad") > 0, "failed").when(status == "error", "error").otherwise("passed")
 
 
 def summary_row(results: DataFrame) -> DataFrame:
     """Per-request numbers of the summary: no list is exploded, the aggregation sees narrow rows."""
     live = ~F.col("status").eqNullSafe("skipped")
-    out = results.withColumn("verdict", verdict())
+    out = with_counts(results).withColumn("verdict", verdict())
     for g in GROUPS:
-        total, good = F.size(counted(g)), passed_in(g)
+        total, good = F.col(f"n_{g}"), F.col(f"good_{g}")
         out = out.withColumns({f"total_{g}": total, f"passed_{g}": F.when(live, good).otherwise(0), f"failed_{g}": F.when(live, total - good).otherwise(0)})
     return out
 
@@ -97,9 +119,9 @@ def run_gate(results: DataFrame) -> DataFrame:
 def outcome_row(results: DataFrame) -> DataFrame:
     """Outcome columns of the runner's list: a group passes if all its checks do, and an error, skipped or running row has no group status."""
     settled = ~F.coalesce(F.col("status").isin("error", "skipped", "running"), F.lit(False))
-    group_fails = F.exists(all_checks(), lambda c: c["status"] == "fail")
+    group_fails = F.col("n_fail") > 0
     is_error, skipped = F.col("status").eqNullSafe("error"), F.col("status").eqNullSafe("skipped")
-    return results.withColumns({"is_passed": settled & ~group_fails, "is_failed": ~skipped & (is_error | (settled & group_fails)), "is_skipped": skipped})
+    return with_counts(results).withColumns({"is_passed": settled & ~group_fails, "is_failed": ~skipped & (is_error | (settled & group_fails)), "is_skipped": skipped})
 
 
 def outcome_counts(results: DataFrame) -> DataFrame:

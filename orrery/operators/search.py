@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 # Ranking of match types and of item types.
 MATCH_ORDER = ["collection", "folder", "request", "url", "path"]
 TYPE_ORDER = ["collection", "folder", "request"]
+MOST_QUERIES = 10_000
 
 
 def normalized(query: Column) -> Column:
@@ -30,15 +32,24 @@ def terms_of(query: Column) -> Column:
 def search(items: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, uid, type, name, match_type) of every item that holds all terms of a query in its name, URL or full path.
 
-    ``items``: uid, type, name, url, path. The query table is the small, stated side of this theta join: queries are read
-    against all rows, and no two items are ever paired. Paths count only for queries with a slash.
+    ``items``: uid, type, name, url, path. The query table is the small, stated side of this theta join: queries are counted, sent to
+    all rows in blocks of about ``MOST_QUERIES``, and no two items are ever paired. Paths count only for queries with a slash.
     """
     asked = queries.where(valid(F.col("query"))).select("query_id", terms_of(F.col("query")).alias("terms"), F.contains(normalized(F.col("query")), F.lit("/")).alias("by_path"))
     lower = items.select("uid", "type", "name", *[F.lower(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in ("name", "url", "path")])
     has = lambda c: F.forall("terms", lambda t: F.contains(F.col(c), t))
     kind = F.when(F.col("type").isin("collection", "folder"), F.col("type")).otherwise("request")
     match = F.when(has("_name"), kind).when((kind == "request") & has("_url"), "url").when((kind != "collection") & F.col("by_path") & has("_path"), "path")
-    return lower.join(asked, F.size("terms") > 0).withColumn("match_type", match).where("match_type is not null").select("query_id", "uid", kind.alias("type"), "name", "match_type")
+    lot = asked.count()
+    blocks = -(-lot // MOST_QUERIES)
+    if blocks > 1:
+        # too many for one broadcast: one block of queries after the other, each by a hash of its ids
+        asked = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        sent = [F.broadcast(asked.where(F.col("_b") == b).drop("_b")) for b in range(blocks)]
+    else:
+        sent = [F.broadcast(asked)]
+    met = reduce(DataFrame.unionByName, [lower.join(part, F.size("terms") > 0) for part in sent])
+    return met.withColumn("match_type", match).where("match_type is not null").select("query_id", "uid", kind.alias("type"), "name", "match_type")
 
 
 def ranked(found: DataFrame, top: int) -> DataFrame:
@@ -48,7 +59,8 @@ def ranked(found: DataFrame, top: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-WORDS = re.compile(r"\s+|[^\w\s]|\w+")
+# Separators, each a token of its own; words are what stands between them.
+WORDS = re.compile(r"[\s/?&=.\-_:@]|[^\s/?&=.\-_:@]+")
 MOST_TOKENS = 4000
 LEAF = 1 << 16
 

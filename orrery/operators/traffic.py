@@ -126,6 +126,12 @@ def fold_sockets(events: DataFrame) -> DataFrame:
     )
 
 
+def numbered_messages(events: DataFrame) -> DataFrame:
+    """Message rows of calls and sockets, numbered in order of arrival: lists of any length stay rows."""
+    order = Window.partitionBy("call_uid").orderBy("seq")
+    return events.where("event_type = 'message'").withColumn("message_no", F.row_number().over(order))
+
+
 def chunk_totals(chunks: DataFrame) -> DataFrame:
     """Bytes and number of the chunks of each item."""
     return chunks.groupBy("item_uid").agg(F.sum(F.octet_length("data")).alias("n_bytes"), F.count("*").alias("n_chunks"))

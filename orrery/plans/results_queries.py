@@ -25,12 +25,12 @@ judged AS (
 
 @query("d1_run_summary", JUDGED + f"SELECT run_id, {COUNTS} FROM judged GROUP BY run_id")
 def d1(spark, sf):
-    return R.run_summary(V.run_results(spark, sf), "run_id")
+    return R.run_summary(V.counted_results(spark, sf), "run_id")
 
 
 @query("d2_summary_rollup", JUDGED + f"SELECT run_id, iteration_index::INT AS iteration_index, GROUPING(run_id, iteration_index)::BIGINT AS level, {COUNTS} FROM judged GROUP BY ROLLUP (run_id, iteration_index)")
 def d2(spark, sf):
-    return R.summary_rollup(V.run_results(spark, sf))
+    return R.summary_rollup(V.counted_results(spark, sf))
 
 
 @query("d3_check_totals", BASE + """
@@ -54,7 +54,7 @@ def d4(spark, sf):
   COUNT(*) FILTER (v = 'error') AS error_requests, COUNT(*) FILTER (v = 'skipped') AS skipped_requests, ROUND(SUM(response_time), 2) AS total_response_time,
   NOT BOOL_OR(v IN ('failed', 'error')) AS gate_open FROM judged GROUP BY run_id""")
 def d5(spark, sf):
-    return R.run_gate(V.run_results(spark, sf))
+    return R.run_gate(V.counted_results(spark, sf))
 
 
 OUTCOME = BASE + """,
@@ -66,12 +66,12 @@ outcome AS (
 
 @query("b6_outcomes", OUTCOME + "SELECT run_id, seq, is_passed, is_failed, is_skipped FROM outcome")
 def b6(spark, sf):
-    return R.outcome_row(V.run_results(spark, sf)).select("run_id", "seq", "is_passed", "is_failed", "is_skipped")
+    return R.outcome_row(V.counted_results(spark, sf)).select("run_id", "seq", "is_passed", "is_failed", "is_skipped")
 
 
 @query("d10_outcome_counts", OUTCOME + "SELECT run_id, COUNT(*) AS n_all, COUNT(*) FILTER (is_passed) AS n_passed, COUNT(*) FILTER (is_failed) AS n_failed, COUNT(*) FILTER (is_skipped) AS n_skipped FROM outcome GROUP BY run_id")
 def d10(spark, sf):
-    return R.outcome_counts(V.run_results(spark, sf))
+    return R.outcome_counts(V.counted_results(spark, sf))
 
 
 @query("b7_only_failed", BASE + "SELECT run_id, seq, name FROM verdicts WHERE status = 'error' OR has_fail")
@@ -90,7 +90,7 @@ def e4(spark, sf):
 UNION ALL SELECT NULL, NULL, 'bad/' || p_partkey || '.json', 'skipped', TRUE FROM part WHERE p_partkey % 20 = 0""")
 def g1(spark, sf):
     bad = V.table(spark, sf, "part").where("p_partkey % 20 = 0").select(F.concat(F.lit("bad/"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("path"), F.lit("unreadable").alias("error"))
-    return R.with_skipped_files(V.run_results(spark, sf), bad).select("run_id", "seq", "name", "status", "skipped")
+    return R.with_skipped_files(V.requests(spark, sf), bad).select("run_id", "seq", "name", "status", "skipped")
 
 
 @query("a8_report_suites", BASE + """,
@@ -116,7 +116,7 @@ def a8_cases(spark, sf):
 
 @query("s21_redacted", BASE + "SELECT seq, NULL::VARCHAR AS auth, 'application/json' AS mime, NULL::VARCHAR AS response_data, NULL::VARCHAR AS request_data FROM requests")
 def s21(spark, sf):
-    rows = V.run_results(spark, sf).withColumn("request_data", F.concat(F.lit('{"seq":'), F.col("seq").cast("string"), F.lit("}")))
+    rows = V.requests(spark, sf).withColumn("request_data", F.concat(F.lit('{"seq":'), F.col("seq").cast("string"), F.lit("}")))
     out = R.redacted(rows, headers=("AUTHORIZATION",), response_body=True, request_body=True)
     return out.select("seq", F.element_at("headers", "Authorization").alias("auth"), F.element_at("headers", "content-type").alias("mime"), "response_data", "request_data")
 
@@ -125,4 +125,4 @@ def s21(spark, sf):
 SELECT seq, run_id, i.name AS item_name, ARRAY_TO_STRING(LIST_SORT(i.tags), ',') AS item_tags FROM requests r JOIN items i ON i.uid = 'o' || r.seq WHERE i.type <> 'js'""".replace("r.seq", "r.seq").replace("SELECT seq", "SELECT r.seq AS seq"))
 def c1(spark, sf):
     catalog = V.items(spark, sf).where("type <> 'js'")
-    return R.enriched(V.run_results(spark, sf).select("run_id", "seq"), catalog).select("seq", "run_id", "item_name", F.array_join("item_tags", ",").alias("item_tags"))
+    return R.enriched(V.requests(spark, sf).select("run_id", "seq"), catalog).select("seq", "run_id", "item_name", F.array_join("item_tags", ",").alias("item_tags"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import json_walk as J
 from ..operators import specsync as S
+from ..sources import catalogs as A
 from ..sources.catalogs import spec_endpoints
+from ..sources.scratch import shared_dir
 from . import views as V
 from .registry import query
 
@@ -128,6 +132,37 @@ def a4(spark, sf):
     return out.select("spec_id", "endpoint_id", F.when(F.col("method") == "GET", F.array_join("query_params", ",")).otherwise("").alias("query_params"), F.array_join("path_params", ",").alias("path_params"), "content_type")
 
 
+def exported(spark, sf):
+    """Folder of collection exports: a file for every hundred customers, its folders and requests inside; one in seven is unreadable."""
+    orders = V.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("t")))).alias("o"))
+    request = lambda x: F.struct(F.concat(F.lit("o"), x["k"].cast("string")).alias("uid"), F.lit("http-request").alias("type"), F.array(x["t"]).alias("tags"))
+    folder = F.struct("c_custkey", F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("uid"), F.lit("folder").alias("type"), F.col("c_name").alias("name"), F.transform("o", request).alias("items"))
+    bucket = F.floor(F.col("c_custkey") / 100).alias("bucket")
+    files = V.table(spark, sf, "customer").join(orders, "c_custkey", "left").groupBy(bucket).agg(F.sort_array(F.collect_list(folder)).alias("items"))
+    uid = F.concat(F.lit("g"), F.col("bucket").cast("string"))
+    path = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
+    files.select("bucket", uid.alias("uid"), F.when(F.col("bucket") % 7 == 1, "x").alias("seq"), F.transform("items", lambda c: c.dropFields("c_custkey")).alias("items")).write.partitionBy("bucket").json(path)
+    return path
+
+
+@query("a1_loaded_catalog", """WITH c AS (SELECT *, c_custkey // 100 AS bucket FROM customer WHERE (c_custkey // 100) % 7 <> 1)
+SELECT DISTINCT 'g' || bucket AS uid, NULL AS parent_uid, 'collection' AS type, 0 AS pos, NULL AS tag FROM c
+UNION ALL SELECT 'c' || c_custkey, 'g' || bucket, 'folder', (ROW_NUMBER() OVER (PARTITION BY bucket ORDER BY c_custkey) - 1)::INT, NULL FROM c
+UNION ALL SELECT 'o' || o_orderkey, 'c' || c_custkey, 'http-request', (ROW_NUMBER() OVER (PARTITION BY c_custkey ORDER BY o_orderkey, o_orderpriority) - 1)::INT, o_orderpriority FROM orders JOIN c ON c_custkey = o_custkey""")
+def a1(spark, sf):
+    return A.load_catalog(spark, exported(spark, sf))[0].select("uid", "parent_uid", "type", "pos", F.get("tags", F.lit(0)).alias("tag"))
+
+
+@query("a2_unreadable_files", "SELECT DISTINCT c_custkey // 100 AS bucket, 'unreadable JSON' AS error FROM customer WHERE (c_custkey // 100) % 7 = 1")
+def a2(spark, sf):
+    return A.load_catalog(spark, exported(spark, sf))[1].select(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("long").alias("bucket"), "error")
+
+
+@query("a9_file_statistics", "SELECT DISTINCT 'bucket=' || (c_custkey // 100) AS collection, 1::BIGINT AS n_files, TRUE AS has_bytes FROM customer")
+def a9(spark, sf):
+    return A.file_statistics(spark, exported(spark, sf)).select("collection", "n_files", (F.col("n_bytes") > 0).alias("has_bytes"))
+
+
 @query("a3_resource_exports", """SELECT 'req' || c_custkey AS uid, CASE WHEN c_custkey % 2 = 0 THEN 'fld' || c_custkey END AS parent_uid, 'http-request' AS type, c_name AS name FROM customer UNION ALL SELECT 'fld' || c_custkey, NULL, 'folder', c_mktsegment FROM customer""")
 def a3(spark, sf):
     from ..sources.catalogs import load_resources

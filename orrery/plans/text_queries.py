@@ -96,8 +96,9 @@ def b8(spark, sf):
     more = F.concat(F.lit(',"s":"'), "event_type", F.lit('","t":true,"l":[1,2],"o":{}}'))
     e = V.table(spark, sf, "events").select("event_id", F.concat(F.regexp_replace("props", r"\}\s*$", ""), more).alias("body"))
     fields = e.select("event_id", *[J.field(F.col("body"), p).alias(p) for p in sorted({p for p, _ in EXPRESSIONS})])
-    rows = fields.select("event_id", F.array(*[F.struct(F.col(p).alias("lhs"), F.lit(x).alias("expr")) for p, x in EXPRESSIONS]).alias("z"))
-    checks = rows.select("event_id", F.posexplode("z").alias("pos", "c")).select("event_id", "pos", F.col("c.lhs").alias("lhs_json"), F.col("c.expr").alias("expression"), F.lit(True).alias("enabled"))
+    # exploded where it is made: an array of an earlier select would be built again in a filter on its size
+    each = F.posexplode(F.array(*[F.struct(F.col(p).alias("lhs"), F.lit(x).alias("expr")) for p, x in EXPRESSIONS])).alias("pos", "c")
+    checks = fields.select("event_id", each).select("event_id", "pos", F.col("c.lhs").alias("lhs_json"), F.col("c.expr").alias("expression"), F.lit(True).alias("enabled"))
     return K.evaluate(checks).select("event_id", "pos", "status")
 
 

@@ -110,6 +110,11 @@ def t3(spark, sf):
     return T.fold_calls(call_rows(spark, sf, CALL_KINDS, F.when(F.col("event_type") == "click", F.col("event_id") % 3)))
 
 
+@query("t3_call_messages", CALLS.format(kinds=kinds_sql(CALL_KINDS), code="NULL") + "SELECT call_uid, seq, ROW_NUMBER() OVER (PARTITION BY call_uid ORDER BY seq)::INT AS message_no FROM calls WHERE event_type = 'message'")
+def t3b(spark, sf):
+    return T.numbered_messages(call_rows(spark, sf, CALL_KINDS, F.lit(None).cast("int"))).select("call_uid", "seq", "message_no")
+
+
 @query("t4_socket_fold", CALLS.format(kinds=kinds_sql(SOCKET_KINDS), code="CASE WHEN event_type = 'purchase' THEN 1000 + event_id % 2 END") + """
 SELECT call_uid, ARG_MAX(event_type, seq) FILTER (event_type <> 'message') AS state, COUNT(*) FILTER (event_type = 'message') AS n_messages, ARG_MAX(code, seq) FILTER (event_type = 'close') AS close_code,
   CASE WHEN ARG_MAX(code, seq) FILTER (event_type = 'close') = 1000 THEN 'error' WHEN COUNT(*) FILTER (event_type = 'close') > 0 THEN 'info' END AS close_row FROM calls GROUP BY call_uid""")
@@ -202,6 +207,15 @@ def c8(spark, sf):
     return K.without_domain(kept, "d7.example.com").select("domain", "path", "key")
 
 
+@query("c8_delete_by_url_and_name", MATCHED + """, gone AS (
+  SELECT domain, path, key FROM matched JOIN urls USING (url_id) WHERE key = 'k' || (url_id % 11)
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY url_id ORDER BY path = p DESC, LENGTH(path) DESC, LENGTH(domain) DESC) = 1)
+SELECT domain, path, key FROM live ANTI JOIN gone USING (domain, path, key)""")
+def c8b(spark, sf):
+    urls = request_urls(spark, sf).withColumn("key", F.concat(F.lit("k"), (F.col("url_id") % 11).cast("string")))
+    return K.without_named(K.latest(V.cookies(spark, sf)), urls, NOW).select("domain", "path", "key")
+
+
 @query("e10_latest_credentials", "SELECT user_id % 7 AS collection_uid, 'https://id' || (user_id % 4) || '.example.com' AS url, 'cred' || (event_id % 3) AS credentials_id, ARG_MAX(props, event_id) AS credentials FROM events GROUP BY 1, 2, 3")
 def e10(spark, sf):
     e = V.table(spark, sf, "events").select((F.col("user_id") % 7).alias("collection_uid"), F.concat(F.lit("https://id"), (F.col("user_id") % 4).cast("string"), F.lit(".example.com")).alias("url"), F.concat(F.lit("cred"), (F.col("event_id") % 3).cast("string")).alias("credentials_id"), F.col("props").alias("credentials"), F.col("event_id").alias("seq"))

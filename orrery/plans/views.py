@@ -37,12 +37,24 @@ def check_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Executed requests: a request per order, a run per customer, four lists of checks from line items."""
-    o = table(spark, sf_dir, "orders")
     fields = ["status", "description", "lhs", "rhs", "operator", "error", "is_script_error"]
     grouped = check_rows(spark, sf_dir).groupBy("seq").agg(*[F.sort_array(F.collect_list(F.when(F.col("grp") == g, F.struct("pos", *fields)))).alias(g) for g in GROUPS])
     lists = [F.when(F.size(g) > 0, F.transform(g, lambda c: F.struct(*[c[f].alias(f) for f in fields]))).alias(g) for g in GROUPS]
+    return requests(spark, sf_dir).join(grouped.select("seq", *lists), "seq", "left")
+
+
+def counted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executed requests with the numbers of their checks, for jobs that need no lists."""
+    from ..operators.results import check_counts
+
+    return requests(spark, sf_dir).join(check_counts(check_rows(spark, sf_dir)), "seq", "left")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executed requests without their checks."""
+    o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderpriority") == "5-LOW", "skipped").when((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "4-NOT SPECIFIED"), "error")
-    requests = o.select(
+    return o.select(
         F.col("o_custkey").alias("run_id"),
         F.col("o_orderkey").alias("seq"),
         (F.col("o_orderkey") % 4).cast("int").alias("iteration_index"),
@@ -50,13 +62,12 @@ def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://api.example.com/orders/"), F.col("o_orderkey").cast("string")).alias("url"),
         status.alias("status"),
         F.when(status == "error", "connection refused").alias("error"),
-        (status == "skipped").alias("skipped"),
+        F.coalesce(status == "skipped", F.lit(False)).alias("skipped"),
         F.col("o_totalprice").alias("response_time"),
         (F.col("o_totalprice") / 1000).alias("run_duration"),
         F.create_map(F.lit("Authorization"), F.col("o_orderpriority"), F.lit("content-type"), F.lit("application/json")).alias("headers"),
         F.when(F.col("o_orderkey") % 10 != 0, F.concat(F.lit('{"total":'), F.col("o_totalprice").cast("string"), F.lit("}"))).alias("response_data"),
     )
-    return requests.join(grouped.select("seq", *lists), "seq", "left").withColumn("skipped", F.coalesce("skipped", F.lit(False)))
 
 
 METHODS = {"view": "GET", "purchase": "POST", "signup": "put", "click": "delete"}

@@ -6,7 +6,7 @@ values, never whole messages.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -85,21 +85,61 @@ def request_fold(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", delay).groupBy("item_uid", "request_uid").applyInPandasWithState(_fold_request, REQUEST_OUTPUT, REQUEST_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def call_totals(events: DataFrame) -> DataFrame:
-    """Messages and last code of streaming calls, by built-in aggregation in update mode."""
-    coded = F.when(F.col("event_type") == "status", F.col("code")).when(F.col("event_type") == "error", F.coalesce("code", F.lit(2))).when(F.col("event_type") == "cancel", F.lit(1))
-    return events.groupBy("call_uid").agg(F.count_if(F.col("event_type") == "message").alias("n_messages"), F.max_by(coded, F.when(coded.isNotNull(), F.col("seq"))).alias("code"))
+def _totals(events: DataFrame, key: str, output: str, kept: str, step: Callable[[list, pd.DataFrame], list], delay: str) -> DataFrame:
+    """Totals by ``key`` in update mode: ``step`` adds a batch's events, ordered by seq, to what is kept. A key that has been silent for
+    a day behind the watermark is forgotten, so state doesn't grow for ever."""
+    names, size = [c.split()[0] for c in output.split(", ")], len(kept.split(", "))
+    dtypes = {c.split()[0]: "Int64" for c in output.split(", ") if c.split()[1] in ("int", "long") and c.split()[0] != key}
+
+    def fold(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        current = step(list(state.get) if state.exists else [None] * size, pd.concat(batches).sort_values("seq"))
+        state.update(tuple(current))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 86_400_000)
+        yield pd.DataFrame([[*group, *current][: len(names)]], columns=names).astype(dtypes)
+
+    return events.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(fold, output, kept, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def _add_call(now: list, events: pd.DataFrame) -> list:
+    n, code, code_seq = now[0] or 0, now[1], now[2]
+    for kind, given, seq in events[["event_type", "code", "seq"]].itertuples(index=False):
+        n += kind == "message"
+        given = None if pd.isna(given) else int(given)
+        new = {"status": given, "error": 2 if given is None else given, "cancel": 1}.get(kind)
+        if new is not None and (code_seq is None or seq > code_seq):
+            code, code_seq = new, int(seq)
+    return [int(n), code, code_seq]
+
+
+def call_totals(events: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Messages and last code of streaming calls."""
+    return _totals(events, "call_uid", "call_uid string, n_messages long, code long", "n_messages long, code long, code_seq long", _add_call, delay)
+
+
+def _add_socket(now: list, events: pd.DataFrame) -> list:
+    n, state, close, state_seq, close_seq = now[0] or 0, *now[1:]
+    for kind, code, seq in events[["event_type", "code", "seq"]].itertuples(index=False):
+        n += kind == "message"
+        if kind in ("connecting", "open", "close", "error") and (state_seq is None or seq > state_seq):
+            state, state_seq = kind, int(seq)
+        if kind == "close" and (close_seq is None or seq > close_seq):
+            close, close_seq = None if pd.isna(code) else int(code), int(seq)
+    return [int(n), state, close, state_seq, close_seq]
 
 
-def socket_totals(events: DataFrame) -> DataFrame:
+def socket_totals(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Messages, last state and close code of socket sessions."""
-    e = F.col("event_type")
-    state = F.when(e.isin("connecting", "open", "close", "error"), e)
-    return events.groupBy("call_uid").agg(F.max_by(state, F.when(state.isNotNull(), F.col("seq"))).alias("state"), F.count_if(e == "message").alias("n_messages"), F.max_by(F.when(e == "close", F.col("code")), F.when(e == "close", F.col("seq"))).alias("close_code"))
+    return _totals(events, "call_uid", "call_uid string, n_messages long, state string, close_code long", "n_messages long, state string, close_code long, state_seq long, close_seq long", _add_socket, delay)
 
 
-def chunk_totals(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("item_uid").agg(F.sum(F.octet_length("data")).alias("n_bytes"), F.count("*").alias("n_chunks"))
+def chunk_totals(chunks: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Bytes and number of the chunks of each item; the bytes are measured before they leave the JVM."""
+    sizes = chunks.select("item_uid", "ts", "seq", F.octet_length("data").cast("long").alias("n"))
+    step = lambda now, part: [int((now[0] or 0) + part["n"].sum()), int((now[1] or 0) + len(part))]
+    return _totals(sizes, "item_uid", "item_uid long, n_bytes long, n_chunks long", "n_bytes long, n_chunks long", step, delay)
 
 
 def live_counts(traffic: DataFrame) -> DataFrame:

@@ -249,6 +249,26 @@ def test_text_differences():
     assert "".join(t for t, s in got if s != "added") == "the quick brown fox" and "".join(t for t, s in got if s != "deleted") == "the slow brown dog"
 
 
+def test_words_and_shortest_differences():
+    """Separators are tokens of their own, other signs belong to words; as many tokens stay unchanged as by trying all."""
+    assert S.WORDS.findall("a_b(c), d-e  f@g.h") == ["a", "_", "b(c),", " ", "d", "-", "e", " ", " ", "f", "@", "g", ".", "h"]
+    draw = random.Random(11)
+    for _ in range(80):
+        a, b = ([draw.choice("abc") for _ in range(draw.randrange(8))] for _ in range(2))
+        subsequences = lambda x: {tuple(t for i, t in enumerate(x) if m >> i & 1) for m in range(1 << len(x))}
+        got = S.segments(a, b)
+        assert sum(len(t) for t, s in got if s == "unchanged") == max(map(len, subsequences(a) & subsequences(b)))
+        assert "".join(t for t, s in got if s != "added") == "".join(a) and "".join(t for t, s in got if s != "deleted") == "".join(b)
+
+
+def test_search_in_blocks_of_queries(spark, monkeypatch):
+    items = spark.createDataFrame([(f"u{i}", "http-request", f"n{i % 7}", None, None) for i in range(30)], "uid string, type string, name string, url string, path string")
+    asked = spark.createDataFrame([(i, f"n{i}") for i in range(7)], "query_id int, query string")
+    whole = sorted(map(tuple, S.search(items, asked).collect()))
+    monkeypatch.setattr(S, "MOST_QUERIES", 2)
+    assert sorted(map(tuple, S.search(items, asked).collect())) == whole and len(whole) == 30
+
+
 def test_differences_of_long_texts():
     """Beyond the table's bound, words kept between two changed ends stay unchanged."""
     kept = [f"w{i % 997}" for i in range(6000)]
