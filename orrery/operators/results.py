@@ -121,7 +121,7 @@ def outcome_row(results: DataFrame) -> DataFrame:
     settled = ~F.coalesce(F.col("status").isin("error", "skipped", "running"), F.lit(False))
     group_fails = F.col("n_fail") > 0
     is_error, skipped = F.col("status").eqNullSafe("error"), F.col("status").eqNullSafe("skipped")
-    return with_counts(results).withColumns({"is_passed": settled & ~group_fails, "is_failed": ~skipped & (is_error | (settled & group_fails)), "is_skipped": skipped})
+    return with_counts(results).withColumns({"is_passed": settled & ~group_fails, "is_failed": ~skipped & (is_error | (settled & group_fails)), "is_skipped": skipped}).select(*results.columns, "is_passed", "is_failed", "is_skipped")
 
 
 def outcome_counts(results: DataFrame) -> DataFrame:
@@ -136,9 +136,10 @@ def only_failed(results: DataFrame) -> DataFrame:
 
 def bail_cut(results: DataFrame) -> DataFrame:
     """Rows of each run up to and including its first failure: an error that isn't skipped, or a failed check."""
-    fails = (F.col("error").isNotNull() & ~F.col("skipped")) | F.exists(all_checks(), lambda c: c["status"] == "fail")
+    fails = (F.col("error").isNotNull() & ~F.col("skipped")) | (F.col("n_fail") > 0)
     before = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return results.withColumn("_failed", fails).withColumn("_before", F.max("_failed").over(before)).where(~F.coalesce("_before", F.lit(False))).drop("_failed", "_before")
+    rows = with_counts(results).withColumn("_failed", fails).withColumn("_before", F.max("_failed").over(before))
+    return rows.where(~F.coalesce("_before", F.lit(False))).select(*results.columns)
 
 
 def with_skipped_files(results: DataFrame, skipped: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def b7(spark, sf):
 marked AS (SELECT *, MAX((COALESCE(status, '') = 'error' OR has_fail)::INT) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM verdicts)
 SELECT run_id, seq FROM marked WHERE COALESCE(before, 0) = 0""")
 def e4(spark, sf):
-    return R.bail_cut(V.run_results(spark, sf)).select("run_id", "seq")
+    return R.bail_cut(V.counted_results(spark, sf)).select("run_id", "seq")
 
 
 @query("g1_results_and_skipped_files", BASE + """SELECT run_id, seq, name, status, status IS NOT DISTINCT FROM 'skipped' AS skipped FROM requests
