@@ -48,4 +48,34 @@ reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT reach.a, pairs.b FROM reach
 least AS (SELECT a AS doc_id, MIN(b) AS c FROM reach GROUP BY a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, LEAST(doc_id, COALESCE(c, doc_id)) AS component_id FROM sets LEFT JOIN least USING (doc_id)"""
 
-SQL: dict[str, str] = {"op4_license_scan": _licence_sql(), "op8_warc_archive": _WARC, "op9_ngram_join": _JOIN}
+# CRC-32 by its table: 256 entries made of eight steps each, then one look-up for each digit of the id
+_TRIE = r"""WITH RECURSIVE step(n, k, v) AS (
+  SELECT n, 0, n FROM RANGE(256) t(n) UNION ALL SELECT n, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END FROM step WHERE k < 8),
+crc(n, v) AS (SELECT n, v FROM step WHERE k = 8),
+turns AS (
+  SELECT conv_id, sha256(strlen(r) || ':' || r || t)[1:32] AS d, strlen(t) AS n, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(r) || ':' || r || t)[1:32]) AS k
+  FROM (SELECT conv_id, turn, COALESCE(role, '') AS r, COALESCE(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)),
+fold(c, s, v) AS (
+  SELECT DISTINCT conv_id, conv_id::VARCHAR, 4294967295::BIGINT FROM turns
+  UNION ALL SELECT c, s[2:], xor(fold.v // 256, crc.v) FROM fold JOIN crc ON crc.n = xor(fold.v % 256, ord(s[1])::BIGINT) WHERE s <> ''),
+convs AS (SELECT c, xor(v, 4294967295::BIGINT) % 9 AS h FROM fold WHERE s = ''),
+made AS (
+  SELECT c, k AS place, d, n FROM convs JOIN turns ON conv_id = c - c % 5 AND k <= h
+  UNION ALL SELECT c, k + 9, d, n FROM convs JOIN turns ON conv_id = c AND k > h),
+placed AS (SELECT c, ROW_NUMBER() OVER w AS depth, n, sha256(STRING_AGG(d, '') OVER w) AS node, COUNT(*) OVER (PARTITION BY c) AS len FROM made WINDOW w AS (PARTITION BY c ORDER BY place)),
+members AS (
+  SELECT c, depth, n, node, len, COALESCE(LAG(node) OVER (PARTITION BY c ORDER BY depth), '') AS parent FROM placed
+  UNION ALL SELECT c, 0, 0, '', COALESCE(len, 0), NULL FROM convs LEFT JOIN (SELECT DISTINCT c, len FROM placed) USING (c)),
+nodes AS (
+  SELECT node, MIN(c) AS conv_id, MIN(depth) AS depth, MIN(parent) AS parent, COUNT(*) AS n_convs, MIN(n) * (COUNT(*) - 1) AS saved,
+    sha256(COALESCE(STRING_AGG(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len = depth), '')) AS ends
+  FROM members GROUP BY node),
+children AS (SELECT parent AS node, COUNT(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+-- a node's ancestors and itself are the nodes of its least member up to its depth
+below AS (
+  SELECT m.node, SUM(x.saved) AS saved_tokens, COUNT(*) FILTER (WHERE c.n_children IS NULL) AS n_leaves
+  FROM nodes x JOIN members m ON m.c = x.conv_id AND m.depth <= x.depth LEFT JOIN children c ON c.node = x.node GROUP BY m.node)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, COALESCE(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM nodes x JOIN below USING (node) LEFT JOIN children USING (node) LEFT JOIN nodes p ON p.node = x.parent"""
+
+SQL: dict[str, str] = {"op4_license_scan": _licence_sql(), "op8_warc_archive": _WARC, "op9_ngram_join": _JOIN, "op11_prefix_trie": _TRIE}

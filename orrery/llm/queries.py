@@ -87,4 +87,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_vector_search, op4_license_scan, op5_language_id, op6_token_counts, op7_decontamination, op8_warc_archive, op9_ngram_join, op10_packing)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import sequences, share_heads, trie
+
+    return trie(share_heads(sequences(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_vector_search, op4_license_scan, op5_language_id, op6_token_counts, op7_decontamination, op8_warc_archive, op9_ngram_join, op10_packing, op11_prefix_trie)}
