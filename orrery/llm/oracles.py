@@ -78,4 +78,22 @@ below AS (
 SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, COALESCE(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, x.ends AS ends_sha256
 FROM nodes x JOIN below USING (node) LEFT JOIN children USING (node) LEFT JOIN nodes p ON p.node = x.parent"""
 
-SQL: dict[str, str] = {"op4_license_scan": _licence_sql(), "op8_warc_archive": _WARC, "op9_ngram_join": _JOIN, "op11_prefix_trie": _TRIE}
+_AUDIT = r"""WITH docs AS (SELECT ROW_NUMBER() OVER () AS row, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source, COALESCE(text, '') AS text FROM documents),
+words AS (SELECT row, lang, source, UNNEST(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, COUNT(*) AS n FROM words GROUP BY lang, term HAVING COUNT(DISTINCT row) >= 3),
+langs AS (SELECT lang, SUM(n) AS total, COUNT(*) AS v FROM kept GROUP BY lang),
+found AS (SELECT lang, source, term, COUNT(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (SELECT lang, source, COALESCE(SUM(n), 0) AS total FROM groups LEFT JOIN found USING (lang, source) GROUP BY lang, source),
+p AS (
+  SELECT lang, source, k.term, COALESCE(f.n, 0) AS n, 1 + (1000000000::HUGEINT * (COALESCE(f.n, 0) + 1)) // (t.total + l.v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.v)::HUGEINT AS q
+  FROM totals t JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN found f USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, SUM(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, b.source AS item, COALESCE(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+both_parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM every
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+SQL: dict[str, str] = {"op4_license_scan": _licence_sql(), "op8_warc_archive": _WARC, "op9_ngram_join": _JOIN, "op11_prefix_trie": _TRIE, "op12_divergence_audit": _AUDIT}

@@ -93,4 +93,19 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(share_heads(sequences(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_vector_search, op4_license_scan, op5_language_id, op6_token_counts, op7_decontamination, op8_warc_archive, op9_ngram_join, op10_packing, op11_prefix_trie)}
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import assess, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_fold(F.col("doc_id"), 3) == 1
+    model = train(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    return assess(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_vector_search, op4_license_scan, op5_language_id, op6_token_counts, op7_decontamination, op8_warc_archive, op9_ngram_join, op10_packing, op11_prefix_trie, op12_divergence_audit, op13_quality_rules)}
