@@ -32,7 +32,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 1000, date: str
     narrow = rows.drop("payload").withColumn("tie", F.xxhash64("url"))
     holders = narrow.groupBy("digest").agg(F.max(F.struct("page_id", "tie")).alias("holder"), F.count("*").alias("n_records"))
     joined = narrow.hint("merge").join(holders, "digest").withColumn("salts", F.ceil(F.col("n_records") / RECORDS_PER_SALT).cast("int"))
-    revisit = (F.col("n_bytes") >= min_bytes) & (F.coalesce(F.col("page_id"), F.lit(-1)) != F.coalesce(F.col("holder.page_id"), F.lit(-1)))
+    revisit = (F.col("n_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("holder.page_id"))
     ident = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     lines = [
         F.lit("WARC/1.1"),
