@@ -12,7 +12,8 @@ each), so no task holds a whole shard and slots follow from the cell's first slo
 slices of ``SLICE`` ranks, none of which meets more cells than it has ranks, so what a row costs doesn't grow with the cells.
 
 Law: ``rows``, shard sizes differ by one row at most. Defined results: null texts have no bytes; rows with a null id or
-repeated rows are dealt like others (rows alike in id and text are interchangeable); an empty table gives an empty result;
+repeated rows are dealt like others, by their place in their file, or by id and text if the rows don't come straight from Parquet files
+(then rows alike in both share a partition of the exchange); an empty table gives an empty result;
 columns pass through, and the added ones replace input columns of the same name.
 """
 
@@ -23,7 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_crc32
@@ -84,15 +86,25 @@ def slices(stop: np.ndarray, cell: np.ndarray) -> list[list[dict]]:
     return out
 
 
+def row_identity(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart: their place in a file, so that repeated rows spread like any others; where the rows aren't read from Parquet
+    files as they are, their id and text."""
+    try:
+        place = df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return [F.col(id_col), text_crc32(F.col(text_col))]
+    return [F.col(f"_metadata.{c}") for c in place.columns]
+
+
 def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = CELL_ROWS) -> DataFrame:
     """``df`` with ``shard`` and ``slot``: a uniform permutation cut into shards whose sizes differ by one row at most."""
     spark = df.sparkSession
-    df = df.drop("shard", "slot", "_part", "_key")
     total = df.count()
     cell_rows = max(cell_rows, -(-total // MOST_CELLS))
     parts = max(1, -(-total // cell_rows))
-    # one draw of 64 bits per row fixes its partition and its place there; text takes part so that equal ids spread
-    keyed = df.withColumn("_key", F.xxhash64(F.lit(seed), F.col(id_col), text_crc32(F.col(text_col)))).withColumn("_part", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col), text_crc32(F.col(text_col))), F.lit(parts)).cast("int"))
+    # one draw of 64 bits per row fixes its partition and its place there
+    who = row_identity(df, id_col, text_col)
+    keyed = df.withColumns({"_key": F.xxhash64(F.lit(seed), *who), "_part": F.pmod(F.xxhash64(F.lit(seed + 1), *who), F.lit(parts)).cast("int")}).drop("shard", "slot")
     counts = keyed.groupBy("_part").agg(F.count("*").alias("n")).collect()  # one number per partition
     part_sizes = np.zeros(parts, np.int64)
     for r in counts:
@@ -114,7 +126,8 @@ def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 42, id_col: str
     # one row for each partition, with as many entries as the matrix row has above zero and one more for each slice
     deal = spark.range(parts).select(F.col("id").cast("int").alias("_part")).repartition(min(parts, 200)).mapInArrow(deals, "_part int, _deal array<array<struct<stop: long, cell: int>>>")
     local = Window.partitionBy("_part").orderBy("_key", F.col(id_col).asc_nulls_first())
-    ranked = keyed.withColumn("_rank", F.row_number().over(local) - 1).join(deal, "_part")
+    # a merge join: the window has dealt the rows by partition, and the deal grows with partitions times cells
+    ranked = keyed.withColumn("_rank", F.row_number().over(local) - 1).join(deal.hint("merge"), "_part")
     near = F.element_at("_deal", (F.col("_rank") / SLICE).cast("int") + 1)
     dealt = ranked.withColumn("_cell", F.element_at(F.filter(near, lambda x: F.col("_rank") < x["stop"]), 1)["cell"]).drop("_deal", "_rank", "_part")
     again = Window.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed + 2), "_key"), F.col(id_col).asc_nulls_first())
