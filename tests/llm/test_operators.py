@@ -389,6 +389,51 @@ def test_licences_of_wrapped_standard_texts(spark):
     assert full["sentence_ids"] == ["MITPermission", "MITNotice", "MITWarranty"]
 
 
+def test_licence_hints_hold_for_every_sentence(spark):
+    from orrery.llm.licenses import OWNER, SENTENCES, hints, scan_licences
+
+    assert all(any(w in s.replace(OWNER, "Acme").split() for w in hints()) for s in SENTENCES)
+    texts = [s.replace(OWNER, "Acme Inc").replace("spdx license identifier ", "SPDX-License-Identifier: ").upper() for s in SENTENCES]
+    rows = scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["sentence_ids"] for r in rows] == [[i] for i in SENTENCES.values()]
+
+
+def test_licences_with_owner_reservation_and_tag(spark):
+    from orrery.llm.licenses import scan_licences
+
+    head = "Copyright (c) 2020, Someone\nAll rights reserved.\n\n"
+    cases = [
+        ("Neither the name of Acme nor the names of its contributors may be used to endorse or promote products.", ["BSDEndorse"], []),
+        (head + BSD2, None, ["BSD-2-Clause"]), (head + BSD3.format("Acme"), None, ["BSD-3-Clause"]), (head + MIT, None, ["MIT"]), (head, ["AllRights"], ["LicenseRef-all-rights-reserved"]),
+        ("// SPDX-License-Identifier: Apache-2.0\n", ["SPDX:Apache-2.0"], ["Apache-2.0"]), ("/* SPDX-License-Identifier: MIT */", None, ["MIT"]), ("Distributed under the Boost Software License, Version 1.0.", None, ["BSL-1.0"]),
+        ("All soft.ware rights. All rights res.erved.", ["AllRights"], ["LicenseRef-all-rights-reserved"]),
+    ]
+    got = scan_licences(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["licences"] for r in got] == [x for _, _, x in cases]
+    assert all(ids is None or r["sentence_ids"] == ids for r, (_, ids, _) in zip(got, cases, strict=True))
+
+
+def test_archive_tells_null_from_minus_one(spark, tmp_path):
+    from orrery.llm.warc import read_archive, record_fields, write_archive
+
+    write_archive(spark.createDataFrame([(-1, "u", "x" * 1500), (None, "u", "x" * 1500), (None, "v", "é" * 4_000_000)], "page_id long, url string, html string"), str(tmp_path / "a"))
+    got = {(r["page_id"], r["payload_bytes"]): (r["record_type"], r["refers_to"]) for r in record_fields(read_archive(spark, str(tmp_path / "a"))).collect()}
+    assert got == {(-1, 1500): ("response", None), (None, 1500): ("revisit", -1), (None, 8_000_000): ("response", None)}
+
+
+def test_repeated_rows_are_dealt_over_all_partitions(spark, tmp_path):
+    from orrery.llm.shuffle import row_identity, uniform_shards
+
+    spark.range(100_000).select(F.lit(7).alias("doc_id"), F.lit("again").alias("text")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert df.select(F.pmod(F.xxhash64(*row_identity(df, "doc_id", "text")), F.lit(100)).alias("p")).groupBy("p").count().agg(F.max("count")).first()[0] < 1300
+    out = uniform_shards(df)
+    got = out.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert len(got) == 16 and all(r["n"] == r["slots"] == r["last"] + 1 == 6250 for r in got)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+
+
 def test_language_gradients_and_tables():
     from orrery.llm.language import ByteNet
 
