@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.llm import divergence
-from orrery.llm.divergence import audit, term_counts
+from orrery.llm.divergence import audit, group_keys, term_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -84,7 +84,10 @@ def test_kept_terms(spark, min_docs):
     rows = corpus(random.Random(4), 60, ["a", "b"])
     kept, counts = kept_counts(rows, min_docs)
     want = sorted((lang, s, t, n) for (lang, s), c in counts.items() for t, n in c.items() if t in kept[lang])
-    assert sorted(tuple(r) for r in term_counts(spark.createDataFrame(rows, SCHEMA), min_docs).collect()) == want
+    df = spark.createDataFrame(rows, SCHEMA)
+    names, seed = group_keys(df)
+    got = term_counts(df, min_docs, seed).join(names, ["lid", "gid"])
+    assert sorted(tuple(r) for r in got.select("lang", "source", "term", "n").collect()) == want
 
 
 def test_odd_tables(spark):
