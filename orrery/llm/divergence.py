@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_of
+from .common import forget, materialize, rows_of
 
 #: Fixed: what no term holds, ASCII but for its letters.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -81,10 +81,11 @@ def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def chunk_counts(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """(lid, gid, chunk, n, n_docs, least, most) for each chunk of a group."""
+    """(lid, gid, chunk, n, n_docs, least, most) for each chunk of a group; ``least`` only below three documents, ``most`` only with two."""
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]).select("text", *_numbers(seed))
     counted = texts.mapInArrow(_count_chunks, "lid long, gid long, chunk string, n long, n_docs long, least long, most long")
-    return counted.groupBy("lid", "gid", "chunk").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"), F.min("least").alias("least"), F.max("most").alias("most"))
+    sums = counted.groupBy("lid", "gid", "chunk").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return sums.withColumns({"least": F.when(F.col("n_docs") < 3, F.col("least")), "most": F.when(F.col("n_docs") == 2, F.col("most"))})
 
 
 def chunk_id() -> Column:
@@ -95,27 +96,30 @@ def chunk_id() -> Column:
 def chunk_terms(chunks: DataFrame) -> DataFrame:
     """(id, term, k): the terms of each distinct chunk and how often it holds them."""
     lower = F.translate("chunk", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    distinct = chunks.select("chunk").distinct()
-    return distinct.select(chunk_id().alias("id"), F.explode(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("k"))
+    # the identifier is made before the terms are dealt out, not for each of them
+    cut = chunks.select("chunk").distinct().select(chunk_id().alias("id"), F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)).alias("terms"))
+    return cut.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("k"))
 
 
 def term_counts(docs: DataFrame, min_docs: int = 3, seed: int = 0) -> DataFrame:
     """(lid, gid, term, n, n_lang) of the kept terms, written: occurrences in the group and in the language."""
     if not 1 <= min_docs <= 3:
         raise ValueError("min_docs is 1, 2 or 3")
-    chunks = materialize(chunk_counts(docs, seed), "chunks")
+    chunks = materialize(chunk_counts(docs, seed), "chunks", "zstd")
     # partitions are sized, so the terms of one fit in a hash table; no sort of all counts
     found = chunks.withColumn("id", chunk_id()).join(chunk_terms(chunks).hint("shuffle_hash"), "id").select("lid", "gid", "term", (F.col("n") * F.col("k")).alias("n"), "n_docs", "least", "most")
     # one exchange serves all that follows; a term of a language has a row for each chunk and source at most
     dealt = found.repartition("lid", "term")
     of_term = Window.partitionBy("lid", "term")
-    known = dealt.withColumns({"n_lang": F.sum("n").over(of_term), "docs": F.max("n_docs").over(of_term), "low": F.min("least").over(of_term), "high": F.max("most").over(of_term)})
+    known = dealt.withColumns({"n_lang": F.sum("n").over(of_term), "docs": F.max("n_docs").over(of_term), "low": F.min("least").over(of_term), "high": F.max(F.coalesce("most", "least")).over(of_term)})
     other = lambda c: (F.col(c) != F.col("low")) & (F.col(c) != F.col("high"))
-    enough = F.lit(True) if min_docs == 1 else F.col("low") < F.col("high")
+    enough = (F.col("docs") >= min_docs) | (F.col("low") < F.col("high"))
     if min_docs == 3:
         enough = (F.col("docs") >= 3) | F.max(other("least") | other("most")).over(of_term)
     kept = known.withColumn("enough", enough).where("enough")
-    return materialize(kept.groupBy("lid", "gid", "term").agg(F.sum("n").alias("n"), F.max("n_lang").alias("n_lang")), "kept")
+    counts = materialize(kept.groupBy("lid", "gid", "term").agg(F.sum("n").alias("n"), F.max("n_lang").alias("n_lang")), "kept")
+    forget(chunks)
+    return counts
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
