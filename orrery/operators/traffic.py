@@ -99,6 +99,20 @@ def fold_requests(events: DataFrame) -> DataFrame:
     return live.groupBy("item_uid", "request_uid").agg(F.when(has("error"), "error").when(has("response-received"), "received").when(has("request-sent"), "sending").when(has("request-queued"), "queued").alias("state"), first("request-sent").alias("sent_at"), F.count("*").alias("n_events"))
 
 
+# Names of the status codes of calls and of the close codes of sockets.
+CALL_CODES = {0: "OK", 1: "CANCELLED", 2: "UNKNOWN", 3: "INVALID_ARGUMENT", 4: "DEADLINE_EXCEEDED", 5: "NOT_FOUND", 6: "ALREADY_EXISTS", 7: "PERMISSION_DENIED", 8: "RESOURCE_EXHAUSTED", 9: "FAILED_PRECONDITION", 10: "ABORTED", 11: "OUT_OF_RANGE", 12: "UNIMPLEMENTED", 13: "INTERNAL", 14: "UNAVAILABLE", 15: "DATA_LOSS", 16: "UNAUTHENTICATED"}
+CLOSE_CODES = {1000: "NORMAL_CLOSURE", 1001: "GOING_AWAY", 1002: "PROTOCOL_ERROR", 1003: "UNSUPPORTED_DATA", 1004: "RESERVED", 1005: "NO_STATUS_RECEIVED", 1006: "ABNORMAL_CLOSURE", 1007: "INVALID_FRAME_PAYLOAD_DATA", 1008: "POLICY_VIOLATION", 1009: "MESSAGE_TOO_BIG", 1010: "MANDATORY_EXTENSION", 1011: "INTERNAL_ERROR", 1012: "SERVICE_RESTART", 1013: "TRY_AGAIN_LATER", 1014: "BAD_GATEWAY", 1015: "TLS_HANDSHAKE"}
+
+
+def _named(code: Column, names: dict[int, str], otherwise: str) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), code.cast("int")), F.lit(otherwise))
+
+
+def _last(value: Column, when: Column) -> Column:
+    """The value of the last event of a kind."""
+    return F.max_by(F.when(when, value), F.when(when, F.col("seq")))
+
+
 def fold_calls(events: DataFrame) -> DataFrame:
     """Streaming calls: number of messages, last status (non-zero is an error), default codes 2 for errors and 1 for cancels,
     duration since the request."""
@@ -113,6 +127,30 @@ def fold_calls(events: DataFrame) -> DataFrame:
     )
 
 
+def call_details(events: DataFrame) -> DataFrame:
+    """What streaming calls report beside their messages: metadata, trailers, the last status with its name and description, errors.
+
+    ``events`` have ``code``, ``details`` and ``metadata`` (JSON) as well. A message with a code or details failed. A call has failed once
+    it has an error, a failed message or a status other than 0, whatever comes after it; a cancel is no error.
+    """
+    e, code, details = F.col("event_type"), F.col("code"), F.nullif(F.col("details"), F.lit(""))
+    bad = (e == "error") | (e.eqNullSafe(F.lit("message")) & (code.isNotNull() | details.isNotNull()))
+    known = F.when(bad, F.coalesce(F.nullif(code, F.lit(0)), F.lit(2))).when(e == "status", code).when(e == "cancel", F.lit(1))
+    name = _named(known, CALL_CODES, "UNKNOWN")
+    ends = bad | e.isin("status", "cancel")
+    fault = bad | ((e == "status") & ~code.eqNullSafe(F.lit(0)))
+    default = F.when(e == "error", "Unknown gRPC error").when(e == "message", "gRPC error occurred").otherwise(F.concat(F.lit("gRPC error with code "), F.coalesce(code.cast("string"), F.lit("undefined")), F.lit(" ("), name, F.lit(")")))
+    return events.groupBy("call_uid").agg(
+        _last(known, ends).alias("code"),
+        _last(name, ends).alias("status_text"),
+        _last(F.when(e == "cancel", "Stream cancelled by client or server").otherwise(details), ends & (e != "message")).alias("description"),
+        F.coalesce(F.bool_or(fault), F.lit(False)).alias("failed"),
+        _last(F.coalesce(details, default), fault).alias("error"),
+        _last(F.col("metadata"), e == "metadata").alias("metadata"),
+        _last(F.col("metadata"), e.isin("status", "error") & F.col("metadata").isNotNull()).alias("trailers"),
+    )
+
+
 def fold_sockets(events: DataFrame) -> DataFrame:
     """Socket sessions: last status, messages, close code, and the kind of the close row (``error`` for 1000, else ``info``)."""
     e = F.col("event_type")
@@ -126,6 +164,40 @@ def fold_sockets(events: DataFrame) -> DataFrame:
     )
 
 
+def socket_details(events: DataFrame) -> DataFrame:
+    """Status, close reason, headers and error of socket sessions; an error holds until the next event of any kind.
+
+    ``details`` is the close reason or the error's text; ``metadata`` the headers of a redirect (sent) or of an upgrade (received).
+    """
+    e, details = F.col("event_type"), F.nullif(F.col("details"), F.lit(""))
+    moves = e.isin("connecting", "open", "close", "error")
+    status = F.when(e == "connecting", "CONNECTING").when(e == "open", "CONNECTED").when(e == "close", "CLOSED").otherwise("ERROR")
+    text = F.when(e == "close", _named(F.col("code"), CLOSE_CODES, "CLOSED")).otherwise(status)
+    code = F.when(e == "open", 0).when(e == "close", F.col("code")).otherwise(1011)
+    return events.groupBy("call_uid").agg(
+        _last(status, moves).alias("status"),
+        _last(text, moves).alias("status_text"),
+        _last(code, moves & (e != "connecting")).alias("status_code"),
+        _last(F.coalesce("details", F.lit("")), e == "close").alias("description"),
+        F.coalesce(F.max_by(e, "seq") == "error", F.lit(False)).alias("failed"),
+        F.when(F.max_by(e, "seq") == "error", _last(F.coalesce(details, F.lit("WebSocket error occurred")), e == "error")).alias("error"),
+        _last(F.col("metadata"), e == "redirect").alias("request_headers"),
+        _last(F.col("metadata"), e == "upgrade").alias("headers"),
+    )
+
+
+def socket_rows(events: DataFrame) -> DataFrame:
+    """(call_uid, seq, kind, message): what a session shows, row by row. ``details`` is the text, the URL of an ``open`` or the reason of a ``close``.
+
+    Messages and redirects keep their own ``kind``; the row of a normal close (1000) is an error, of any other ``info``.
+    """
+    e, details = F.col("event_type"), F.col("details")
+    reason = F.trim(F.coalesce(details, F.lit("")))
+    kind = F.when(e.isin("message", "redirect"), F.col("kind")).when(e == "open", "info").when(e == "close", F.when(F.col("code").eqNullSafe(F.lit(1000)), "error").otherwise("info")).otherwise("error")
+    text = F.when(e.isin("message", "redirect"), details).when(e == "open", F.concat(F.lit("Connected to "), F.coalesce(details, F.lit("")))).when(e == "close", F.when(reason == "", "Closed").otherwise(F.concat(F.lit("Closed: "), reason))).otherwise(F.coalesce(F.nullif(details, F.lit("")), F.lit("WebSocket error occurred")))
+    return events.where(e.isin("message", "redirect", "open", "close", "error")).select("call_uid", "seq", kind.alias("kind"), text.alias("message"))
+
+
 def numbered_messages(events: DataFrame) -> DataFrame:
     """Message rows of calls and sockets, numbered in order of arrival: lists of any length stay rows."""
     order = Window.partitionBy("call_uid").orderBy("seq")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import cookies as K
 from ..operators import traffic as T
+from ..sources.scratch import shared_dir
+from ..streaming import folds as S
 from . import views as V
 from .registry import query
 
@@ -65,17 +69,23 @@ def c10(spark, sf):
     return T.attach_to_queued(V.run_events(spark, sf)).select("seq", "run_id", "item_uid", "occurrence")
 
 
-@query("t1_run_fold", ATTACHED + """SELECT run_id, item_uid, occurrence,
+RUN_FOLD = ATTACHED + """SELECT run_id, item_uid, occurrence,
   CASE WHEN BOOL_OR(event_type = 'error') THEN 'error' WHEN BOOL_OR(event_type = 'response-received') THEN 'completed' WHEN BOOL_OR(event_type = 'request-sent') THEN 'running' ELSE 'queued' END AS status,
   ARG_MAX(value, seq) FILTER (event_type = 'response-received') AS response_value, ARG_MAX(payload, seq) FILTER (event_type = 'assertion-results') AS assertions,
-  COUNT(*) AS n_events, COUNT(*) FILTER (event_type = 'error') AS n_errors FROM attached WHERE occurrence IS NOT NULL GROUP BY 1, 2, 3""")
+  COUNT(*) AS n_events, COUNT(*) FILTER (event_type = 'error') AS n_errors FROM attached WHERE occurrence IS NOT NULL GROUP BY 1, 2, 3"""
+
+
+@query("t1_run_fold", RUN_FOLD)
 def t1(spark, sf):
     return T.fold_run(T.attach_to_queued(V.run_events(spark, sf)))
 
 
-@query("t2_request_fold", EVENTS + """, latest AS (SELECT item_uid, ARG_MAX(request_uid, seq) AS request_uid FROM run_events GROUP BY item_uid)
+REQUEST_FOLD = EVENTS + """, latest AS (SELECT item_uid, ARG_MAX(request_uid, seq) AS request_uid FROM run_events GROUP BY item_uid)
 SELECT item_uid, request_uid, CASE WHEN BOOL_OR(event_type = 'error') THEN 'error' WHEN BOOL_OR(event_type = 'response-received') THEN 'received' WHEN BOOL_OR(event_type = 'request-sent') THEN 'sending' WHEN BOOL_OR(event_type = 'request-queued') THEN 'queued' END AS state,
-  MIN(ts) FILTER (event_type = 'request-sent') AS sent_at, COUNT(*) AS n_events FROM run_events JOIN latest USING (item_uid, request_uid) GROUP BY 1, 2""")
+  MIN(ts) FILTER (event_type = 'request-sent') AS sent_at, COUNT(*) AS n_events FROM run_events JOIN latest USING (item_uid, request_uid) GROUP BY 1, 2"""
+
+
+@query("t2_request_fold", REQUEST_FOLD)
 def t2(spark, sf):
     return T.fold_requests(V.run_events(spark, sf))
 
@@ -110,6 +120,39 @@ def t3(spark, sf):
     return T.fold_calls(call_rows(spark, sf, CALL_KINDS, F.when(F.col("event_type") == "click", F.col("event_id") % 3)))
 
 
+DETAILED = """WITH calls AS (
+  SELECT event_id AS seq, user_id || '-' || CAST(ts AS DATE) AS call_uid, CASE WHEN event_type = 'view' AND event_id % 5 = 0 THEN '{extra}' ELSE {kinds} END AS event_type, {code} AS code,
+    CASE WHEN event_id % 2 = 0 AND (event_type <> 'view' OR {shown}) THEN props END AS details, CASE WHEN event_id % 3 <> 0 THEN 'm' || event_id END AS metadata FROM events)
+"""
+
+
+def detailed_rows(spark, sf, kinds, extra, code, shown):
+    e, uid = calls(spark, sf)
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type"))
+    n, is_view = F.col("event_id"), F.col("event_type") == "view"
+    details = F.when((n % 2 == 0) & (~is_view | shown), F.col("props"))
+    return e.select(n.alias("seq"), uid, F.when(is_view & (n % 5 == 0), extra).otherwise(kind).alias("event_type"), code.cast("int").alias("code"), details.alias("details"), F.when(n % 3 != 0, F.concat(F.lit("m"), n.cast("string"))).alias("metadata"))
+
+
+CALL_NAMES = "CASE known " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in T.CALL_CODES.items()) + " ELSE 'UNKNOWN' END"
+
+
+@query("t3_call_details", DETAILED.format(extra="metadata", kinds=kinds_sql(CALL_KINDS), code="CASE WHEN event_type = 'click' OR (event_type = 'view' AND event_id % 77 = 0) THEN event_id % 18 WHEN event_type = 'error' AND event_id % 4 = 0 THEN event_id % 6 END", shown="FALSE") + f""", bads AS (
+  SELECT *, event_type = 'error' OR (event_type = 'message' AND code IS NOT NULL) AS bad FROM calls),
+told AS (SELECT *, CASE WHEN bad THEN COALESCE(NULLIF(code, 0), 2) WHEN event_type = 'status' THEN code WHEN event_type = 'cancel' THEN 1 END AS known, bad OR (event_type = 'status' AND code <> 0) AS fault FROM bads),
+named AS (SELECT *, {CALL_NAMES} AS name FROM told)
+SELECT call_uid, ARG_MAX(known, seq) FILTER (known IS NOT NULL)::INT AS code, ARG_MAX(name, seq) FILTER (known IS NOT NULL) AS status_text,
+  NULLIF(ARG_MAX(CASE WHEN event_type = 'cancel' THEN 'Stream cancelled by client or server' ELSE COALESCE(details, '') END, seq) FILTER (event_type IN ('status', 'error', 'cancel')), '') AS description,
+  COALESCE(BOOL_OR(fault), FALSE) AS failed,
+  ARG_MAX(COALESCE(details, CASE event_type WHEN 'error' THEN 'Unknown gRPC error' WHEN 'message' THEN 'gRPC error occurred' ELSE 'gRPC error with code ' || code || ' (' || name || ')' END), seq) FILTER (fault) AS error,
+  NULLIF(ARG_MAX(COALESCE(metadata, ''), seq) FILTER (event_type = 'metadata'), '') AS metadata, ARG_MAX(metadata, seq) FILTER (event_type IN ('status', 'error') AND metadata IS NOT NULL) AS trailers
+FROM named GROUP BY call_uid""")
+def t3c(spark, sf):
+    n, kind = F.col("event_id"), F.col("event_type")
+    code = F.when((kind == "click") | ((kind == "view") & (n % 77 == 0)), n % 18).when((kind == "error") & (n % 4 == 0), n % 6)
+    return T.call_details(detailed_rows(spark, sf, CALL_KINDS, "metadata", code, F.lit(False)))
+
+
 @query("t3_call_messages", CALLS.format(kinds=kinds_sql(CALL_KINDS), code="NULL") + "SELECT call_uid, seq, ROW_NUMBER() OVER (PARTITION BY call_uid ORDER BY seq)::INT AS message_no FROM calls WHERE event_type = 'message'")
 def t3b(spark, sf):
     return T.numbered_messages(call_rows(spark, sf, CALL_KINDS, F.lit(None).cast("int"))).select("call_uid", "seq", "message_no")
@@ -122,6 +165,37 @@ def t4(spark, sf):
     return T.fold_sockets(call_rows(spark, sf, SOCKET_KINDS, F.when(F.col("event_type") == "purchase", 1000 + F.col("event_id") % 2)))
 
 
+SOCKETS = DETAILED.format(extra="redirect", kinds=kinds_sql(SOCKET_KINDS).replace("'click' THEN 'open'", "'click' THEN CASE WHEN event_id % 4 = 1 THEN 'upgrade' ELSE 'open' END"), code="CASE WHEN event_type = 'purchase' THEN 1000 + event_id % 20 END", shown="TRUE")
+CLOSE_NAMES = "CASE code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in T.CLOSE_CODES.items()) + " ELSE 'CLOSED' END"
+
+
+def socket_events(spark, sf):
+    n, kind = F.col("event_id"), F.col("event_type")
+    rows = detailed_rows(spark, sf, SOCKET_KINDS, "redirect", F.when(kind == "purchase", 1000 + n % 20), F.lit(True))
+    upgrade = (F.col("event_type") == "open") & (F.col("seq") % 4 == 1)
+    return rows.withColumns({"event_type": F.when(upgrade, "upgrade").otherwise(F.col("event_type")), "kind": F.when(F.col("seq") % 3 == 0, "incoming").otherwise("outgoing")})
+
+
+@query("t4_socket_details", SOCKETS + f"""
+SELECT call_uid, CASE ARG_MAX(event_type, seq) FILTER (moves) WHEN 'connecting' THEN 'CONNECTING' WHEN 'open' THEN 'CONNECTED' WHEN 'close' THEN 'CLOSED' WHEN 'error' THEN 'ERROR' END AS status,
+  ARG_MAX(CASE event_type WHEN 'connecting' THEN 'CONNECTING' WHEN 'open' THEN 'CONNECTED' WHEN 'error' THEN 'ERROR' ELSE {CLOSE_NAMES} END, seq) FILTER (moves) AS status_text,
+  ARG_MAX(CASE event_type WHEN 'open' THEN 0 WHEN 'close' THEN code ELSE 1011 END, seq) FILTER (moves AND event_type <> 'connecting')::INT AS status_code,
+  ARG_MAX(COALESCE(details, ''), seq) FILTER (event_type = 'close') AS description, ARG_MAX(event_type, seq) = 'error' AS failed,
+  CASE WHEN ARG_MAX(event_type, seq) = 'error' THEN ARG_MAX(COALESCE(details, 'WebSocket error occurred'), seq) FILTER (event_type = 'error') END AS error,
+  NULLIF(ARG_MAX(COALESCE(metadata, ''), seq) FILTER (event_type = 'redirect'), '') AS request_headers, NULLIF(ARG_MAX(COALESCE(metadata, ''), seq) FILTER (event_type = 'upgrade'), '') AS headers
+FROM (SELECT *, event_type IN ('connecting', 'open', 'close', 'error') AS moves FROM calls) GROUP BY call_uid""")
+def t4b(spark, sf):
+    return T.socket_details(socket_events(spark, sf))
+
+
+@query("t4_socket_rows", SOCKETS + """
+SELECT call_uid, seq, CASE WHEN event_type IN ('message', 'redirect') THEN CASE WHEN seq % 3 = 0 THEN 'incoming' ELSE 'outgoing' END WHEN event_type = 'open' THEN 'info' WHEN event_type = 'close' THEN CASE WHEN code = 1000 THEN 'error' ELSE 'info' END ELSE 'error' END AS kind,
+  CASE event_type WHEN 'open' THEN 'Connected to ' || COALESCE(details, '') WHEN 'close' THEN CASE WHEN details IS NULL THEN 'Closed' ELSE 'Closed: ' || TRIM(details) END WHEN 'error' THEN COALESCE(details, 'WebSocket error occurred') ELSE details END AS message
+FROM calls WHERE event_type NOT IN ('connecting', 'upgrade')""")
+def t4c(spark, sf):
+    return T.socket_rows(socket_events(spark, sf))
+
+
 @query("t5_chunk_totals", "SELECT user_id AS item_uid, SUM(strlen(props))::BIGINT AS n_bytes, COUNT(*) AS n_chunks FROM events GROUP BY 1")
 def t5(spark, sf):
     return T.chunk_totals(V.traffic(spark, sf).withColumnRenamed("body", "data"))
@@ -220,3 +294,28 @@ def c8b(spark, sf):
 def e10(spark, sf):
     e = V.table(spark, sf, "events").select((F.col("user_id") % 7).alias("collection_uid"), F.concat(F.lit("https://id"), (F.col("user_id") % 4).cast("string"), F.lit(".example.com")).alias("url"), F.concat(F.lit("cred"), (F.col("event_id") % 3).cast("string")).alias("credentials_id"), F.col("props").alias("credentials"), F.col("event_id").alias("seq"))
     return K.latest_credentials(e).select("collection_uid", "url", "credentials_id", "credentials")
+
+
+def streamed(spark, rows, key):
+    """A stream run to the end of its source, in a place of its own."""
+    return S.run_to_end(rows, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", key)
+
+
+@query("t1_stream_run_fold", RUN_FOLD)
+def t1s(spark, sf):
+    return streamed(spark, S.run_fold(V.run_events(spark, sf, V.event_stream(spark, sf))), ["run_id", "item_uid", "occurrence"])
+
+
+@query("t2_stream_request_fold", REQUEST_FOLD)
+def t2s(spark, sf):
+    return streamed(spark, S.request_fold(V.run_events(spark, sf, V.event_stream(spark, sf))), ["item_uid"])
+
+
+@query("t5_stream_chunk_totals", "SELECT user_id AS item_uid, SUM(strlen(props))::BIGINT AS n_bytes, COUNT(*) AS n_chunks FROM events GROUP BY 1")
+def t5s(spark, sf):
+    return streamed(spark, S.chunk_totals(V.traffic(spark, sf, V.event_stream(spark, sf)).withColumnRenamed("body", "data")), ["item_uid"])
+
+
+@query("t6_live_counts", TRAFFIC + f"SELECT 'method' AS kind, {METHOD} AS name, COUNT(*) AS n FROM traffic GROUP BY 2 UNION ALL SELECT 'log', log_type, COUNT(*) FROM traffic GROUP BY 2")
+def t6(spark, sf):
+    return streamed(spark, S.live_counts(V.traffic(spark, sf, V.event_stream(spark, sf))), ["kind", "name"])

@@ -74,9 +74,16 @@ METHODS = {"view": "GET", "purchase": "POST", "signup": "put", "click": "delete"
 LOG_TYPES = {"view": "log", "purchase": "info", "signup": "debug", "click": "warn", "error": "error"}
 
 
-def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of events as a stream of its files, with timestamps as the watermark needs them."""
+    path = f"{sf_dir}/events.parquet"
+    # by a pattern, since a stream takes no path of a single file
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def traffic(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Recorded requests: one per event."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events") if events is None else events
     method = F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv])
     kind = F.create_map(*[F.lit(x) for kv in LOG_TYPES.items() for x in kv])
     return e.select(
@@ -94,9 +101,9 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENTS = {"signup": "request-queued", "view": "request-sent", "click": "response-received", "purchase": "assertion-results", "error": "error"}
 
 
-def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events of runs: a run per day, ten items, each queued again and again."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events") if events is None else events
     kinds = F.create_map(*[F.lit(x) for kv in EVENTS.items() for x in kv])
     return e.select(F.col("event_id").alias("seq"), "ts", F.to_date("ts").cast("string").alias("run_id"), (F.col("user_id") % 10).alias("item_uid"), (F.col("user_id") / 50).cast("long").alias("request_uid"), F.element_at(kinds, F.col("event_type")).alias("event_type"), F.col("value").alias("value"), F.col("props").alias("payload"))
 
