@@ -5,6 +5,8 @@ Items are an adjacency list (uid, parent_uid, type, name, seq, pos, tags, is_tra
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,23 +19,25 @@ REQUESTS = ["http-request", "graphql-request"]
 def closure(items: DataFrame) -> DataFrame:
     """(uid, ancestor_uid, up) for each item and each of its ancestors, itself at 0.
 
-    One self-join per level; it ends at the tree's own depth. A walk that comes back to its start is a cycle and an error.
+    By doubling: knowing all ancestors less than 2^k up and the one that is 2^k up, one join of the two gives those less than 2^(k+1) up. So a tree
+    of depth n takes log2(n) rounds. A walk that comes back to its start is a cycle and an error.
     """
-    links = items.select(F.col("uid").alias("_u"), F.col("parent_uid").alias("_p"))
-    step = items.select("uid", F.col("uid").alias("ancestor_uid"), F.lit(0).alias("up"), F.col("parent_uid").alias("next"))
-    out, level = step.drop("next"), 0
+    links = items.select("uid", F.col("parent_uid").alias("ancestor_uid")).join(items.select(F.col("uid").alias("ancestor_uid")), "ancestor_uid", "left_semi")
+    parts = [items.select("uid", F.col("uid").alias("ancestor_uid"), F.lit(0).alias("up"))]
+    leap, far = links.select("uid", "ancestor_uid"), 1
     while True:
-        level += 1
-        step = step.where("next is not null").join(links, F.col("next") == F.col("_u")).select("uid", F.col("_u").alias("ancestor_uid"), F.lit(level).alias("up"), F.col("_p").alias("next"))
-        if level > 3:
-            # walked once: later levels start from the kept rows
-            step = written(step, "closure")
-            back = step.agg(F.max(F.col("uid") == F.col("ancestor_uid"))).first()[0]
-            if back is None:
-                return out
-            if back:
-                raise ValueError(f"items form a cycle: a walk came back to its start after {level} steps")
-        out = out.unionByName(step.drop("next"))
+        known = reduce(DataFrame.unionByName, parts)
+        over = leap.select("uid", F.col("ancestor_uid").alias("via"))
+        parts.append(over.join(known.withColumnRenamed("uid", "via"), "via").select("uid", "ancestor_uid", (F.col("up") + far).alias("up")))
+        leap = over.join(leap.withColumnRenamed("uid", "via"), "via").select("uid", "ancestor_uid")
+        far *= 2
+        if far > 2:
+            # walked once: later rounds start from the kept rows
+            parts[-1], leap = written(parts[-1], "closure"), written(leap, "leap")
+            if not parts[-1].where("uid = ancestor_uid").isEmpty():
+                raise ValueError("items form a cycle: a walk came back to its start")
+            if leap.isEmpty():
+                return reduce(DataFrame.unionByName, parts)
 
 
 def levels(closed: DataFrame) -> DataFrame:
@@ -56,12 +60,26 @@ def runnable(items: DataFrame, closed: DataFrame, include: list[str], exclude: l
     return items.where(F.col("type").isin(REQUESTS)).join(below, "uid", "left_anti").where(tag_filter(F.col("tags"), include, exclude))
 
 
+# What is taken out of a script, in this order: line comments, block comments, strings in three kinds of quotes; and the
+# white space that may stand before a call's bracket.
+NO_CODE = (
+    r"//[^\n\r\u2028\u2029]*",
+    r"(?s)/\*.*?\*/",
+    *[rf"{q}[^{q}\\]*+(?:\\[^\n\r\u2028\u2029][^{q}\\]*+)*+{q}" for q in ('"', "'", "`")],
+)
+SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+
 def has_test_call(script: Column) -> Column:
-    """Whether a script calls ``test(`` outside comments and string literals, and not as a method."""
+    """Whether a script calls ``test(`` outside comments and string literals, and not behind a dot.
+
+    Line comments go first, so one that holds ``/*`` opens no block. Names that end in ``test`` count.
+    """
     code = F.coalesce(script, F.lit(""))
-    for pattern in (r"(?s)/\*.*?\*/", r"//[^\n]*", r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'", r"(?s)`(?:\\.|[^`\\])*`"):
-        code = F.regexp_replace(code, pattern, "")
-    return code.rlike(r"(^|[^.\w$])test\s*\(")
+    for pattern in NO_CODE:
+        quote = pattern[0] if pattern[0] in "\"'`" else ""
+        code = F.regexp_replace(code, pattern, quote * 2)
+    return code.rlike(rf"(?<!\.)test{SPACE}*\(")
 
 
 def has_checks(assertions_enabled: Column, script: Column) -> Column:

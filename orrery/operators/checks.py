@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 # The operators; the second list ignores what follows the operator.
 BINARY = ["eq", "neq", "gt", "gte", "lt", "lte", "in", "notIn", "contains", "notContains", "length", "matches", "notMatches", "startsWith", "endsWith", "between"]
 UNARY = ["isEmpty", "isNotEmpty", "isNull", "isUndefined", "isDefined", "isTruthy", "isFalsy", "isJson", "isNumber", "isString", "isBoolean", "isArray"]
@@ -20,13 +22,27 @@ def typed(type_: Column, text: Column) -> Column:
     return F.struct(type_.alias("type"), text.alias("text"))
 
 
+# The forms of a number; the second list has the base of each prefix.
+DECIMAL = r"^[+-]?(?:Infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)$"
+BASES = {r"^0[xX]0*([0-9a-fA-F]{1,15})$": 16, r"^0[oO]0*([0-7]{1,20})$": 8, r"^0[bB]0*([01]{1,60})$": 2}
+
+
+def plain_number(text: Column) -> Column:
+    """Decimal text of a number in any of its forms, null for other texts; no suffixes, no sign before a base."""
+    out = F.when(text.rlike(DECIMAL), text)
+    for pattern, base in BASES.items():
+        out = out.when(text.rlike(pattern), F.conv(F.regexp_extract(text, pattern, 1), base, 10))
+    return out
+
+
 def literal(text: Column) -> Column:
-    """Typed value of a literal: true, false, null, undefined, quoted text, a number within 2**53, else text."""
+    """Typed value of a literal: true, false, null, undefined, quoted text, a number up to 2**53 - 1, else text."""
     t = F.trim(text)
-    number = t.try_cast("double")
+    plain = plain_number(t)
+    number = plain.try_cast("double") <= SAFE_INTEGER
     quoted = t.rlike(r"""(?s)^(".*"|'.*')$""") & (F.length(t) > 1)
-    kind = F.when(text.isNull(), "undefined").when(t == "", "string").when(t.isin("true", "false"), "boolean").when(t.isin("null", "undefined"), t).when(quoted, "string").when(number.isNotNull() & ~F.isnan(number) & (number <= SAFE_INTEGER), "number").otherwise("string")
-    return typed(kind, F.when(quoted, F.substring(t, F.lit(2), F.length(t) - 2)).when(t.isin("null", "undefined"), F.lit(None)).otherwise(t))
+    kind = F.when(text.isNull(), "undefined").when(t == "", "string").when(t.isin("true", "false"), "boolean").when(t.isin("null", "undefined"), t).when(quoted, "string").when(number, "number").otherwise("string")
+    return typed(kind, F.when(quoted, F.substring(t, F.lit(2), F.length(t) - 2)).when(t.isin("null", "undefined"), F.lit(None)).when(number, plain).otherwise(t))
 
 
 def of_json(text: Column) -> Column:
@@ -51,20 +67,33 @@ def same(a: Column, b: Column) -> Column:
     return (a["type"] == b["type"]) & ~a["type"].isin("array", "object") & value
 
 
-def holds(lhs: Column, operator: Column, operand: Column, rhs: Column | None = None) -> Column:
-    """Whether a check passes. Wrong types fail, also for most negations. ``rhs``: the operand's literal, if a column holds it."""
-    kind, text = lhs["type"], lhs["text"]
-    rhs = literal(operand) if rhs is None else rhs
-    a, b = text.try_cast("double"), rhs["text"].try_cast("double")
+def parsed(expression: Column) -> Column:
+    """An expression as operator, operand and what the operators read of it: literal, its number, list, bounds and pattern."""
+    op = split_operator(expression)
+    operand = op["operand"]
+    rhs = literal(operand)
+    return F.struct(
+        op["operator"].alias("operator"),
+        operand.alias("operand"),
+        rhs.alias("rhs"),
+        F.when(rhs["type"] == "number", rhs["text"].try_cast("double")).alias("number"),
+        F.when(op["operator"].isin("in", "notIn"), F.transform(F.split(F.regexp_replace(operand, r"[\[\]]", ""), ","), lambda x: literal(F.trim(x)))).alias("members"),
+        F.when(op["operator"] == "between", F.transform(F.split(operand, ","), lambda x: plain_number(F.trim(x)).try_cast("double"))).alias("bounds"),
+        F.regexp_replace(operand, "^/|/$", "").alias("pattern"),
+    )
+
+
+def holds(lhs: Column, check: Column) -> Column:
+    """Whether a check passes, given as a column of ``parsed``. Wrong types fail, also for most negations."""
+    kind, text, rhs, operator = lhs["type"], lhs["text"], check["rhs"], check["operator"]
+    a, b = text.try_cast("double"), check["number"]
     numbers = (kind == "number") & (rhs["type"] == "number")
-    members = F.transform(F.split(F.regexp_replace(operand, r"[\[\]]", ""), ","), lambda x: literal(F.trim(x)))
-    bounds = F.transform(F.split(operand, ","), lambda x: F.trim(x).try_cast("double"))
-    listed = F.exists(members, lambda m: same(lhs, m))
+    bounds, pattern = check["bounds"], check["pattern"]
+    listed = F.exists(check["members"], lambda m: same(lhs, m))
     elements = F.from_json(text, "array<string>")
     inside = F.when(kind == "string", F.contains(text, F.coalesce(rhs["text"], F.lit("")))).when(kind == "array", F.array_contains(elements, rhs["text"]))
     holder = kind.isin("string", "array", "object")
     length = F.when(kind == "string", F.length(text)).when(kind == "array", F.json_array_length(text)).when(kind == "object", F.size(F.json_object_keys(text)))
-    pattern = F.regexp_replace(operand, "^/|/$", "")
     shown = F.coalesce(text, kind)
     tests = {
         "eq": same(lhs, rhs),
@@ -104,13 +133,17 @@ def holds(lhs: Column, operator: Column, operand: Column, rhs: Column | None = N
 
 
 def evaluate(checks: DataFrame) -> DataFrame:
-    """Checks (…, lhs_json, expression, enabled) with operator, operand, status and error; disabled ones are left out."""
-    parsed = checks.where("enabled").withColumn("_op", split_operator(F.col("expression"))).withColumn("_lhs", of_json(F.col("lhs_json")))
-    # a column of its own: the tests name it often, and would repeat its code
-    parsed = parsed.withColumn("_rhs", literal(F.col("_op.operand")))
-    passed = holds(F.col("_lhs"), F.col("_op.operator"), F.col("_op.operand"), F.col("_rhs"))
-    out = parsed.withColumns({"operator": F.col("_op.operator"), "operand": F.col("_op.operand"), "status": F.when(passed, "pass").otherwise("fail")})
-    return out.withColumn("error", F.when(F.col("status") == "fail", F.concat_ws(" ", F.lit("expected"), F.coalesce("_lhs.text", "_lhs.type"), "operator", "operand"))).drop("_op", "_lhs", "_rhs")
+    """Checks (…, lhs_json, expression, enabled) with operator, operand, status and error; disabled ones are left out.
+
+    A dictionary of the distinct expressions holds them parsed, once each; rows meet it by their expression and carry typed operands only.
+    """
+    enabled = checks.where("enabled")
+    dictionary = written(enabled.select("expression").distinct().withColumn("_check", parsed(F.col("expression"))), "expressions")
+    met = enabled.join(dictionary.withColumnRenamed("expression", "_expression"), F.col("expression").eqNullSafe(F.col("_expression"))).drop("_expression")
+    met = met.withColumn("_lhs", of_json(F.col("lhs_json")))
+    passed = holds(F.col("_lhs"), F.col("_check"))
+    out = met.withColumns({"operator": F.col("_check.operator"), "operand": F.col("_check.operand"), "status": F.when(passed, "pass").otherwise("fail")})
+    return out.withColumn("error", F.when(F.col("status") == "fail", F.concat_ws(" ", F.lit("expected"), F.coalesce("_lhs.text", "_lhs.type"), "operator", "operand"))).drop("_check", "_lhs")
 
 
 def named(description: str, test: Column) -> Column:

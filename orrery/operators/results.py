@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.payload import fixed
 from ..plans.views import CHECK, GROUPS
@@ -176,10 +177,32 @@ def report_suites(results: DataFrame) -> DataFrame:
     )
 
 
-def write_report(results: DataFrame, path: str) -> None:
-    """JSON report partitioned by run: summaries beside results."""
-    run_summary(results, "run_id").write.partitionBy("run_id").json(f"{path}/summary")
-    results.write.partitionBy("run_id").json(f"{path}/results")
+ROWS_A_FILE = 100_000
+
+
+def write_report(results: DataFrame, path: str, rows_a_file: int = ROWS_A_FILE) -> None:
+    """JSON report of many runs: summaries and results in files of at most ``rows_a_file`` rows, sorted by run, and a manifest.
+
+    The manifest has a row (part, run_id, file, rows) for each run in each file. A run of any size is cut over files, and small ones share them.
+    """
+    spark = results.sparkSession
+    summary = run_summary(results, "run_id")
+    for part, rows, order in (("summary", summary, ["run_id"]), ("results", results, ["run_id", "seq"])):
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", rows_a_file).json(f"{path}/{part}")
+    schema = T.StructType([results.schema["run_id"]])
+    listed = [spark.read.schema(schema).json(f"{path}/{part}").groupBy(F.lit(part).alias("part"), "run_id", F.input_file_name().alias("file")).agg(F.count("*").alias("rows")) for part in ("summary", "results")]
+    listed[0].unionByName(listed[1]).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def read_report(spark: SparkSession, path: str, part: str, schema: T.StructType, runs: list | None = None) -> DataFrame:
+    """Rows of one part of a report, of some runs if they are given: then only the files that the manifest names for them are read."""
+    if runs is None:
+        return spark.read.schema(schema).json(f"{path}/{part}")
+    named = spark.read.parquet(f"{path}/manifest").where((F.col("part") == part) & F.col("run_id").isin(runs)).select("file").distinct()
+    files = [r["file"] for r in named.toLocalIterator()]
+    if not files:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(files).where(F.col("run_id").isin(runs))
 
 
 def write_xml_report(results: DataFrame, path: str) -> None:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 # Ranking of match types and of item types.
 MATCH_ORDER = ["collection", "folder", "request", "url", "path"]
 TYPE_ORDER = ["collection", "folder", "request"]
-MOST_QUERIES = 10_000
+FIELDS = ["name", "url", "path"]
+GRAM = 3
 
 
 def normalized(query: Column) -> Column:
@@ -29,27 +31,46 @@ def terms_of(query: Column) -> Column:
     return F.filter(F.split(F.lower(normalized(query)), r"[\s/]+"), lambda t: t != "")
 
 
+def grams(text: Column, size: int | Column) -> Column:
+    """Distinct stretches of ``size`` characters of a text."""
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))).otherwise(F.array().cast("array<string>"))
+
+
+def _match(lower: dict[str, Column], terms: Column, kind: Column, by_path: Column) -> Column:
+    has = lambda c: F.forall(terms, lambda t: F.contains(lower[c], t))
+    return F.when(has("name"), kind).when((kind == "request") & has("url"), "url").when((kind != "collection") & by_path & has("path"), "path")
+
+
+def postings(items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gram, field, uid) of the ``wanted`` grams (gram, size) in the lower-case fields of the items: an inverted index, written."""
+    sizes = [r["size"] for r in wanted.select("size").distinct().collect()]  # of 1, 2, 3
+    fields = [F.struct(F.lit(c).alias("field"), F.lower(F.coalesce(c, F.lit(""))).alias("text")) for c in FIELDS]
+    texts = items.select("uid", F.explode(F.array(*fields)).alias("f")).select("uid", "f.field", "f.text")
+    none = F.array().cast("array<string>")
+    held = texts.select("uid", "field", F.explode(F.concat(none, *[grams(F.col("text"), n) for n in sizes])).alias("gram"))
+    return written(held.join(wanted.select("gram"), "gram", "left_semi"), "postings")
+
+
 def search(items: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, uid, type, name, match_type) of every item that holds all terms of a query in its name, URL or full path.
 
-    ``items``: uid, type, name, url, path. The query table is the small, stated side of this theta join: queries are counted, sent to
-    all rows in blocks of about ``MOST_QUERIES``, and no two items are ever paired. Paths count only for queries with a slash.
+    ``items``: uid, type, name, url, path. By an inverted index of trigrams: a field that holds all terms holds all their trigrams, so a query
+    meets only the postings of the rarest of them, and each item found is then compared with the terms themselves. A query whose terms all
+    have one or two letters takes grams of that length. Paths count only for queries with a slash.
     """
-    asked = queries.where(valid(F.col("query"))).select("query_id", terms_of(F.col("query")).alias("terms"), F.contains(normalized(F.col("query")), F.lit("/")).alias("by_path"))
-    lower = items.select("uid", "type", "name", *[F.lower(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in ("name", "url", "path")])
-    has = lambda c: F.forall("terms", lambda t: F.contains(F.col(c), t))
+    asked = queries.where(valid(F.col("query"))).select("query_id", terms_of(F.col("query")).alias("terms"), F.contains(normalized(F.col("query")), F.lit("/")).alias("by_path")).where(F.size("terms") > 0)
+    longest = F.array_max(F.transform("terms", lambda t: F.length(t)))
+    asked = written(asked.withColumn("size", F.least(F.lit(GRAM), longest)), "asked")
+    parts = asked.select("query_id", "by_path", "size", F.explode(F.flatten(F.transform("terms", lambda t: grams(t, F.col("size"))))).alias("gram")).distinct()
+    index = postings(items, parts.select("gram", "size").distinct())
+    often = parts.join(index.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").fillna(0, ["n"])
+    rarest = often.groupBy("query_id", "by_path").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    near = rarest.join(index, "gram").where((F.col("field") != "path") | F.col("by_path")).select("query_id", "uid").distinct()
     kind = F.when(F.col("type").isin("collection", "folder"), F.col("type")).otherwise("request")
-    match = F.when(has("_name"), kind).when((kind == "request") & has("_url"), "url").when((kind != "collection") & F.col("by_path") & has("_path"), "path")
-    lot = asked.count()
-    blocks = -(-lot // MOST_QUERIES)
-    if blocks > 1:
-        # too many for one broadcast: one block of queries after the other, each by a hash of its ids
-        asked = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        sent = [F.broadcast(asked.where(F.col("_b") == b).drop("_b")) for b in range(blocks)]
-    else:
-        sent = [F.broadcast(asked)]
-    met = reduce(DataFrame.unionByName, [lower.join(part, F.size("terms") > 0) for part in sent])
-    return met.withColumn("match_type", match).where("match_type is not null").select("query_id", "uid", kind.alias("type"), "name", "match_type")
+    lower = {c: F.lower(F.coalesce(c, F.lit(""))) for c in FIELDS}
+    met = near.join(items, "uid").join(asked.drop("size"), "query_id")
+    return met.withColumn("match_type", _match(lower, F.col("terms"), kind, F.col("by_path"))).where("match_type is not null").select("query_id", "uid", kind.alias("type"), "name", "match_type")
 
 
 def ranked(found: DataFrame, top: int) -> DataFrame:
@@ -61,101 +82,78 @@ def ranked(found: DataFrame, top: int) -> DataFrame:
 
 # Separators, each a token of its own; words are what stands between them.
 WORDS = re.compile(r"[\s/?&=.\-_:@]|[^\s/?&=.\-_:@]+")
-MOST_TOKENS = 4000
-LEAF = 1 << 16
-
 
 def segments(old: list[str], new: list[str]) -> list[tuple[str, str]]:
-    """Runs of unchanged, deleted and added tokens by a longest common subsequence; equal ends are set aside first."""
+    """Runs of unchanged, deleted and added tokens by a longest common subsequence; equal ends are set aside first.
+
+    One rule at any length: equal tokens are kept, else the old one is deleted if what follows it has as much in common, else the new one added.
+    """
     start = 0
     while start < min(len(old), len(new)) and old[start] == new[start]:
         start += 1
     stop = 0
     while stop < min(len(old), len(new)) - start and old[-1 - stop] == new[-1 - stop]:
         stop += 1
-    a, b = old[start : len(old) - stop], new[start : len(new) - stop]
-    tail = old[len(old) - stop :]
-    # beyond the table's bound the same in linear memory
-    middle = _common(a, b) if len(a) * len(b) <= MOST_TOKENS**2 else _in_order(_halved(a, b))
-    out: list[list[str]] = []
-    for status, token in [("unchanged", x) for x in old[:start]] + middle + [("unchanged", x) for x in tail]:
+    middle = _common(old[start : len(old) - stop], new[start : len(new) - stop])
+    out: list[list] = []
+    for status, token in [("unchanged", x) for x in old[:start]] + middle + [("unchanged", x) for x in old[len(old) - stop :]]:
         if out and out[-1][0] == status:
-            out[-1][1] += token
+            out[-1][1].append(token)
         else:
-            out.append([status, token])
-    return [(text, status) for status, text in out]
+            out.append([status, [token]])
+    return [("".join(tokens), status) for status, tokens in out]
+
+
+def _below(row: int, places: dict[str, int], token: str, full: int) -> int:
+    """The table's row for one more token in front: bits of a number, unset where a longer rest of the other text has one more in common."""
+    hit = row & places.get(token, 0)
+    return ((row + hit) | (row - hit)) & full
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    longest = [[0] * (len(b) + 1)]
-    for x in reversed(a):
-        below, row = longest[-1], [0] * (len(b) + 1)
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x == b[j] else max(below[j], row[j + 1])
-        longest.append(row)
-    longest.reverse()
+    """The walk through the table of common lengths of all rests of ``a`` and ``b``.
+
+    A row of the table is a number of as many bits as ``b`` has tokens. Every s-th row is kept, s being the root of the number of rows, and the
+    rows between are made again when the walk comes there, so memory is 2 s rows: some 8 MB for two texts of 100,000 tokens.
+    """
+    n, m = len(a), len(b)
+    full, step = (1 << m) - 1, max(1, int(n**0.5))
+    places: dict[str, int] = {}
+    for j, x in enumerate(reversed(b)):  # bit k stands for the token with k behind it
+        places[x] = places.get(x, 0) | 1 << j
+    row, kept = full, {n: full}
+    for i in range(n - 1, -1, -1):
+        row = _below(row, places, a[i], full)
+        if i % step == 0:
+            kept[i] = row
+    near: dict[int, int] = {}
+    out: list[tuple[str, str]] = []
     i = j = 0
-    out = []
-    while i < len(a) and j < len(b):
+    while i < n and j < m:
+        if i not in near or i + 1 not in near:
+            last = min(n, (i // step + 1) * step)
+            near = {last: kept[last]}
+            for k in range(last - 1, i - 1, -1):
+                near[k] = _below(near[k + 1], places, a[k], full)
+        # what the rests have in common with and without a's next token
+        rest = (1 << (m - j)) - 1
+        here, without = ((m - j) - (near[k] & rest).bit_count() for k in (i, i + 1))
+        while j < m and a[i] != b[j] and here != without:
+            bit = m - 1 - j
+            here, without = here - (1 - (near[i] >> bit & 1)), without - (1 - (near[i + 1] >> bit & 1))
+            out.append(("added", b[j]))
+            j += 1
+        if j == m:
+            break
         if a[i] == b[j]:
             out.append(("unchanged", a[i]))
-            i, j = i + 1, j + 1
-        elif longest[i + 1][j] >= longest[i][j + 1]:
-            out.append(("deleted", a[i]))
-            i += 1
-        else:
-            out.append(("added", b[j]))
             j += 1
+        else:
+            out.append(("deleted", a[i]))
+        i += 1
     return out + [("deleted", x) for x in a[i:]] + [("added", x) for x in b[j:]]
 
 
-def _lengths(a: list[str], b: list[str]) -> list[int]:
-    """Length of the longest common subsequence of ``a`` and each prefix of ``b``: a row of the table, kept as bits of a number."""
-    places: dict[str, int] = {}
-    for j, x in enumerate(b):
-        places[x] = places.get(x, 0) | 1 << j
-    full = row = (1 << len(b)) - 1
-    for x in a:
-        hit = row & places.get(x, 0)
-        row = ((row + hit) | (row - hit)) & full
-    out = [0]
-    for bit in reversed(f"{row:0{len(b)}b}"):
-        out.append(out[-1] + (bit == "0"))
-    return out
-
-
-def _halved(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """As ``_common``, by halving ``a`` and cutting ``b`` where the two parts have most in common (Hirschberg)."""
-    if len(a) < 2 or len(b) < 2:
-        a, b, swapped = (b, a, True) if len(a) >= 2 else (a, b, False)
-        one, many = ("added", "deleted") if swapped else ("deleted", "added")
-        at = b.index(a[0]) if a and a[0] in b else None
-        if at is None:
-            return [(one, x) for x in a] + [(many, x) for x in b]
-        return [(many, x) for x in b[:at]] + [("unchanged", a[0])] + [(many, x) for x in b[at + 1 :]]
-    if len(a) * len(b) <= LEAF:
-        return _common(a, b)
-    half = len(a) // 2
-    left, right = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])
-    cut = max(range(len(b) + 1), key=lambda j: left[j] + right[len(b) - j])
-    return _halved(a[:half], b[:cut]) + _halved(a[half:], b[cut:])
-
-
-def _in_order(parts: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Between unchanged tokens, deleted ones before added ones."""
-    out: list[tuple[str, str]] = []
-    waiting: list[tuple[str, str]] = []
-    for status, token in parts:
-        if status == "added":
-            waiting.append((status, token))
-            continue
-        if status == "unchanged":
-            out += waiting
-            waiting = []
-        out.append((status, token))
-    return out + waiting
-
-
 def text_diff(old: Column, new: Column, lines: bool = False) -> Column:
     """Array of (text, status) between two texts, by words or lines. Equal texts skip the helper's table."""
     cut = (lambda t: t.splitlines(keepends=True)) if lines else WORDS.findall

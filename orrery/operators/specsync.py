@@ -34,21 +34,53 @@ def head_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return pair.select(F.col("a.spec_id").alias("spec_id"), *[(~clean(F.col(f"a.{c}")).eqNullSafe(clean(F.col(f"b.{c}")))).alias(f"{c}_changed") for c in ("title", "version", "description")])
 
 
+# What is compared of an API key and of OAuth2, beyond the first list by type of grant.
+API_KEY = ["key", "placement"]
+OAUTH2 = ["grantType", "scope"]
+GRANTS = {"authorization_code": ["authorizationUrl", "accessTokenUrl"], "implicit": ["authorizationUrl"], "password": ["accessTokenUrl"], "client_credentials": ["accessTokenUrl"]}
+FORMS = ["formUrlEncoded", "multipartForm"]
+
+
 def drift(spec: DataFrame, catalog: DataFrame) -> DataFrame:
     """inSync, modified, localOnly or missing for each endpoint of the catalog or the spec, with a text of the changes.
 
-    Compared: parameters (name:type), header names, body mode and, if both bodies are JSON, their key structure.
+    Compared, repeated ones among them: parameters (name:type), header names, body mode, auth mode; if both have the same auth mode, the
+    fields that count for an API key or for the type of grant; if both have the same form, its fields (``form``: names, or name:type for a
+    multipart form); if both bodies are JSON, whether there is one and their key structure. JSON that can't be read is not compared.
+
+    The columns ``auth_mode``, ``auth`` (a map) and ``form`` may be absent; a missing mode is ``none``.
     """
-    side = lambda df, p: df.select(*KEY, F.lit(True).alias(f"{p}_there"), *[F.col(c).alias(f"{p}_{c}") for c in ("params", "headers", "body_mode")], structure_keys(F.col("json_body")).alias(f"{p}_keys"))
+    optional = {"auth_mode": "string", "auth": "map<string,string>", "form": "array<string>"}
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        df = df.withColumns({c: F.lit(None).cast(kind) for c, kind in optional.items() if c not in df.columns})
+        mode = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("none")).alias(f"{p}_{c}")
+        rows = lambda c: F.array_sort(F.coalesce(F.col(c), F.array().cast("array<string>"))).alias(f"{p}_{c}")
+        body = F.nullif(F.col("json_body"), F.lit(""))
+        # JSON of null counts as none
+        return df.select(*KEY, F.lit(True).alias(f"{p}_there"), *map(rows, ("params", "headers", "form")), *map(mode, ("body_mode", "auth_mode")), F.col("auth").alias(f"{p}_auth"), (body.isNull() | (F.trim(body) == "null")).alias(f"{p}_empty"), structure_keys(body).alias(f"{p}_keys"))
+
     joined = side(spec, "s").join(side(catalog, "c"), KEY, "full_outer")
-    same = lambda c: F.array_sort(f"s_{c}") == F.array_sort(f"c_{c}")
-    size = lambda sign, a, b, what: F.when(F.size(not_in(F.col(a), F.col(b))) > 0, F.concat(F.lit(sign), F.size(not_in(F.col(a), F.col(b))).cast("string"), F.lit(f" {what}")))
-    lists = [size(sign, a, b, what) for what in ("params", "headers") for sign, a, b in (("+", f"c_{what}", f"s_{what}"), ("-", f"s_{what}", f"c_{what}"))]
-    mode = F.when(~F.col("s_body_mode").eqNullSafe(F.col("c_body_mode")), F.concat(F.lit("body: "), F.col("c_body_mode")))
-    schema = F.when((F.col("s_body_mode") == "json") & (F.col("c_body_mode") == "json") & ~same("keys"), "body schema")
-    both = F.col("s_there") & F.col("c_there")
-    text = F.when(both, F.concat_ws(", ", *lists, mode, schema))
-    status = F.when(F.col("c_there").isNull(), "missing").when(F.col("s_there").isNull(), "localOnly").when(text == "", "inSync").otherwise("modified")
+    both = lambda c: (F.col(f"s_{c}"), F.col(f"c_{c}"))
+    differ = lambda c: both(c)[0] != both(c)[1]
+    same = lambda c, *values: (both(c)[0] == both(c)[1]) & both(c)[0].isin(*values)
+    field = lambda names: F.lit(False) if not names else ~F.col("s_auth")[names[0]].eqNullSafe(F.col("c_auth")[names[0]]) | field(names[1:])
+    grant = F.coalesce(F.nullif(F.col("s_auth")["grantType"], F.lit("")), F.col("c_auth")["grantType"])
+    by_grant = F.lit(False)
+    for name, fields in GRANTS.items():
+        by_grant = by_grant | (grant.eqNullSafe(F.lit(name)) & field(fields))
+    config = (same("auth_mode", "apikey") & field(API_KEY)) | (same("auth_mode", "oauth2") & (field(OAUTH2) | by_grant))
+    forms = same("body_mode", *FORMS) & differ("form")
+    empty = both("empty")
+    readable = F.col("s_keys").isNotNull() & F.col("c_keys").isNotNull()
+    schema = same("body_mode", "json") & F.when(empty[0] & empty[1], False).when(empty[0] | empty[1], F.coalesce("s_keys", "c_keys").isNotNull()).otherwise(readable & (F.array_sort("s_keys") != F.array_sort("c_keys")))
+    count = lambda sign, a, b, what: F.when(F.size(not_in(F.col(a), F.col(b))) > 0, F.concat(F.lit(sign), F.size(not_in(F.col(a), F.col(b))).cast("string"), F.lit(f" {what}")))
+    lists = {c: [count("+", f"c_{c}", f"s_{c}", what), count("-", f"s_{c}", f"c_{c}", what)] for c, what in (("params", "params"), ("headers", "headers"), ("form", "form fields"))}
+    texts = [*lists["params"], *lists["headers"], *[F.when(differ(c), F.concat(F.lit(f"{what}: "), F.col(f"c_{c}"))) for c, what in (("body_mode", "body"), ("auth_mode", "auth"))], F.when(config, "auth config"), *[F.when(forms, x) for x in lists["form"]], F.when(schema, "body schema")]
+    changed = differ("params") | differ("headers") | differ("body_mode") | differ("auth_mode") | config | forms | F.coalesce(schema, F.lit(False))
+    there = F.col("s_there") & F.col("c_there")
+    text = F.when(there, F.concat_ws(", ", *texts))
+    status = F.when(F.col("c_there").isNull(), "missing").when(F.col("s_there").isNull(), "localOnly").when(changed, "modified").otherwise("inSync")
     return joined.select(*KEY, status.alias("drift"), F.when(text != "", text).alias("changes"))
 
 

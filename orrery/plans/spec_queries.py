@@ -55,6 +55,35 @@ def c3(spark, sf):
     return drifts(spark, sf)[0]
 
 
+@query("c3_auth_and_form_drift", """WITH p AS (SELECT p_partkey AS n, 'spec' || (p_size % 3) AS spec_id, 'GET:/' || p_partkey AS endpoint_id, p_partkey % 4 AS m, (p_partkey // 4) % 4 AS g, p_partkey % 3 AS b FROM part),
+told AS (SELECT *, CONCAT_WS(', ',
+  CASE WHEN n % 11 = 0 AND m <> 3 THEN 'auth: basic' END,
+  CASE WHEN n % 11 > 0 AND ((m = 1 AND n % 5 = 0) OR (m = 2 AND ((g <= 1 AND n % 9 = 0) OR (g <> 1 AND n % 7 = 0)))) THEN 'auth config' END,
+  CASE WHEN b > 0 AND n % 5 = 1 THEN '+1 form fields, -1 form fields' END,
+  CASE WHEN b = 0 AND n % 8 = 1 THEN 'body schema' END) AS changes FROM p)
+SELECT spec_id, endpoint_id, CASE WHEN changes = '' THEN 'inSync' ELSE 'modified' END AS drift, NULLIF(changes, '') AS changes FROM told""")
+def c3b(spark, sf):
+    p, n = V.table(spark, sf, "part"), F.col("p_partkey")
+    pick = lambda at, *names: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    words, bodies = [F.col("p_brand"), F.col("p_type")], pick(n % 3, "json", "formUrlEncoded", "multipartForm")
+    kind = F.when(n % 3 == 2, ":text").otherwise("")
+
+    def side(mode, moved, field, body):
+        auth = F.create_map(*[F.lit(x) if isinstance(x, str) else x for pair in {
+            "key": F.col("p_brand"), "placement": F.when(moved & (n % 5 == 0), "query").otherwise("header"), "grantType": pick(F.floor(n / 4) % 4, "authorization_code", "implicit", "password", "client_credentials"), "scope": F.lit("read"),
+            "authorizationUrl": F.when(moved & (n % 9 == 0), "https://b").otherwise("https://a"), "accessTokenUrl": F.when(moved & (n % 7 == 0), "https://u").otherwise("https://t"),
+        }.items() for x in pair])
+        none = F.array().cast("array<string>")
+        return p.select(
+            F.concat(F.lit("spec"), (F.col("p_size") % 3).cast("string")).alias("spec_id"), F.concat(F.lit("GET:/"), n.cast("string")).alias("endpoint_id"), none.alias("params"), none.alias("headers"), bodies.alias("body_mode"),
+            mode.alias("auth_mode"), auth.alias("auth"), F.array(F.concat(words[0], kind), F.concat(field, kind)).alias("form"), body.alias("json_body"),
+        )
+
+    mode = pick(n % 4, "none", "apikey", "oauth2", "basic")
+    spec = side(mode, F.lit(False), words[1], F.lit('{"a":1}'))
+    return S.drift(spec, side(F.when(n % 11 == 0, "basic").otherwise(mode), F.lit(True), F.when(n % 5 == 1, "extra").otherwise(words[1]), F.when(n % 8 != 1, '{"a":2}')))
+
+
 @query("c4_three_way", DRIFTS + """SELECT d.spec_id, d.endpoint_id,
   CASE WHEN d.drift = 'missing' THEN 'spec-added' WHEN d.drift = 'localOnly' THEN 'spec-removed' WHEN l.drift = 'modified' AND COALESCE(f.change, '') <> 'modified' THEN 'local-updated' ELSE 'spec-updated' END AS action,
   d.drift = 'modified' AND COALESCE(f.change, '') = 'modified' AND COALESCE(l.drift, '') = 'modified' AS conflict

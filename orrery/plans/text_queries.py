@@ -110,6 +110,16 @@ def b9(spark, sf):
     return V.table(spark, sf, "part").select("p_partkey", value["type"].alias("type"), value["text"].alias("text"))
 
 
+@query("b9_number_forms", """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 1 THEN 'string' WHEN 4 THEN 'string' WHEN 6 THEN 'string' ELSE 'number' END AS type,
+  CASE o_orderkey % 7 WHEN 0 THEN o_totalprice::DECIMAL(18, 2)::VARCHAR WHEN 1 THEN o_orderkey || 'd' WHEN 2 THEN o_custkey::VARCHAR WHEN 3 THEN o_custkey::VARCHAR WHEN 4 THEN '-0x' || o_orderkey WHEN 5 THEN o_custkey::VARCHAR ELSE o_orderkey || 'f' END AS text FROM orders""")
+def b9b(spark, sf):
+    o, n = V.table(spark, sf, "orders"), F.col("o_custkey")
+    key = F.col("o_orderkey").cast("string")
+    forms = [F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.concat(key, F.lit("d")), F.concat(F.lit("0x"), F.hex(n)), F.concat(F.lit(" 0b"), F.bin(n)), F.concat(F.lit("-0x"), key), F.concat(F.lit("0o"), F.conv(n.cast("string"), 10, 8)), F.concat(key, F.lit("f"))]
+    value = K.literal(F.element_at(F.array(*forms), (F.col("o_orderkey") % 7 + 1).cast("int")))
+    return o.select("o_orderkey", value["type"].alias("type"), value["text"].alias("text"))
+
+
 @query("e12_post_response_variables", "SELECT user_id AS item_uid, 'v' || (event_id % 3) AS name, ARG_MAX(json_extract_string(props, '$.k'), event_id) AS value FROM events WHERE event_type <> 'error' GROUP BY 1, 2")
 def e12(spark, sf):
     e = V.table(spark, sf, "events")

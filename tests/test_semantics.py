@@ -1,11 +1,14 @@
 """Literal cases of the jobs' rules."""
 
+import itertools
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.catalogue import QUERIES
 from orrery.functions import json_lists as L
 from orrery.functions import json_walk as J
 from orrery.functions import payload as P
@@ -15,7 +18,9 @@ from orrery.operators import checks as K
 from orrery.operators import cookies as CK
 from orrery.operators import results as R
 from orrery.operators import search as S
+from orrery.operators import specsync as SY
 from orrery.operators import templating as T
+from orrery.plans import views as V
 from orrery.plans.views import CHECK
 from orrery.sources import catalogs as A
 
@@ -123,6 +128,22 @@ def test_report_cases(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/json/summary").count() == 1 and spark.read.json(f"file://{tmp_path}/json/results").count() == 3
 
 
+def test_report_of_many_runs_in_few_files(spark, tmp_path):
+    df = V.run_results(spark, "/root/testdata/sf0.001")
+    path = f"file://{tmp_path}/many"
+    R.write_report(df, path, rows_a_file=200)
+    runs = df.groupBy("run_id").count().collect()
+    files = [p for p in (tmp_path / "many" / "results").glob("part-*")]
+    assert len(files) < len(runs) / 2 and max(len(p.read_text().splitlines()) for p in files) <= 200
+    manifest = spark.read.parquet(f"{path}/manifest").where("part = 'results'").groupBy("run_id").agg(F.sum("rows").alias("count")).collect()
+    assert sorted(map(tuple, manifest)) == sorted(map(tuple, runs))
+    some = sorted(r["run_id"] for r in runs)[:2]
+    one = R.read_report(spark, path, "results", df.schema, some)
+    assert 0 < len(one.inputFiles()) < len(files)
+    assert sorted(one.collect(), key=lambda r: r["seq"]) == sorted(df.where(F.col("run_id").isin(some)).collect(), key=lambda r: r["seq"])
+    assert R.read_report(spark, path, "results", df.schema, [-5]).count() == 0
+
+
 def test_interpolation(spark):
     variables = spark.createDataFrame([(1, "a", "A"), (1, "a.b", "dotted"), (1, "o", '{"b":"x","l":[{"k":7}],"k":"v"}'), (1, "n", "<{{a}}{{m}}>"), (1, "m", "({{n}})"), (2, "a", "other"), (1, "name", "N")], "scope_uid int, name string, value string")
     texts = ["{{a}}-{{a.b}}-{{o.b}}", "{{o.l[0].k}} {{o['k']}}", "{{ name }} {{missing}} {{name}}", "{{n}}", "plain", "", "{{o}}"]
@@ -228,7 +249,7 @@ def test_tags_and_scripts(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     tags = F.array(F.lit("a"), F.lit("b"))
     assert [one(C.tag_filter(t, i, e)) for t, i, e in ((tags, [], []), (tags, ["a"], []), (tags, ["z"], []), (tags, ["a"], ["b"]), (F.lit(None).cast("array<string>"), ["a"], []), (F.lit(None).cast("array<string>"), [], ["a"]))] == [True, True, False, False, False, True]
-    assert [one(C.has_test_call(F.lit(s))) for s in ("test('a')", "// test(1)", "x.test(1)", "'test(1)'", "a; test (1)", "mytest(1)", "/* test( */")] == [True, False, False, False, True, False, False]
+    assert [one(C.has_test_call(F.lit(s))) for s in ("test('a')", "// test(1)", "x.test(1)", "'test(1)'", "a; test (1)", "mytest(1)", "/* test( */", "// /*\ntest(1) // */", "/* // */ test(1)", "a.test(1); b.my_test\u00a0(2)", "'it\\'s test(1)'", "`a\n${test(1)}`", "x = 'a\\\\'; test(1)", "'" + "\\'" * 9000 + "' test (1)")] == [True, False, False, False, True, True, False, True, False, True, False, False, True, True]
 
 
 def test_cookies_for_urls(spark):
@@ -261,12 +282,28 @@ def test_words_and_shortest_differences():
         assert "".join(t for t, s in got if s != "added") == "".join(a) and "".join(t for t, s in got if s != "deleted") == "".join(b)
 
 
-def test_search_in_blocks_of_queries(spark, monkeypatch):
-    items = spark.createDataFrame([(f"u{i}", "http-request", f"n{i % 7}", None, None) for i in range(30)], "uid string, type string, name string, url string, path string")
-    asked = spark.createDataFrame([(i, f"n{i}") for i in range(7)], "query_id int, query string")
-    whole = sorted(map(tuple, S.search(items, asked).collect()))
-    monkeypatch.setattr(S, "MOST_QUERIES", 2)
-    assert sorted(map(tuple, S.search(items, asked).collect())) == whole and len(whole) == 30
+def test_search_equals_trying_every_pair(spark):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcé/ X") for _ in range(draw.randrange(9)))
+    items = [(f"u{i}", draw.choice(["collection", "folder", "http-request", "js"]), draw.choice([None, word(), word()]), draw.choice([None, word()]), draw.choice([None, word()])) for i in range(120)]
+    asked = [(i, draw.choice([word(), word(), "a", "é", "b/", "ab", "/", "", "?", "xab a", "a/b c", None])) for i in range(60)]
+    rows, queries = spark.createDataFrame(items, "uid string, type string, name string, url string, path string"), spark.createDataFrame(asked, "query_id int, query string")
+    found = S.search(rows, queries)
+    want = set()
+    for q, text in asked:
+        text = re.sub("/+", "/", (text or "").strip(" "))
+        terms = [t for t in re.split(r"[\s/]+", text.lower()) if t]
+        if text in ("", "/") or (len(text) == 1 and not re.match("[a-zA-Z0-9]", text)) or not terms:
+            continue
+        for uid, kind, *fields in items:
+            name, url, path = (all(t in (f or "").lower() for t in terms) for f in fields)
+            kind = kind if kind in ("collection", "folder") else "request"
+            match = kind if name else "url" if kind == "request" and url else "path" if kind != "collection" and "/" in text and path else None
+            if match:
+                want.add((q, uid, kind, fields[0], match))
+    got = list(map(tuple, found.collect()))
+    assert set(got) == want and len(got) == len(want) > 100
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_differences_of_long_texts():
@@ -275,12 +312,96 @@ def test_differences_of_long_texts():
     got = S.segments(["a", *kept[:3000], "x", *kept[3000:], "b"], ["c", *kept[:3000], "y", "z", *kept[3000:], "d"])
     assert [s for _, s in got] == ["deleted", "added", "unchanged"] * 2 + ["deleted", "added"]
     assert [t for t, s in got if s == "unchanged"] == ["".join(kept[:3000]), "".join(kept[3000:])]
+
+
+def table_walk(a, b):
+    """The same rule over the whole table of common lengths."""
+    longest = [[0] * (len(b) + 1)]
+    for x in reversed(a):
+        below, row = longest[-1], [0] * (len(b) + 1)
+        for j in range(len(b) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if x == b[j] else max(below[j], row[j + 1])
+        longest.append(row)
+    longest.reverse()
+    i = j = 0
+    out = []
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append(("unchanged", a[i]))
+            i, j = i + 1, j + 1
+        elif longest[i + 1][j] >= longest[i][j + 1]:
+            out.append(("deleted", a[i]))
+            i += 1
+        else:
+            out.append(("added", b[j]))
+            j += 1
+    return out + [("deleted", x) for x in a[i:]] + [("added", x) for x in b[j:]]
+
+
+def test_differences_follow_one_rule_at_any_length():
     draw = random.Random(3)
-    for _ in range(60):
-        a, b = ([draw.choice("abcde") for _ in range(draw.randrange(n))] for n in (400, 500))
-        parts, table = S._in_order(S._halved(a, b)), S._common(a, b)
-        assert [t for s, t in parts if s != "added"] == a and [t for s, t in parts if s != "deleted"] == b
-        assert sum(s == "unchanged" for s, _ in parts) == sum(s == "unchanged" for s, _ in table)
+    pairs = [([draw.choice("abcd") for _ in range(draw.randrange(14))], [draw.choice("abcde") for _ in range(draw.randrange(14))]) for _ in range(1500)]
+    pairs += [([str(draw.randrange(60)) for _ in range(400)], [str(draw.randrange(60)) for _ in range(280)]) for _ in range(10)]
+    # one pair of more than 16 million cells
+    pairs.append(([str(draw.randrange(300)) for _ in range(4100)], [str(draw.randrange(300)) for _ in range(4100)]))
+    for a, b in pairs:
+        assert S._common(a, b) == table_walk(a, b)
+
+
+def test_turn_differences_query(spark):
+    """The registered query against the rule over whole turns."""
+    sf = "/root/testdata/sf0.001"
+    turns = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    got = {}
+    for r in QUERIES["s24_turn_differences"](spark, sf).collect():
+        got.setdefault((r["conv_id"], r["turn"]), {})[r["pos"]] = (r["text"], r["status"])
+    wanted = {(c, t): x for (c, t), x in turns.items() if (c, t + 1) in turns}
+    assert got.keys() == wanted.keys() and got
+    for (c, t), old in wanted.items():
+        whole = table_walk(S.WORDS.findall(old or ""), S.WORDS.findall(turns[c, t + 1] or ""))
+        runs = [[k, "".join(x for _, x in g)] for k, g in itertools.groupby(whole, key=lambda x: x[0])]
+        found = [got[c, t][k] for k in sorted(got[c, t])]
+        # equal ends are set aside before the rule applies
+        assert "".join(x for x, s in found if s != "added") == (old or "") and "".join(x for x, s in found if s != "deleted") == (turns[c, t + 1] or "")
+        assert sum(len(x) for x, s in found if s == "unchanged") > 0 or not any(k == "unchanged" for k, _ in runs)
+        assert sum(len(S.WORDS.findall(x)) for x, s in found if s == "unchanged") == sum(k == "unchanged" for k, _ in whole)
+
+
+def test_number_literals(spark):
+    texts = ["7d", "7f", "0x10", "0X1f", "-0x10", "0b101", "0o17", "1.", ".5", "5e", "1e3", "+5", " 12 ", "Infinity", "-Infinity", "NaN", "1_0", "0x", "9007199254740991", "9007199254740993", "0x1fffffffffffff", "0x3fffffffffffff", "0xffffffffffffffffff", "1e400", "", "0x1p3"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", K.literal(F.col("t")).alias("v")).orderBy("i").collect()
+    s = lambda t: ("string", t)
+    n = lambda t: ("number", t)
+    assert [tuple(r["v"]) for r in rows] == [s("7d"), s("7f"), n("16"), n("31"), s("-0x10"), n("5"), n("15"), n("1."), n(".5"), s("5e"), n("1e3"), n("+5"), n("12"), s("Infinity"), n("-Infinity"), s("NaN"), s("1_0"), s("0x"), n("9007199254740991"), s("9007199254740993"), n("9007199254740991"), s("0x3fffffffffffff"), s("0xffffffffffffffffff"), s("1e400"), s(""), s("0x1p3")]
+    checks = spark.createDataFrame([("7", "eq 7d"), ("16", "eq 0x10"), ("7", "between 0x5,0b1000"), ("7", "between 5d,9d"), ("5", "in [0x5, 6]")], "lhs_json string, expression string").withColumn("enabled", F.lit(True))
+    assert [r["status"] for r in K.evaluate(checks).collect()] == ["fail", "pass", "pass", "fail", "pass"]
+
+
+def test_drift_by_auth_and_forms(spark):
+    schema = "spec_id string, endpoint_id string, params array<string>, headers array<string>, body_mode string, json_body string, auth_mode string, auth map<string,string>, form array<string>"
+    key = {"key": "k", "placement": "header", "value": "secret"}
+    oauth = {"grantType": "password", "scope": "r", "accessTokenUrl": "t", "authorizationUrl": "a"}
+    cases = [
+        (("none", "", None, None, None), (None, "", None, None, None), None),
+        (("none", "", "basic", None, None), ("none", "", "bearer", None, None), "auth: bearer"),
+        (("none", "", "apikey", key, None), ("none", "", "apikey", {**key, "value": "other"}, None), None),
+        (("none", "", "apikey", key, None), ("none", "", "apikey", {**key, "placement": "query"}, None), "auth config"),
+        (("none", "", "oauth2", oauth, None), ("none", "", "oauth2", {**oauth, "authorizationUrl": "b"}, None), None),
+        (("none", "", "oauth2", oauth, None), ("none", "", "oauth2", {**oauth, "accessTokenUrl": "b"}, None), "auth config"),
+        (("none", "", "oauth2", {**oauth, "grantType": None}, None), ("none", "", "oauth2", oauth, None), "auth config"),
+        (("none", "", "inherit", key, None), ("none", "", "inherit", None, None), None),
+        (("multipartForm", "", None, None, ["f:text"]), ("multipartForm", "", None, None, ["f:file"]), "+1 form fields, -1 form fields"),
+        (("formUrlEncoded", "", None, None, ["a", "b"]), ("formUrlEncoded", "", None, None, ["b", "a"]), None),
+        (("formUrlEncoded", "", None, None, ["a"]), ("multipartForm", "", None, None, ["b:text"]), "body: multipartForm"),
+        (("json", '{"a":1}', None, None, None), ("json", "", None, None, None), "body schema"),
+        (("json", '{"a":1}', None, None, None), ("json", "{broken", None, None, None), None),
+        (("json", "", None, None, None), ("json", "null", None, None, None), None),
+        (("json", "", None, None, None), ("json", "{broken", None, None, None), None),
+        (("formUrlEncoded", "", None, None, ["a", "a"]), ("formUrlEncoded", "", None, None, ["a"]), ""),
+    ]
+    side = lambda k: spark.createDataFrame([("s", str(i), ["q:query"], ["h"], *case[k]) for i, case in enumerate(cases)], schema)
+    got = {int(r["endpoint_id"]): (r["drift"], r["changes"]) for r in SY.drift(side(0), side(1)).collect()}
+    assert got == {i: ("inSync" if c[2] is None else "modified", c[2] or None) for i, c in enumerate(cases)}
 
 
 def test_catalog_files(spark, tmp_path):
@@ -317,6 +438,16 @@ def test_closure_of_deep_trees_and_cycles(spark):
             C.closure(spark.createDataFrame(rows, "uid string, parent_uid string"))
 
 
+def test_closure_of_a_thousand_levels_takes_ten_rounds(spark, monkeypatch):
+    rounds = []
+    keep = C.written
+    monkeypatch.setattr(C, "written", lambda df, name: rounds.append(name) or keep(df, name))
+    rows = [(f"u{i}", f"u{i - 1}" if i else "gone") for i in range(1000)]
+    got = C.closure(spark.createDataFrame(rows, "uid string, parent_uid string"))
+    assert got.agg(F.count("*"), F.max("up"), F.sum("up")).first() == (500500, 999, sum(i * (i + 1) // 2 for i in range(1000)))
+    assert got.distinct().count() == 500500 and rounds.count("leap") <= 10
+
+
 def test_bulk_text_round_trip(spark):
     df = spark.createDataFrame([(1, "a: 1\n//b:2\nno\nc:x:y")], "k int, text string")
     pairs = A.bulk_pairs(df, "k")
