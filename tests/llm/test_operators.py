@@ -434,6 +434,44 @@ def test_repeated_rows_are_dealt_over_all_partitions(spark, tmp_path):
     assert "strategy=merge" in plan
 
 
+def plain_language(net, text):
+    """The network over one whole text, filter by filter and place by place."""
+    from orrery.llm.language import windows
+
+    if not text or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    total, weights = np.zeros(len(net.languages)), 0.0
+    for window in windows(text, net.length):
+        pooled = []
+        for w in net.widths:
+            for f in range(net.p[f"b{w}"].shape[0]):
+                outs = []
+                for at in range(net.length - w + 1):
+                    outs.append(sum(float(net.p["emb"][window[at + j]] @ net.p[f"w{w}"][j][:, f]) for j in range(w)))
+                pooled.append(max(max(outs) + float(net.p[f"b{w}"][f]), 0.0))
+        z = np.array(pooled) @ net.p["out"].astype(float) + net.p["bias"]
+        weight = float((np.asarray(window) > 0).sum()) + 1e-3
+        total += weight * (z - z.max() - np.log(np.exp(z - z.max()).sum()))
+        weights += weight
+    q = np.exp(total / weights - (total / weights).max())
+    return net.languages[int(q.argmax())], float(q.max() / q.sum())
+
+
+def test_language_equals_plain_network(spark, docs):
+    """Prediction and score of whole texts, of ties and of texts of many windows among them."""
+    from orrery.llm.language import identify, train
+
+    net = train(docs.where("doc_id % 3 = 0"), per_language=60)
+    long = docs.where(F.length("text") > 3000).limit(2).select("text")
+    texts = [r["text"] for r in docs.where(F.length("text") < 500).limit(6).select("text").union(long).collect()]
+    texts += [None, "", "12 34", "a", "a", "é", "Straße 中文", "x " * 200, "\u00df" * 64, "ab" * 65]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(rows, net).collect()}
+    for i, text in enumerate(texts):
+        lang, score = plain_language(net, text)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=2e-4), text
+
+
 def test_language_gradients_and_tables():
     from orrery.llm.language import ByteNet
 
