@@ -46,11 +46,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = similarity_components(docs.select(row_key().alias("row"), "text"), size=5, percent=80, id_col="row")
-    kept = groups.where(F.col("row") == F.col("component_id")).select("row").distinct()
+    kept = materialize(groups.where(F.col("row") == F.col("component_id")).groupBy("row").agg(F.count("*").alias("n")), "kept")
     keyed = docs.withColumn("_row", row_key())
-    stays = keyed.join(kept, keyed["_row"].eqNullSafe(kept["row"]), "left_semi")
-    # rows alike in id and text are one document; keyed rows are narrow but for the text they would carry anyway
-    return stays.groupBy("_row").agg(*[F.first(c).alias(c) for c in docs.columns]).select(docs.columns)
+    those = lambda rows: keyed.join(rows, keyed["_row"].eqNullSafe(rows["row"]), "left_semi")
+    stays = those(kept.where("n = 1")).drop("_row")
+    repeated = kept.where("n > 1")
+    if not repeated.isEmpty():
+        # rows alike in id and text are one document; only texts of such rows are grouped
+        one = those(repeated).groupBy("_row").agg(*[F.first(c).alias(c) for c in docs.columns])
+        stays = stays.unionByName(one.drop("_row"))
+    return stays.select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
