@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .running import number, running
 
 REQUESTS = ["http-request", "graphql-request"]
 
@@ -98,8 +99,8 @@ def distinct_tags(items: DataFrame) -> DataFrame:
 
 def suffixed_names(items: DataFrame) -> DataFrame:
     """k-th repetition of a name among siblings becomes ``name_k``."""
-    k = F.row_number().over(Window.partitionBy("parent_uid", "name").orderBy("pos")) - 1
-    return items.withColumn("_k", k).withColumn("unique_name", F.when(F.col("_k") == 0, F.col("name")).otherwise(F.concat_ws("_", "name", F.col("_k").cast("string")))).drop("_k")
+    placed = running(items, ["parent_uid", "name"], ["pos"], {"_k": number()})
+    return placed.withColumn("_k", F.col("_k") - 1).withColumn("unique_name", F.when(F.col("_k") == 0, F.col("name")).otherwise(F.concat_ws("_", "name", F.col("_k").cast("string")))).drop("_k")
 
 
 def _unique(rows: DataFrame, group: str, family: Column, numbered: str, output: str) -> DataFrame:
@@ -156,8 +157,9 @@ def free_names(items: DataFrame) -> DataFrame:
 def filled_seq(items: DataFrame) -> DataFrame:
     """Requests without a ``seq`` are numbered among those of their folder that lack one."""
     missing = F.coalesce("seq", F.lit(0.0)) == 0
-    number = F.row_number().over(Window.partitionBy("parent_uid", missing).orderBy("pos"))
-    return items.where(F.col("type").isin([*REQUESTS, "js"])).withColumn("filled_seq", F.coalesce(F.nullif(F.col("seq"), F.lit(0.0)), number.cast("double")))
+    rows = items.where(F.col("type").isin([*REQUESTS, "js"])).withColumn("_missing", missing)
+    placed = running(rows, ["parent_uid", "_missing"], ["pos"], {"_n": number()})
+    return placed.withColumn("filled_seq", F.coalesce(F.nullif(F.col("seq"), F.lit(0.0)), F.col("_n").cast("double"))).drop("_missing", "_n")
 
 
 def sibling_order(items: DataFrame) -> DataFrame:

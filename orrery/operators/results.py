@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.payload import fixed
 from ..plans.views import CHECK, GROUPS
+from .running import most, running
 
 # Fixed value: name of the case that stands for a broken request in reports.
 ERROR_CASE = "Test suite has no errors"
@@ -138,9 +139,8 @@ def only_failed(results: DataFrame) -> DataFrame:
 def bail_cut(results: DataFrame) -> DataFrame:
     """Rows of each run up to and including its first failure: an error that isn't skipped, or a failed check."""
     fails = (F.col("error").isNotNull() & ~F.col("skipped")) | (F.col("n_fail") > 0)
-    before = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = with_counts(results).withColumn("_failed", fails).withColumn("_before", F.max("_failed").over(before))
-    return rows.where(~F.coalesce("_before", F.lit(False))).select(*results.columns)
+    rows = running(with_counts(results), ["run_id"], ["seq"], {"_failed": most(fails)}, itself=False)
+    return rows.where(~F.coalesce("_failed", F.lit(False))).select(*results.columns)
 
 
 def with_skipped_files(results: DataFrame, skipped: DataFrame) -> DataFrame:

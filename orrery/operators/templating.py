@@ -5,10 +5,12 @@ Variables: (scope_uid, name, value). ``value`` of a nested object is JSON text,
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import shared_dir, written
 
 PLACEHOLDER = r"\{\{([^}]+)\}\}"
 
@@ -57,28 +59,40 @@ def _round(state: DataFrame, values: DataFrame) -> DataFrame:
 def expanded(variables: DataFrame) -> DataFrame:
     """Variables (scope_uid, name, value) with the placeholders inside their values replaced, at any depth.
 
-    Dependencies first: a variable is expanded once all variables that it names are, so one used on several branches is
-    replaced on each, and there are as many rounds as the chain of names is long, each written. What is left then hangs on
-    a cycle; there every variable is expanded with names it has met left as they are, which cuts the cycle, until nothing changes.
-    Variables are few beside the templates that use them, so the rounds run here and templates need one join.
+    Dependencies first: a variable is expanded once all variables that it names are, so one used on several branches is replaced on each.
+    Each round writes one layer, the variables that only wait for earlier layers, and looks for the next among those that name one of
+    it; a variable is written once. What is left then hangs on a cycle; there every variable is expanded with names it has met left as
+    they are, which cuts the cycle, until nothing changes. Variables are few beside the templates that use them, so the rounds run
+    here and templates need one join.
     """
+    spark = variables.sparkSession
     rows = variables.select("scope_uid", "name", "value")
     nested = F.coalesce(F.col("value").rlike(PLACEHOLDER), F.lit(False))
-    done = rows.where(~nested)
     waiting = written(rows.where(nested), "waiting")
+    names = waiting.select("scope_uid", "name").distinct()
     asked = waiting.select("scope_uid", "name", F.explode(placeholders(F.col("value"))).alias("wanted"))
     # a name, and its first step in case that is a variable and the name is none
     asked = asked.select("scope_uid", F.col("name").alias("own"), F.explode(F.array_distinct(F.array("wanted", F.regexp_extract("wanted", r"^[^.\[]+", 0)))).alias("name"))
-    needs = written(asked.join(waiting.select("scope_uid", "name").distinct(), ["scope_uid", "name"]).distinct(), "needs")
-    while not waiting.isEmpty():
-        blocked = needs.join(waiting.select("scope_uid", "name"), ["scope_uid", "name"], "left_semi").select("scope_uid", F.col("own").alias("name"))
-        ready = written(waiting.join(blocked, ["scope_uid", "name"], "left_anti"), "ready")
-        if ready.isEmpty():
+    needs = written(asked.join(names, ["scope_uid", "name"]).distinct(), "needs")
+    degrees = needs.groupBy("scope_uid", "own").agg(F.count("*").alias("needed"))
+    path = f"{shared_dir(spark)}/layers-{uuid.uuid4().hex}"
+    layer = lambda n: spark.read.schema(rows.schema).parquet(f"{path}/{n}")
+    rows.where(~nested).write.parquet(f"{path}/0")
+    ready, at = names.join(degrees.withColumnRenamed("own", "name"), ["scope_uid", "name"], "left_anti"), 0
+    while True:
+        done, at = layer("*"), at + 1
+        state = waiting.join(ready, ["scope_uid", "name"], "left_semi").withColumn("seen", F.array("name"))
+        _round(state, done).drop("seen").write.parquet(f"{path}/{at}")
+        if layer(at).isEmpty():
             break
-        done = written(done.unionByName(_round(ready.withColumn("seen", F.array("name")), done).drop("seen")), "expanded")
-        waiting = written(waiting.join(ready.select("scope_uid", "name"), ["scope_uid", "name"], "left_anti"), "waiting")
-    state, values = waiting.withColumn("seen", F.array("name")), done.unionByName(waiting)
-    changed = not waiting.isEmpty()
+        # those that name one of this layer, and how many of all that they name are done
+        asking = needs.join(layer(at).select("scope_uid", "name"), ["scope_uid", "name"], "left_semi").select("scope_uid", "own").distinct()
+        met = needs.join(asking, ["scope_uid", "own"], "left_semi").join(layer("*").select("scope_uid", "name").distinct(), ["scope_uid", "name"]).groupBy("scope_uid", "own").agg(F.count("*").alias("met"))
+        ready = met.join(degrees, ["scope_uid", "own"]).where("met = needed").select("scope_uid", F.col("own").alias("name"))
+    done = layer("*")
+    left = written(waiting.join(done.select("scope_uid", "name"), ["scope_uid", "name"], "left_anti"), "cycles")
+    state, values = left.withColumn("seen", F.array("name")), done.unionByName(left)
+    changed = not left.isEmpty()
     while changed:
         after = written(_round(state, values), "cycles")
         changed = not after.join(state.select("scope_uid", "name", F.col("value").alias("before")), ["scope_uid", "name"]).where("value <> before").isEmpty()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import last, number, running, total
+
 
 def method_of(method: Column) -> Column:
     """Upper-case method, GET if missing."""
@@ -53,9 +55,8 @@ def without_stale(events: DataFrame) -> DataFrame:
 
 def attach_to_queued(events: DataFrame) -> DataFrame:
     """Each event with the ``seq`` of the latest request-queued event of its item in its run; events before any are dropped."""
-    order = Window.partitionBy("run_id", "item_uid").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     queued = F.when(F.col("event_type") == "request-queued", F.col("seq"))
-    return events.withColumn("occurrence", F.last(queued, ignorenulls=True).over(order)).where(F.col("occurrence").isNotNull())
+    return running(events, ["run_id", "item_uid"], ["seq"], {"occurrence": last(queued)}).where(F.col("occurrence").isNotNull())
 
 
 def item_timeline(traffic: DataFrame, credentials: DataFrame, sources: DataFrame) -> DataFrame:
@@ -200,8 +201,7 @@ def socket_rows(events: DataFrame) -> DataFrame:
 
 def numbered_messages(events: DataFrame) -> DataFrame:
     """Message rows of calls and sockets, numbered in order of arrival: lists of any length stay rows."""
-    order = Window.partitionBy("call_uid").orderBy("seq")
-    return events.where("event_type = 'message'").withColumn("message_no", F.row_number().over(order))
+    return running(events.where("event_type = 'message'"), ["call_uid"], ["seq"], {"message_no": number()})
 
 
 def chunk_totals(chunks: DataFrame) -> DataFrame:
@@ -211,5 +211,4 @@ def chunk_totals(chunks: DataFrame) -> DataFrame:
 
 def chunk_sizes(chunks: DataFrame) -> DataFrame:
     """Chunks with the running size of their item, in order of arrival."""
-    order = Window.partitionBy("item_uid").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return chunks.withColumn("running_bytes", F.sum(F.octet_length("data")).over(order))
+    return running(chunks, ["item_uid"], ["seq"], {"running_bytes": total(F.octet_length("data").cast("long"))})

@@ -17,6 +17,7 @@ from orrery.operators import catalog as C
 from orrery.operators import checks as K
 from orrery.operators import cookies as CK
 from orrery.operators import results as R
+from orrery.operators import running as RU
 from orrery.operators import search as S
 from orrery.operators import specsync as SY
 from orrery.operators import templating as T
@@ -448,6 +449,29 @@ def test_closure_of_a_thousand_levels_takes_ten_rounds(spark, monkeypatch):
     assert got.distinct().count() == 500500 and rounds.count("leap") <= 10
 
 
+def test_running_values_under_a_key_with_half_of_all_rows(spark):
+    draw = random.Random(9)
+    rows = [(draw.choice([None, "hot", "hot", "hot", "a", "b"]), i, draw.choice([None, i, -i]), draw.random() < 0.01) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, i long, v long, f boolean").repartition(6)
+    for itself in (True, False):
+        got = {r["i"]: r for r in RU.running(df, ["k"], ["i"], {"n": RU.number(), "s": RU.total(F.col("v")), "m": RU.most(F.col("f")), "l": RU.last(F.col("v"))}, itself).collect()}
+        seen = {}
+        for k, i, v, f in rows:
+            past = seen.setdefault(k, [])
+            now = past + [(v, f)] if itself else list(past)
+            values = [x for x, _ in now if x is not None]
+            want = (len(now) or None, sum(values) if values else None, max((x for _, x in now), default=None), values[-1] if values else None)
+            assert (got[i]["n"], got[i]["s"], got[i]["m"], got[i]["l"]) == want, (k, i)
+            past.append((v, f))
+    # no task of the windows has more than a cell
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        most = RU.cells(df, ["k"], ["i"]).groupBy("k", "_cell").count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert most < 4000 / 8 * 1.5
+
+
 def test_bulk_text_round_trip(spark):
     df = spark.createDataFrame([(1, "a: 1\n//b:2\nno\nc:x:y")], "k int, text string")
     pairs = A.bulk_pairs(df, "k")
