@@ -10,7 +10,8 @@ number grows with the number of lists.
 
 Lists lie on *shelves* of at most about ``SHELF_ROWS`` rows: near lists share one, a larger list is dealt over several. A query
 goes once to every shelf that holds a list it probes, and the queries of a shelf are dealt to blocks of about ``QUERY_BLOCK``
-that get the shelf's rows each, so no task holds a hot list or all queries of one. Number of lists: rows / ``LIST_ROWS``, at
+that get the shelf's rows each, so no task holds a hot list or all queries of one. A block has as many queries as a shelf has rows, so what is sent
+grows with queries times the shelves that they probe. Number of lists: rows / ``LIST_ROWS``, at
 most ``MOST_LISTS``, so that each has twenty rows of the sample.
 
 Inside a shelf a query scans its lists, the nearest first. Candidates lie in column blocks of rotated coordinates. After a
@@ -43,7 +44,10 @@ MEASURED = 128
 LIST_ROWS = 512
 MOST_LISTS = 1024
 SHELF_ROWS = 16_384
-QUERY_BLOCK = 1024
+#: Queries that share one copy of a shelf's rows: as many as it has rows, so rows sent again are never more than queries sent.
+QUERY_BLOCK = SHELF_ROWS
+#: Queries that are scanned at a time.
+SCANNED = 1024
 EPSILON = 2.1
 COLUMNS = 16
 #: Partial distances that are held at a time.
@@ -255,7 +259,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, reached: float = 0
     asked = materialize(queries.mapInArrow(probe, "shelf long, lists array<int>, id long, v array<double>"), "asked")
     blocks = asked.groupBy("shelf").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
     where = F.broadcast(spark.createDataFrame([(i, int(first[i]), int(parts[i])) for i in range(len(first))], "list int, first long, parts int"))  # at most MOST_LISTS rows
-    held = indexed.join(where, "list").select((F.col("first") + F.pmod(F.xxhash64("id"), "parts")).alias("shelf"), "list", "id", "v")
+    held = indexed.join(where, "list").select((F.col("first") + F.pmod(F.xxhash64("id", "v"), "parts")).alias("shelf"), "list", "id", "v")
     held = held.join(blocks, "shelf").select("shelf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "list", "id", "v")
     asked = asked.join(blocks, "shelf").select("shelf", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "lists", "id", "v")
 
@@ -264,21 +268,32 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, reached: float = 0
         if queries.num_rows and rows.num_rows:
             space = shared.value
             of, ids, x = rows.column("list").to_numpy(), rows.column("id").to_numpy(), stack(rows.column("v"), dims)
-            own = int(np.unique(ids, return_counts=True)[1].max())  # rows that a query may have to leave out
+            names, vectors, lists = queries.column("id").to_numpy(), stack(queries.column("v"), dims), [np.array(p) for p in queries.column("lists").to_pylist()]
+            # of rows alike in id and vector k are enough, and of those alike in vector k besides a query's own
+            order, start = equal_runs(of, ids, x)
+            alike = np.r_[True, (start[1:] != start[:-1]) | (ids[order][1:] != ids[order][:-1])]
+            order = order[np.arange(len(order)) - np.maximum.accumulate(np.where(alike, np.arange(len(order)), 0)) < k]
+            of, ids, x = of[order], ids[order], x[order]
+            asking = ids[np.isin(ids, names)]
+            own = int(np.unique(asking, return_counts=True)[1].max()) if len(asking) else 0  # rows that a query may have to leave out
             order, start = equal_runs(of, ids, x)
             order = order[np.arange(len(order)) - start < k + own]
             of, ids, x = of[order], ids[order], x[order]
             cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
             edges = {int(of[a]): (int(a), int(b)) for a, b in zip(cut, cut[1:], strict=False)}
-            names, vectors = queries.column("id").to_numpy(), stack(queries.column("v"), dims)
-            q, r = scan(space.lift_query(vectors), [np.array(p) for p in queries.column("lists").to_pylist()], space.lift(x), edges, k + own)
-            other = names[q] != ids[r]
-            q, r = q[other], r[other]
-            score = np.concatenate([np.zeros(0), *((x[r[i : i + 65536]] * vectors[q[i : i + 65536]]).sum(1) for i in range(0, len(q), 65536))])
-            best = np.lexsort((ids[r], -score, q))
-            q, r, score = q[best], r[best], score[best]
-            rank = np.arange(len(q)) - np.searchsorted(q, q)
-            out = [names[q][rank < k], ids[r][rank < k], score[rank < k]]
+            lifted, parts_ = space.lift(x), []
+            for low in range(0, len(names), SCANNED):
+                mine = slice(low, low + SCANNED)
+                q, r = scan(space.lift_query(vectors[mine]), lists[mine], lifted, edges, k + own)
+                q = q + low
+                other = names[q] != ids[r]
+                q, r = q[other], r[other]
+                score = np.concatenate([np.zeros(0), *((x[r[i : i + 65536]] * vectors[q[i : i + 65536]]).sum(1) for i in range(0, len(q), 65536))])
+                best = np.lexsort((ids[r], -score, q))
+                q, r, score = q[best], r[best], score[best]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                parts_.append((names[q][rank < k], ids[r][rank < k], score[rank < k]))
+            out = [np.concatenate(c) for c in zip(*parts_, strict=True)]
         return pa.table(out, ["query_id", "id", "score"])
 
     found = asked.groupBy("shelf", "block").cogroup(held.groupBy("shelf", "block")).applyInArrow(run, "query_id long, id long, score double")

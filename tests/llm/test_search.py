@@ -90,6 +90,30 @@ def test_search_of_odd_vectors(spark, monkeypatch):
     assert ann.search(df.where("vec_id = 1"), F.lit(True)).count() == 0
 
 
+def test_search_with_a_repeated_id(spark, monkeypatch):
+    """A query's id a thousand times, alike and unlike: spread over shelves, its rows are candidates of others, never its own."""
+    monkeypatch.setattr(ann, "SHELF_ROWS", 300)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(ann, "SCANNED", 7)
+    rng = np.random.default_rng(4)
+    x = np.round(np.concatenate([rng.normal(size=(400, 8)), np.repeat(rng.normal(size=(1, 8)) * 3, 600, axis=0), rng.normal(size=(400, 8))]), 3)
+    ids = np.r_[np.arange(400), np.full(1000, 40)]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    hit = 0
+    for q in range(0, 400, 20):
+        v = min(map(tuple, x[ids == q]))
+        others = ids != q
+        score = x[others] @ np.array(v)
+        best = np.lexsort((ids[others], -score))[:20]
+        want = list(zip(ids[others][best].tolist(), score[best].tolist(), strict=True))
+        assert len(got[q]) == 20 and all(i != q for i, _ in got[q])
+        hit += sum(a[0] == b[0] and a[1] == pytest.approx(b[1]) for a, b in zip(got[q], want, strict=True))
+    assert hit / 400 >= 0.95
+
+
 def by_hand(texts, items, threshold=0.5, question=0.6, answer=0.6):
     """BM25 of every item for every window, by definition."""
     items = [(i, t) for i, t in items if t and words(t)]
