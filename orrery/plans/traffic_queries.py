@@ -206,9 +206,9 @@ def t5b(spark, sf):
     return T.chunk_sizes(V.traffic(spark, sf).withColumnRenamed("body", "data")).select("seq", "running_bytes")
 
 
-@query("g2_timelines_with_collections", TRAFFIC + "SELECT seq, r_name AS collection FROM traffic JOIN region ON r_regionkey = collection_uid")
+@query("g2_timelines_with_collections", TRAFFIC + "SELECT seq, n_name AS collection FROM traffic JOIN nation ON n_nationkey = collection_uid")
 def g2(spark, sf):
-    names = V.table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("collection_uid"), F.col("r_name").alias("collection"))
+    names = V.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("collection_uid"), F.col("n_name").alias("collection"))
     return T.with_collection_names(V.traffic(spark, sf), names).select("seq", "collection")
 
 
@@ -257,12 +257,12 @@ def request_urls(spark, sf):
     host = F.concat(F.when(F.col("event_id") % 2 == 0, "www.").otherwise(""), F.lit("d"), (F.col("user_id") % 50).cast("string"), F.lit(".example.com"))
     path = F.element_at(F.array(F.lit("/"), F.lit("/a"), F.lit("/a/b/c"), F.lit("/ab")), (F.col("event_id") % 4 + 1).cast("int"))
     scheme = F.when(F.col("event_id") % 3 == 0, "http://").otherwise("https://")
-    return e.where("event_type = 'click'").select(F.col("event_id").alias("url_id"), F.concat(scheme, host, path).alias("url"))
+    return e.select(F.col("event_id").alias("url_id"), F.concat(scheme, host, path).alias("url"))
 
 
 MATCHED = COOKIES + f""", urls AS (
   SELECT event_id AS url_id, event_id % 3 = 0 AS plain, CASE WHEN event_id % 2 = 0 THEN 'www.' ELSE '' END || 'd' || (user_id % 50) || '.example.com' AS host,
-    CASE event_id % 4 WHEN 0 THEN '/' WHEN 1 THEN '/a' WHEN 2 THEN '/a/b/c' ELSE '/ab' END AS p FROM events WHERE event_type = 'click'),
+    CASE event_id % 4 WHEN 0 THEN '/' WHEN 1 THEN '/a' WHEN 2 THEN '/a/b/c' ELSE '/ab' END AS p FROM events),
 matched AS (
   SELECT url_id, c.* FROM urls u JOIN live c ON (u.host = c.domain OR (NOT c.host_only AND ends_with(u.host, '.' || c.domain)))
     AND (c.path = '/' OR u.p = c.path OR starts_with(u.p, c.path || '/')) AND (NOT c.secure OR NOT u.plain) AND (c.expires IS NULL OR c.expires > TIMESTAMP '{NOW}'))

@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 import random
 import re
 
@@ -24,6 +25,7 @@ from orrery.operators import templating as T
 from orrery.plans import views as V
 from orrery.plans.views import CHECK
 from orrery.sources import catalogs as A
+from orrery.sources import scratch
 
 DOCUMENT = {"customer": {"address": {"city": "bangalore"}, "orders": [{"id": "order-1", "items": [{"id": 1, "amount": 10}, {"id": 2, "amount": 20}]}, {"id": "order-2", "items": [{"id": 3, "amount": 30}, {"id": 4, "amount": 40}]}]}}
 
@@ -472,6 +474,29 @@ def test_running_values_under_a_key_with_half_of_all_rows(spark):
     assert most < 4000 / 8 * 1.5
 
 
+def test_scratch_tables_lie_in_one_folder_that_can_be_cleared(spark, tmp_path, monkeypatch):
+    assert scratch.shared_dir(spark).endswith(f"/orrery-{spark.sparkContext.applicationId}")
+    monkeypatch.setattr(scratch, "shared_dir", lambda session: f"file://{tmp_path}/orrery-x")
+    assert C.closure(spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d")], "uid string, parent_uid string")).count() == 15
+    assert [p.name for p in tmp_path.iterdir()] == ["orrery-x"] and len(list((tmp_path / "orrery-x").iterdir())) > 1
+    scratch.clear(spark)
+    assert not list(tmp_path.iterdir())
+
+
+def test_without_a_named_folder_a_local_session_has_one(spark):
+    class Nameless:
+        sparkContext = spark.sparkContext
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    first = scratch.shared_dir(Nameless)
+    assert first == scratch.shared_dir(Nameless) and os.path.isdir(os.path.dirname(first))
+    Nameless.sparkContext = type("Cluster", (), {"master": "spark://host:7077"})
+    with pytest.raises(ValueError, match="share"):
+        scratch.shared_dir(Nameless)
+
+
 def test_bulk_text_round_trip(spark):
     df = spark.createDataFrame([(1, "a: 1\n//b:2\nno\nc:x:y")], "k int, text string")
     pairs = A.bulk_pairs(df, "k")
