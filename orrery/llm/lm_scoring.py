@@ -14,7 +14,10 @@ last three bytes of their context, so that all their contexts down to order 3 ar
 have at most 257**3 grams. Orders below 3 are one table of at most 257**3 rows (some ten thousand in practice), the only data
 that is broadcast. A range sends each block the log-probabilities of what it asked for, in the order of its parcel, and the
 block scores its pieces by look-up (probabilities travel with 24 significant bits, sums are double). Nothing is collected from the corpus but that table and
-two totals; memory is bounded by a block; a hot source or group of copies spreads over blocks as pieces are hashed by id.
+two totals. A block's tasks are bounded by the block; a hot source or group of copies spreads over blocks as pieces are hashed by id. A
+range's task holds what all blocks ask of its contexts: on average half as many grams as one block asks for in all, but for a range with
+a context as common as " th" a share of all blocks' distinct grams, which grows with the input. Parcels number blocks times ranges, and so
+grow with the square of the input.
 
 Base model: words and one end per text under counts with additive smoothing, as in the query's contract.
 
