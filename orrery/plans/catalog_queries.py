@@ -62,6 +62,17 @@ def e2(spark, sf):
     return C.free_names(V.items(spark, sf)).select("uid", "free_name")
 
 
+@query("e2_operation_names", """WITH o AS (SELECT o_custkey % 50 AS spec_uid, o_orderkey AS uid, o_orderpriority AS name, CASE WHEN o_orderkey % 7 <> 0 THEN ['GET', 'POST', 'PUT'][o_orderkey % 3 + 1] END AS extra FROM orders),
+seen AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY spec_uid, name ORDER BY uid) > 1 AS again FROM o),
+told AS (SELECT *, again AND extra IS NOT NULL AND ROW_NUMBER() OVER (PARTITION BY spec_uid, name, extra, again ORDER BY uid) = 1 AS by_extra FROM seen)
+SELECT spec_uid, uid, CASE WHEN NOT again THEN name WHEN by_extra THEN name || ' (' || extra || ')'
+  ELSE name || ' (' || (COUNT(*) FILTER (again AND NOT by_extra) OVER (PARTITION BY spec_uid, name ORDER BY uid ROWS UNBOUNDED PRECEDING)) || ')' END AS operation_name FROM told""")
+def e2b(spark, sf):
+    o, n = V.table(spark, sf, "orders"), F.col("o_orderkey")
+    method = F.when(n % 7 != 0, F.element_at(F.array(*map(F.lit, ("get", "post", "put"))), (n % 3 + 1).cast("int")))
+    return C.operation_names(o.select((F.col("o_custkey") % 50).alias("spec_uid"), n.alias("uid"), n.alias("pos"), F.col("o_orderpriority").alias("name"), method.alias("method")))
+
+
 @query("e3_filled_seq", ITEMS + """SELECT uid, COALESCE(NULLIF(seq, 0), ROW_NUMBER() OVER (PARTITION BY parent_uid, COALESCE(seq, 0) = 0 ORDER BY pos))::DOUBLE AS filled_seq FROM items WHERE type NOT IN ('collection', 'folder')""")
 def e3(spark, sf):
     return C.filled_seq(V.items(spark, sf)).select("uid", "filled_seq")
