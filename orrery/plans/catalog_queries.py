@@ -181,6 +181,22 @@ def b15(spark, sf):
     return C.violations(V.items(spark, sf))
 
 
+@query("b15_request_violations", """WITH o AS (SELECT *, LOWER(SUBSTRING(o_orderpriority, 3)) AS word, ROUND(o_totalprice)::BIGINT AS price FROM orders),
+r AS (SELECT CASE WHEN o_custkey % 11 = 0 THEN '' ELSE 'o' || o_orderkey END AS uid, price, word, o_orderstatus AS status, o_custkey AS c FROM o)
+SELECT uid, UNNEST(LIST_FILTER([CASE WHEN uid = '' THEN 'uid-required' END, CASE WHEN price % 9 = 0 THEN 'name-min-length' END, CASE WHEN status = 'P' THEN 'type-enum' END, CASE WHEN price % 5 = 0 THEN 'seq-min' END,
+  CASE WHEN word LIKE '% %' THEN 'tag-pattern' END, CASE WHEN c % 4 = 0 THEN 'parent-required' END, CASE WHEN status <> 'P' AND price % 3 <> 0 THEN 'body-mode-enum' END, CASE WHEN status = 'O' AND price % 7 = 0 THEN 'auth-mode-enum' END,
+  CASE WHEN price % 100 > 50 THEN 'max-redirects-range' END, CASE WHEN word = 'low' THEN 'param-type-enum' END, CASE WHEN c % 2 = 1 THEN 'operator-enum' END], lambda x: x IS NOT NULL)) AS rule FROM r""")
+def b15b(spark, sf):
+    price, word, status, c = F.round("o_totalprice").cast("long"), F.lower(F.substring("o_orderpriority", 3, 20)), F.col("o_orderstatus"), F.col("o_custkey")
+    pick = lambda test, a, b: F.when(test, a).otherwise(b)
+    rows = V.table(spark, sf, "orders").select(
+        pick(c % 11 == 0, F.lit(""), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))).alias("uid"), F.when(price % 9 != 0, word).alias("name"), pick(status == "P", "soap-request", "http-request").alias("type"),
+        pick(price % 5 == 0, 0.0, 1.0).alias("seq"), F.array(word).alias("tags"), F.when(c % 4 != 0, "c").alias("parent_uid"), F.when(price % 3 == 0, "json").when(price % 3 == 1, "yaml").alias("body_mode"),
+        pick((status == "O") & (price % 7 == 0), "kerberos", "basic").alias("auth_mode"), (price % 100).alias("max_redirects"), F.array(F.lit("query"), pick(word == "low", "cookie", "path")).alias("param_types"), F.array(pick(c % 2 == 1, "equals", "eq")).alias("operators"),
+    )
+    return C.violations(rows)
+
+
 @query("c14_changed_items", "SELECT 'o' || o_orderkey AS uid FROM orders WHERE o_orderkey % 13 = 0")
 def c14(spark, sf):
     old = V.items(spark, sf).where("uid like 'o%'")
