@@ -23,22 +23,22 @@ def closure(items: DataFrame) -> DataFrame:
     By doubling: knowing all ancestors less than 2^k up and the one that is 2^k up, one join of the two gives those less than 2^(k+1) up. So a tree
     of depth n takes log2(n) rounds. A walk that comes back to its start is a cycle and an error.
     """
-    links = items.select("uid", F.col("parent_uid").alias("ancestor_uid")).join(items.select(F.col("uid").alias("ancestor_uid")), "ancestor_uid", "left_semi")
-    parts = [items.select("uid", F.col("uid").alias("ancestor_uid"), F.lit(0).alias("up"))]
-    leap, far = links.select("uid", "ancestor_uid"), 1
+    links = items.select("uid", F.col("parent_uid").alias("ancestor_uid")).join(items.select(F.col("uid").alias("ancestor_uid")), "ancestor_uid", "left_semi").select("uid", "ancestor_uid")
+    via = lambda df: df.select("uid", F.col("ancestor_uid").alias("via"))
+    below = lambda df: df.withColumnRenamed("uid", "via")
+    parts = [items.select("uid", F.col("uid").alias("ancestor_uid"), F.lit(0).alias("up")), links.withColumn("up", F.lit(1))]
+    leap, far = written(via(links).join(below(links), "via").select("uid", "ancestor_uid"), "leap"), 2
     while True:
         known = reduce(DataFrame.unionByName, parts)
-        over = leap.select("uid", F.col("ancestor_uid").alias("via"))
-        parts.append(over.join(known.withColumnRenamed("uid", "via"), "via").select("uid", "ancestor_uid", (F.col("up") + far).alias("up")))
-        leap = over.join(leap.withColumnRenamed("uid", "via"), "via").select("uid", "ancestor_uid")
+        more = via(leap).join(below(known), "via").select("uid", "ancestor_uid", (F.col("up") + far).alias("up"))
+        leap = written(via(leap).join(below(leap), "via").select("uid", "ancestor_uid"), "leap")
+        if leap.isEmpty():
+            # on a cycle it never is
+            return known.unionByName(more)
+        parts.append(written(more, "closure"))
+        if not parts[-1].where("uid = ancestor_uid").isEmpty():
+            raise ValueError("items form a cycle: a walk came back to its start")
         far *= 2
-        if far > 2:
-            # walked once: later rounds start from the kept rows
-            parts[-1], leap = written(parts[-1], "closure"), written(leap, "leap")
-            if not parts[-1].where("uid = ancestor_uid").isEmpty():
-                raise ValueError("items form a cycle: a walk came back to its start")
-            if leap.isEmpty():
-                return reduce(DataFrame.unionByName, parts)
 
 
 def levels(closed: DataFrame) -> DataFrame:

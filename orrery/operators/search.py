@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,10 +32,9 @@ def terms_of(query: Column) -> Column:
     return F.filter(F.split(F.lower(normalized(query)), r"[\s/]+"), lambda t: t != "")
 
 
-def grams(text: Column, size: int | Column) -> Column:
-    """Distinct stretches of ``size`` characters of a text."""
-    size = F.lit(size) if isinstance(size, int) else size
-    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))).otherwise(F.array().cast("array<string>"))
+def grams(text: Column, size: int) -> Column:
+    """Stretches of ``size`` characters of a text, one from each place."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
 def _match(lower: dict[str, Column], terms: Column, kind: Column, by_path: Column) -> Column:
@@ -62,7 +62,10 @@ def search(items: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.where(valid(F.col("query"))).select("query_id", terms_of(F.col("query")).alias("terms"), F.contains(normalized(F.col("query")), F.lit("/")).alias("by_path")).where(F.size("terms") > 0)
     longest = F.array_max(F.transform("terms", lambda t: F.length(t)))
     asked = written(asked.withColumn("size", F.least(F.lit(GRAM), longest)), "asked")
-    parts = asked.select("query_id", "by_path", "size", F.explode(F.flatten(F.transform("terms", lambda t: grams(t, F.col("size"))))).alias("gram")).distinct()
+    of_size = reduce(lambda c, n: c.when(F.col("size") == n, F.flatten(F.transform("terms", lambda t: grams(t, n)))), range(1, GRAM + 1), F)
+    parts = asked.select("query_id", "by_path", "size", F.explode(of_size).alias("gram")).distinct()
+    # read twice, for the index and for the comparison; dealt evenly, as a row makes some hundred grams
+    items = written(items.select("uid", "type", *FIELDS).repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid"), "items")
     index = postings(items, parts.select("gram", "size").distinct())
     often = parts.join(index.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").fillna(0, ["n"])
     rarest = often.groupBy("query_id", "by_path").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
