@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 import os
 import random
 import re
@@ -118,6 +119,24 @@ def test_summary_verdicts(spark):
     assert [r["seq"] for r in R.bail_cut(df).orderBy("seq").collect()] == [0, 1]
 
 
+def test_report_metrics_add_in_order(spark):
+    """Sums next to half a millisecond are those of adding one by one in order of seq, whatever the order of the rows."""
+    draw = random.Random(3)
+    prices = {run: [draw.randrange(100_000, 50_000_000) / 100 for _ in range(25)] for run in range(400)}
+    rows = [(run, seq, price, price / 1000) for run, of_run in prices.items() for seq, price in enumerate(of_run)]
+    draw.shuffle(rows)
+    none = F.lit(None).cast(f"array<{CHECK}>")
+    df = spark.createDataFrame(rows, "run_id int, seq int, response_time double, run_duration double").withColumns({"pre_tests": none, "tests": none, "post_tests": none, "response_data": F.lit(None).cast("string")})
+    got = {r["run_id"]: (r["total_duration"], r["mean_response_time"]) for r in R.report_metrics(df).collect()}
+    want = {}
+    for run, of_run in prices.items():
+        seconds = waited = 0.0
+        for price in of_run:
+            seconds, waited = seconds + price / 1000, waited + price
+        want[run] = f"{math.floor(seconds * 1000 + 0.5) / 1000:.3f}", str(math.floor(waited / len(of_run) + 0.5))
+    assert got == want
+
+
 def test_report_cases(spark, tmp_path):
     df = results(spark, [(["pass", "fail"], None, None), (["fail"], ["pass"], "error"), (["pass"], None, "skipped")])
     cases = R.report_cases(df).orderBy("seq", "case_pos").collect()
