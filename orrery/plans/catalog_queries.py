@@ -114,7 +114,8 @@ def request_levels(spark, sf):
 
 @query("e6_inherited_headers", KV + "SELECT uid, STRING_AGG(name || ': ' || value, ', ' ORDER BY first) AS headers FROM best GROUP BY uid")
 def e6(spark, sf):
-    rows = C.inherited_list(request_levels(spark, sf)[1], V.key_values(spark, sf))
+    items = V.items(spark, sf)
+    rows = C.inherited_list(items, V.key_values(spark, sf), items.where(F.col("uid").startswith("o")))
     return rows.select("uid", F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), ", ").alias("headers"))
 
 
@@ -122,8 +123,8 @@ def e6(spark, sf):
 best AS (SELECT uid, s, name, ARG_MAX(value, level * 10 + pos) AS value FROM rows GROUP BY 1, 2, 3)
 SELECT uid, STRING_AGG(name || '=' || value, ',' ORDER BY name) FILTER (s = 'c') AS collection_vars, STRING_AGG(name || '=' || value, ',' ORDER BY name) FILTER (s = 'f') AS folder_vars, STRING_AGG(name || '=' || value, ',' ORDER BY name) FILTER (s = 'r') AS request_vars FROM best GROUP BY uid""")
 def e7(spark, sf):
-    items, levels = request_levels(spark, sf)
-    out = C.scoped(levels, V.key_values(spark, sf), items)
+    items = V.items(spark, sf)
+    out = C.scoped(items, V.key_values(spark, sf), items.where(F.col("uid").startswith("o")))
     return out.select("uid", *[F.array_join(F.transform(F.map_entries(f"{s}_vars"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias(f"{s}_vars") for s in ("collection", "folder", "request")])
 
 

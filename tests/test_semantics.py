@@ -225,6 +225,43 @@ def test_free_names_against_one_by_one(spark):
     assert {r["uid"]: r["operation_name"] for r in got.collect()} == want
 
 
+def test_inherited_values_against_walks(spark):
+    """Lists and maps of random trees, leaves and inner items, against a walk from the root down."""
+    draw = random.Random(11)
+    nodes = [("c0", None, "collection"), ("c1", None, "collection"), ("lost", "gone", "http-request")]
+    for i in range(150):
+        nodes.append((f"i{i}", draw.choice([u for u, _, kind in nodes if kind != "http-request"]), draw.choice(["folder", "http-request", "http-request"])))
+    pairs = [(uid, pos, draw.choice(["a", "A", "b", "c"]), draw.choice(["x", "y", "z", None]), draw.random() < 0.8) for uid, _, _ in nodes for pos in range(draw.randrange(4))]
+    items = spark.createDataFrame(nodes, "uid string, parent_uid string, type string")
+    key_values = spark.createDataFrame(pairs, "uid string, pos int, name string, value string, enabled boolean")
+    parent, kind = {u: p for u, p, _ in nodes}, {u: k if k != "http-request" else "request" for u, _, k in nodes}
+    lists, maps = {}, {}
+    for uid in parent:
+        walk, at = [], uid
+        while at in parent:
+            walk, at = [at, *walk], parent[at]
+        found, by_scope = {}, {"collection": {}, "folder": {}, "request": {}}
+        for at in walk:
+            for _, _, name, value, enabled in sorted(p for p in pairs if p[0] == at and p[4]):
+                found[name] = value
+                by_scope[kind[at]][name] = value
+        if found:
+            lists[uid], maps[uid] = list(found.items()), by_scope
+    assert {r["uid"]: list(map(tuple, r["headers"])) for r in C.inherited_list(items, key_values, items).collect()} == lists
+    got = {r["uid"]: {s: r[f"{s}_vars"] for s in ("collection", "folder", "request")} for r in C.scoped(items, key_values, items).collect()}
+    assert got == maps
+
+
+@pytest.mark.parametrize("name", ["e6_inherited_headers", "e7_scoped_variables"])
+def test_inheritance_repeats_no_leaf_for_every_ancestor(spark, monkeypatch, name):
+    seen, closure = [], C.closure
+    monkeypatch.setattr(C, "closure", lambda items: seen.append(items.count()) or closure(items))
+    sf = "/root/testdata/sf0.001"
+    QUERIES[name](spark, sf).count()
+    inner = sum(V.table(spark, sf, t).count() for t in ("region", "nation", "customer"))
+    assert seen and max(seen) <= inner
+
+
 def test_sibling_order_against_insertion(spark):
     """Numbered folders put in one by one at place seq - 1, equal ones side by side, give the windows' order."""
     draw = random.Random(7)
