@@ -192,15 +192,19 @@ def report_suites(results: DataFrame) -> DataFrame:
 ROWS_A_FILE = 100_000
 
 
-def write_report(results: DataFrame, path: str, rows_a_file: int = ROWS_A_FILE) -> None:
+def write_report(results: DataFrame, path: str, rows_a_file: int = ROWS_A_FILE, compression: str = "none") -> None:
     """JSON report of many runs: summaries and results in files of at most ``rows_a_file`` rows, sorted by run, and a manifest.
 
     The manifest has a row (part, run_id, file, rows) for each run in each file. A run of any size is cut over files, and small ones share them.
+    Summaries are made from the results as they were written, so ``results`` are computed once. ``compression`` of the files as Spark names it.
     """
     spark = results.sparkSession
-    summary = run_summary(results, "run_id")
-    for part, rows, order in (("summary", summary, ["run_id"]), ("results", results, ["run_id", "seq"])):
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", rows_a_file).json(f"{path}/{part}")
+
+    def put(part: str, rows: DataFrame, *order: str) -> None:
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", rows_a_file).option("compression", compression).json(f"{path}/{part}")
+
+    put("results", results, "run_id", "seq")
+    put("summary", run_summary(read_report(spark, path, "results", results.schema), "run_id"), "run_id")
     schema = T.StructType([results.schema["run_id"]])
     listed = [spark.read.schema(schema).json(f"{path}/{part}").groupBy(F.lit(part).alias("part"), "run_id", F.input_file_name().alias("file")).agg(F.count("*").alias("rows")) for part in ("summary", "results")]
     listed[0].unionByName(listed[1]).coalesce(1).write.parquet(f"{path}/manifest")

@@ -36,7 +36,7 @@ def a7(spark, sf):
     """Reports of all runs, written and read back: summaries, rows by the manifest, and the results themselves."""
     path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
     results = V.run_results(spark, sf)
-    R.write_report(results, path)
+    R.write_report(results, path, compression="gzip")
     rows = R.read_report(spark, path, "results", results.schema)
     listed = spark.read.parquet(f"{path}/manifest").groupBy("run_id").agg(F.sum(F.when(F.col("part") == "results", F.col("rows"))).alias("n_rows"), F.sum(F.when(F.col("part") == "summary", F.col("rows"))).cast("int").alias("summaries"))
     seqs = rows.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("seq")), lambda x: x.cast("string")), ",").alias("seqs"))

@@ -5,7 +5,9 @@ Each view has a counterpart in ``SQL``, common table expressions for DuckDB, so
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECK = "struct<status:string,description:string,lhs:string,rhs:string,operator:string,error:string,is_script_error:boolean>"
@@ -16,31 +18,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PLACE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+
+
+def _failed() -> Column:
+    return (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")
+
+
+def _check(of: Callable[[str], Column], failed: Column) -> dict[str, Column]:
+    """Group and fields of the check that a line item stands for."""
+    group = F.element_at(F.array(*[F.lit(g) for g in ("post_tests", "assertions", "tests", "pre_tests")]), (of("l_linenumber") % 4 + 1).cast("int"))
+    return {
+        "grp": group,
+        "status": F.when(failed, "fail").otherwise("pass"),
+        "description": F.concat(F.lit("part "), of("l_partkey").cast("string")),
+        "lhs": F.concat(F.lit("res.body.q"), of("l_suppkey").cast("string")),
+        "rhs": of("l_linenumber").cast("string"),
+        "operator": F.lit("eq"),
+        "error": F.when(failed, F.concat(F.lit("expected "), of("l_linenumber").cast("string"))),
+        "is_script_error": (of("l_quantity") == 50) & (of("l_linenumber") % 4 != 1),
+    }
+
+
 def check_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each check of a request, with its group and its place in the group."""
     li = table(spark, sf_dir, "lineitem")
-    group = F.element_at(F.array(*[F.lit(g) for g in ("post_tests", "assertions", "tests", "pre_tests")]), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    failed = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")
-    return li.select(
-        F.col("l_orderkey").alias("seq"),
-        group.alias("grp"),
-        F.when(failed, "fail").otherwise("pass").alias("status"),
-        F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("description"),
-        F.concat(F.lit("res.body.q"), F.col("l_suppkey").cast("string")).alias("lhs"),
-        F.col("l_linenumber").cast("string").alias("rhs"),
-        F.lit("eq").alias("operator"),
-        F.when(failed, F.concat(F.lit("expected "), F.col("l_linenumber").cast("string"))).alias("error"),
-        ((F.col("l_quantity") == 50) & (F.col("l_linenumber") % 4 != 1)).alias("is_script_error"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate").alias("pos"),
-    )
+    return li.select(F.col("l_orderkey").alias("seq"), *[c.alias(name) for name, c in _check(F.col, _failed()).items()], F.struct(*PLACE).alias("pos"))
 
 
 def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Executed requests: a request per order, a run per customer, four lists of checks from line items."""
-    fields = ["status", "description", "lhs", "rhs", "operator", "error", "is_script_error"]
-    grouped = check_rows(spark, sf_dir).groupBy("seq").agg(*[F.sort_array(F.collect_list(F.when(F.col("grp") == g, F.struct("pos", *fields)))).alias(g) for g in GROUPS])
-    lists = [F.when(F.size(g) > 0, F.transform(g, lambda c: F.struct(*[c[f].alias(f) for f in fields]))).alias(g) for g in GROUPS]
-    return requests(spark, sf_dir).join(grouped.select("seq", *lists), "seq", "left")
+    """Executed requests: a request per order, a run per customer, four lists of checks from line items.
+
+    Line items are shuffled as they are, and the texts of checks are made behind the shuffle.
+    """
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("seq"), *PLACE, (~_failed()).alias("passed"))
+    grouped = li.repartition("seq").groupBy("seq").agg(F.sort_array(F.collect_list(F.struct(*PLACE, "passed"))).alias("rows"))
+
+    def of_group(g: str) -> Column:
+        number = {"post_tests": 0, "assertions": 1, "tests": 2, "pre_tests": 3}[g]
+        made = F.transform(F.filter("rows", lambda r: r["l_linenumber"] % 4 == number), lambda r: F.struct(*[c.alias(name) for name, c in _check(lambda f: r[f], ~r["passed"]).items() if name != "grp"]))
+        return F.when(F.exists("rows", lambda r: r["l_linenumber"] % 4 == number), made)
+
+    return requests(spark, sf_dir).join(grouped.select("seq", *[of_group(g).alias(g) for g in GROUPS]), "seq", "left")
 
 
 def counted_results(spark: SparkSession, sf_dir: str) -> DataFrame:

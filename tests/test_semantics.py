@@ -166,6 +166,33 @@ def test_report_of_many_runs_in_few_files(spark, tmp_path):
     assert R.read_report(spark, path, "results", df.schema, [-5]).count() == 0
 
 
+def test_report_summaries_tell_the_written_results(spark, tmp_path):
+    """Results are made once: even if they come out differently each time, summaries are those of the results in the files; also compressed."""
+    coin = F.udf(lambda: random.choice(["skipped", "error", None]), "string").asNondeterministic()
+    df = results(spark, [(["pass"], None, None)] * 300).withColumn("status", coin())
+    path = f"file://{tmp_path}/once"
+    R.write_report(df, path, rows_a_file=100, compression="gzip")
+    assert {p.suffix for part in ("results", "summary") for p in (tmp_path / "once" / part).glob("part-*")} == {".gz"}
+    rows = R.read_report(spark, path, "results", df.schema)
+    want = R.run_summary(rows, "run_id")
+    assert rows.count() == 300 and R.read_report(spark, path, "summary", want.schema).collect() == want.collect()
+
+
+def test_checks_are_shuffled_without_texts(spark):
+    """Lists of checks are those of the rows of checks, and no text of a check goes through the shuffle."""
+    sf = "/root/testdata/sf0.001"
+    made = V.run_results(spark, sf)
+    fields = ["status", "description", "lhs", "rhs", "operator", "error", "is_script_error"]
+    want: dict = {}
+    for r in V.check_rows(spark, sf).orderBy("pos").collect():
+        want.setdefault((r["seq"], r["grp"]), []).append(tuple(r[f] for f in fields))
+    got = {(r["seq"], g): list(map(tuple, r[g])) for r in made.collect() for g in V.GROUPS if r[g] is not None}
+    assert got == want
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression") :]
+    assert "res.body.q" in plan and "res.body.q" not in below
+
+
 def test_interpolation(spark):
     variables = spark.createDataFrame([(1, "a", "A"), (1, "a.b", "dotted"), (1, "o", '{"b":"x","l":[{"k":7}],"k":"v"}'), (1, "n", "<{{a}}{{m}}>"), (1, "m", "({{n}})"), (2, "a", "other"), (1, "name", "N")], "scope_uid int, name string, value string")
     texts = ["{{a}}-{{a.b}}-{{o.b}}", "{{o.l[0].k}} {{o['k']}}", "{{ name }} {{missing}} {{name}}", "{{n}}", "plain", "", "{{o}}"]
