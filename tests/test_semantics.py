@@ -289,6 +289,19 @@ def test_inheritance_repeats_no_leaf_for_every_ancestor(spark, monkeypatch, name
     assert seen and max(seen) <= inner
 
 
+def test_unique_names_sort_rows_once(spark):
+    """A task holds its rows in one window, or in two if there are extras; roots are siblings too."""
+    rows = [(None, "a", 0, "x"), (None, "b", 1, "x"), (None, "c", 2, "x_1"), (None, "d", 3, "x"), (None, "e", 4, "y"), (None, "f", 5, "y"), ("p", "g", 6, "x")]
+    names = C.free_names(spark.createDataFrame(rows, "parent_uid string, uid string, pos int, name string"))
+    assert {r["uid"]: r["free_name"] for r in names.collect()} == {"a": "x", "b": "x_1", "c": "x_1_1", "d": "x_2", "e": "y", "f": "y_1", "g": "x"}
+    windows = lambda df: re.findall("windowspecdefinition[^\n]*?\\[?(?=\n)", df._jdf.queryExecution().optimizedPlan().toString())
+    assert len(windows(names)) == 1
+    rows = [(1, "a", 0, "x", "get"), (1, "b", 1, "x", "get"), (1, "c", 2, "x", "post"), (1, "d", 3, "x", "get"), (1, "e", 4, "x", None), (1, "f", 5, "x", "post")]
+    names = C.operation_names(spark.createDataFrame(rows, "spec_uid int, uid string, pos int, name string, method string"))
+    assert {r["uid"]: r["operation_name"] for r in names.collect()} == {"a": "x", "b": "x (GET)", "c": "x (POST)", "d": "x (1)", "e": "x (2)", "f": "x (3)"}
+    assert len(windows(names)) == 3  # the last two over rows in the same order
+
+
 def test_sibling_order_against_insertion(spark):
     """Numbered folders put in one by one at place seq - 1, equal ones side by side, give the windows' order."""
     draw = random.Random(7)
