@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,37 +19,36 @@ def item_schema() -> T.StructType:
     return T.StructType([*fields, T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def read_json_files(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Rows of readable files, and (path, error) of the others. Files in skipped folders are not read."""
-    with_error = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+def read_json_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(_path, i, _corrupt) of the files: ``i`` by ``schema``, and the text of those that are unreadable. Files in skipped folders are not read."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_path"), "value")
     files = files.where(~F.col("_path").rlike("/(" + "|".join(f.replace(".", r"\.") for f in SKIPPED_FOLDERS) + ")/"))
-    rows = files.select("_path", F.from_json("value", with_error, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("_path", "r.*")
-    return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select(F.col("_path").alias("path"), F.lit("unreadable JSON").alias("error"))
+    return files.select("_path", _parsed("value", schema))
+
+
+def _parsed(column: str, schema: T.StructType) -> Column:
+    with_error = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    return F.from_json(column, with_error, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("i")
 
 
 def load_catalog(spark: SparkSession, path: str, depth: int = 6) -> tuple[DataFrame, DataFrame]:
     """(items, unreadable files) of collection exports: items flattened level by level to an adjacency list.
 
-    Levels are unfolded until none is left; from ``depth`` on it is asked whether there are more. A file with an unreadable item
-    at any level is set aside whole.
+    Each level is parsed once, from the texts that the one above left, and written; the first without items ends it, however deep. ``depth`` is no
+    limit and is kept for callers that name it. A file with an unreadable item at any level is set aside whole.
     """
     schema = item_schema()
-    with_error = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rows, bad = read_json_files(spark, path, schema)
-    level, out, d = rows.select("_path", F.lit(None).cast("string").alias("parent_uid"), F.lit(0).alias("pos"), F.struct(*[c for c in rows.columns if c != "_path"]).alias("i")), None, 0
+    level = read_json_files(spark, path, schema).select("_path", F.lit(None).cast("string").alias("parent_uid"), F.lit(0).alias("pos"), "i")
+    out, bad = None, None
     while True:
+        level = written(level, "items")
+        if level.isEmpty() and out is not None:
+            break
+        broken = level.where("i._corrupt is not null").select(F.col("_path").alias("path"), F.lit("unreadable JSON").alias("error"))
+        level = level.where("i._corrupt is null")
         flat = level.select("_path", F.col("i.uid").alias("uid"), "parent_uid", F.coalesce("i.type", F.lit("collection")).alias("type"), F.col("i.name").alias("name"), F.col("i.seq").alias("seq"), "pos", F.coalesce("i.tags", F.array().cast("array<string>")).alias("tags"))
-        out = flat if out is None else out.unionByName(flat)
-        parsed = level.select("_path", F.col("i.uid").alias("parent_uid"), F.posexplode("i.items").alias("pos", "json")).select("_path", "parent_uid", "pos", F.from_json("json", with_error, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("i"))
-        d += 1
-        if d > depth:
-            # parsed once: deeper levels start from here
-            parsed = written(parsed, "items")
-            if parsed.isEmpty():
-                break
-        bad = bad.unionByName(parsed.where("i._corrupt is not null").select(F.col("_path").alias("path"), F.lit("unreadable JSON").alias("error")))
-        level = parsed.where("i._corrupt is null")
+        out, bad = (flat, broken) if out is None else (out.unionByName(flat), bad.unionByName(broken))
+        level = level.select("_path", F.col("i.uid").alias("parent_uid"), F.posexplode("i.items").alias("pos", "json")).select("_path", "parent_uid", "pos", _parsed("json", schema))
     bad = bad.distinct()
     return out.join(bad.select(F.col("path").alias("_path")), "_path", "left_anti").drop("_path"), bad
 

@@ -527,6 +527,15 @@ def test_deep_catalogs_are_whole(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[1] for r in bad.collect()] == ["bad.json"]
 
 
+def test_catalog_files_are_parsed_once(spark, tmp_path):
+    """What is loaded no longer hangs on the files: no level is parsed again for those below it."""
+    for i in range(5):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"uid": f"c{i}", "items": [{"uid": f"f{i}", "type": "folder", "items": [{"uid": f"q{i}", "type": "http-request"}]}]}))
+    items, bad = A.load_catalog(spark, f"file://{tmp_path}")
+    assert items.count() == 15 and bad.count() == 0
+    assert all("from_json" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (items, bad))
+
+
 def test_closure_of_deep_trees_and_cycles(spark):
     rows = [(f"u{i}", f"u{i - 1}" if i else None) for i in range(25)]
     got = C.closure(spark.createDataFrame(rows, "uid string, parent_uid string")).where("uid = 'u24'").collect()
