@@ -6,7 +6,9 @@ import math
 import os
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -536,6 +538,25 @@ def test_catalog_files_are_parsed_once(spark, tmp_path):
     assert all("from_json" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (items, bad))
 
 
+def test_differences_hold_few_rows_as_objects(spark):
+    """A full batch takes no more Python memory than a few rows, and gives each row's own result."""
+    draw = random.Random(2)
+    texts = [" ".join(draw.choice("abcdefgh") for _ in range(40)) for _ in range(3001)]
+    pairs = [(texts[i], texts[i + 1]) if i % 7 else (None, texts[i]) for i in range(3000)]
+    old, new = (pa.array([p[i] for p in pairs]) for i in (0, 1))
+    peaks = []
+    for n in (100, 3000):
+        tracemalloc.start()
+        made = S.differences(old.slice(0, n), new.slice(0, n), S.WORDS.findall)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0]
+    want = [[{"text": t, "status": s} for t, s in S.segments(S.WORDS.findall(x or ""), S.WORDS.findall(y))] for x, y in pairs]
+    assert made.to_pylist() == want
+    df = spark.createDataFrame(pairs[:200], "a string, b string").coalesce(1)
+    assert [[x.asDict() for x in r[0]] for r in df.select(S.text_diff(F.col("a"), F.col("b"))).collect()] == want[:200]
+
+
 def test_closure_of_deep_trees_and_cycles(spark):
     rows = [(f"u{i}", f"u{i - 1}" if i else None) for i in range(25)]
     got = C.closure(spark.createDataFrame(rows, "uid string, parent_uid string")).where("uid = 'u24'").collect()
