@@ -147,8 +147,9 @@ def key_paths(value, prefix: str = "") -> Iterator[str]:
 
 def field(body: Column, name: str) -> Column:
     """JSON text of one field of bodies that are objects, as ``json_get`` gives it, without leaving the JVM."""
-    found = F.try_variant_get(F.try_parse_json(body), "$." + name, "variant")
-    return F.nullif(F.to_json(found), F.lit("null"))
+    # several fields of a body share its map; a path that isn't there would cost an exception a row
+    found = F.try_variant_get(F.try_parse_json(body), "$", "map<string, variant>")
+    return F.nullif(F.to_json(found[name]), F.lit("null"))
 
 
 def overridden(environments: DataFrame, key: str) -> DataFrame:

@@ -102,6 +102,27 @@ def test_check_operators(spark):
     assert {e.split()[0] for _, e, _ in CHECKS} >= set(K.BINARY + K.UNARY)
 
 
+def test_a_list_of_checks_on_every_row(spark):
+    """Each check of a list meets each row, as if the rows had been written out with it."""
+    lists = [(v, e) for v, e, _ in CHECKS if v is not None]
+    values = sorted({v for v, _ in lists})
+    rows = spark.createDataFrame([(i, v, None) for i, v in enumerate([*values, None, "1"])], "i int, v string, none string")
+    checks = [("v", e) for e in sorted({e for _, e in lists})] + [("none", "isUndefined"), ("v", "eq 1"), ("v", "eq 1")]
+    each = K.evaluate_each(rows, checks).select("i", "pos", "operator", "operand", "status", "error").collect()
+    written_out = spark.createDataFrame([(i, p, r, e, True) for i, v, n in rows.collect() for p, (f, e) in enumerate(checks) for r in [v if f == "v" else n]], "i int, pos int, lhs_json string, expression string, enabled boolean")
+    assert len(each) == (len(values) + 2) * len(checks)
+    assert sorted(map(repr, each)) == sorted(map(repr, K.evaluate(written_out).select("i", "pos", "operator", "operand", "status", "error").collect()))
+
+
+def test_checks_of_a_small_file_are_dealt_out(spark):
+    """A file of one row group gives as many tasks as the session has shuffle partitions, and no check is shuffled."""
+    from orrery.catalogue import QUERIES
+
+    df = QUERIES["b8_checks"](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() == 8
+    assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def results(spark, rows):
     check = lambda s, script=False: {"status": s, "description": "d", "lhs": "l", "rhs": "r", "operator": "eq", "error": "e", "is_script_error": script}
     data = [(1, i, None if a is None else [check(s) for s in a], None if t is None else [check(s.strip("!"), s.endswith("!")) for s in t], status, status == "skipped", "boom" if status == "error" else None) for i, (a, t, status) in enumerate(rows)]
